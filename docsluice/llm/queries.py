@@ -10,12 +10,19 @@ from docsluice.llm.bpe import bpe_round_trip
 from docsluice.llm.common import documents, train_flag
 from docsluice.llm.decontaminate import find_contamination
 from docsluice.llm.language_id import fit_language_filter, identify_language
+from docsluice.llm.language_model import score_documents
+from docsluice.llm.set_join import similar_groups
 from docsluice.llm.sharding import shuffle_into_shards
+from docsluice.llm.suffix_dedup import repeat_digests
 from docsluice.llm.token_counts import count_tokens_by_line
 from docsluice.llm.token_files import digest_token_files, write_token_files
 from docsluice.llm.topk import top_k
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir), least=400)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -24,6 +31,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens_by_line(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir)).drop("block", "idx")
+
+
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir), train_flag(F.col("doc_id"), 7, 2))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op3_token_counts, op6_bpe_round_trip, op7_exact_top_k, op8_language_id, op9_token_files, op10_sharding)
+    for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_token_counts, op4_ngram_jaccard_join, op5_suffix_tree_scores, op6_bpe_round_trip, op7_exact_top_k, op8_language_id, op9_token_files, op10_sharding)
 }
 
 ORACLE_SQL = {
