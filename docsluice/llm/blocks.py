@@ -11,7 +11,6 @@ of all rows share costs one entry per block, and no task holds more than a bucke
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import saved, scratch, texts
+from docsluice.llm.common import saved, scratch, scratch_table, texts
 
 BLOCK_BYTES = 12 << 20
 #: A bucket's share of the text: its keys are those of so many bytes of text, about.
@@ -190,7 +189,7 @@ def write_blocks(docs: DataFrame, columns: list[str], encode: Callable[[list[dic
 
     kind = StructType.fromDDL(f"block long, {schema}")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    table = f"docsluice_{name}_{uuid.uuid4().hex}"
+    table = scratch_table(name)
     out = docs.select(*columns).mapInArrow(run, kind)
     out.write.bucketBy(buckets, "block").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,13 +35,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what `scratch` handed out before: for use when all results built on it are written."""
+def drop_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete what `scratch` handed out before, but for the files that `keep` reads: for use when all other
+    results built on it are written."""
+    kept = [p for p in _SCRATCH if keep is not None and any(p.split("://")[-1] in f for f in keep.inputFiles())]
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _SCRATCH:
-        path = hadoop(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+        if (name := _SCRATCH.pop()) not in kept:
+            path = hadoop(name)
+            path.getFileSystem(conf).delete(path, True)
+    _SCRATCH.extend(kept)
 
 
 def saved(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -51,6 +58,12 @@ def saved(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_table(name: str) -> str:
+    """A new table name, dropped along with its files."""
+    _TABLES.append(f"docsluice_{name}_{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

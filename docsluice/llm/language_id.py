@@ -119,11 +119,14 @@ class LanguageFilter:
 def fit_language_filter(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE, sizes: tuple[int, ...] = SIZES) -> LanguageFilter:
     """Learn from rows with a language (and `train`): about `fit_rows` of each language, chosen by a hash
     of the id, all if there are fewer. What comes to the driver is bounded: at most 1 / least_share n-grams
-    of a size and language. Up to 64 languages; no labelled row at all is an error."""
+    of a size and language. Up to 64 languages. Without a labelled row no language is learned, and every
+    prediction is `und`."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.lit(True) if train is None else train)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
-    if not sizes_by or len(sizes_by) > 64:
-        raise ValueError("language ID needs labelled rows in 1 to 64 languages")
+    if len(sizes_by) > 64:
+        raise ValueError("language ID takes up to 64 languages")
+    if not sizes_by:
+        return LanguageFilter.build([], {}, sizes)
     share = F.create_map(*[x for lang, n in sizes_by.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -178,7 +181,7 @@ class _Scorer:
             for chunks in split:
                 total = sum([known[c] for c in chunks])
                 counts = [total >> 32 * i & 0xFFFFFFFF for i in range(1 + len(self.model.languages))]
-                lang, score = self.model.decide(counts) if counts[0] else ("und", 0.0)
+                lang, score = self.model.decide(counts) if counts[0] and len(counts) > 1 else ("und", 0.0)
                 langs.append(lang)
                 scores.append(score)
         return langs, scores

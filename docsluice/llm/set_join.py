@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.llm.blocks import SENT, Keyed, bucket_bits, key_bits, on_blocks, pack_ints, pack_keys, read_answers, sent_table, summed, unpack_ints, unpack_keys, with_answers
-from docsluice.llm.common import saved, text_bytes
+from docsluice.llm.common import drop_scratch, saved, text_bytes
 from docsluice.llm.components import Forest, components
 from docsluice.llm.token_blocks import TokenBlock, shingle_sets, write_token_blocks
 
@@ -233,3 +233,19 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     component = of_set.groupBy("root").agg(F.min("low").alias("component_id"))
     of_set = of_set.join(component, "root").select("p", "q", "n", "component_id")
     return rows.join(of_set, ["p", "q", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "block", "idx")
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The documents with the smallest id of each group of `similar_groups`, with all their columns.
+
+    Documents of no words are groups of their own. Rows that share an id count as one document: they stay or
+    go together, and of rows equal in id and text one stays. Rows with a null id stay.
+    """
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, percent=percent).select("doc_id", "component_id")
+    groups = saved(groups.where("doc_id is not null"), "groups")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    drop_scratch(docs.sparkSession, keep=groups)
+    stay = docs.join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates([id_col, text_col])
+    return stay.union(docs.where(F.col(id_col).isNull()))

@@ -201,7 +201,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray,
 
 def _encode(held: dict, block: int) -> dict:
     data = [t.encode() for t in held["text"]]
-    return {"doc_ids": held["id"], "ends": np.cumsum([len(x) for x in data], dtype="<i8").tobytes(), "data": b"".join(data)}
+    return {"doc_ids": held["id"], "rest": held["rest"], "ends": np.cumsum([len(x) for x in data], dtype="<i8").tobytes(), "data": b"".join(data)}
 
 
 def _read_block(row: pa.Table) -> tuple[int, list, np.ndarray, np.ndarray]:
@@ -311,18 +311,22 @@ def _parts(items: list, most: int) -> list[list]:
     return out
 
 
-def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, keep_first: bool = True, whole_chars: bool = True) -> DataFrame:
+def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, least: int = 400, keep_first: bool = True, whole_chars: bool = True) -> DataFrame:
     """Find every byte covered by a `least`-byte string that starts elsewhere in the corpus (earlier, with
-    `keep_first`), and return for each document what `result(id, bytes, removed)` makes of it.
+    `keep_first`), and return for each document what `result(id, carried, bytes, removed)` makes of it; None
+    leaves it out. `carry`: other columns whose values (a dict) are handed on.
 
     Order is that of the input: partitions, then rows. A null text is empty. `whole_chars` leaves the bytes of
     characters that are only partly covered. Repeated rows are documents like others: a repeat of a row is a
-    copy of it. Texts shorter than `least` bytes lose nothing.
+    copy of it. Texts shorter than `least` bytes lose nothing. `least` is twice the gram of 64 bytes or more.
     """
+    if least < 2 * GRAM:
+        raise ValueError(f"least must be {2 * GRAM} or more")
     total = text_bytes(docs, text_col)
     keyed = Keyed(64, bucket_bits(total))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = write_blocks(rows, ["id", "text"], _encode, "doc_ids array<long>, ends binary, data binary", "texts")
+    rest = F.struct(F.lit(True).alias("_"), *(F.col(c) for c in carry or []))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    blocks = write_blocks(rows, ["id", "text", "rest"], _encode, f"doc_ids array<long>, rest array<{rows.schema['rest'].dataType.simpleString()}>, ends binary, data binary", "texts")
     kept = blocks.select("block", "ends", "data", "doc_ids")
 
     def count(batches):
@@ -347,6 +351,7 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
 
     def cut(row: pa.Table, answers: pa.Table) -> pa.Table:
         _, ids, ends, data = _read_block(row)
+        others = row["rest"][0].as_py()
         depth = np.zeros(len(data) + 1, np.int32)
         for payload in answers["payload"]:
             first, rest = unpack_ints(memoryview(payload.as_buffer()))
@@ -358,9 +363,10 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
             char = np.cumsum(lead) - 1
             gone = np.logical_and.reduceat(gone, np.flatnonzero(lead))[char]
         starts = np.concatenate(([0], ends[:-1]))
-        return pa.Table.from_pylist([result(i, data[a:b], gone[a:b]) for i, a, b in zip(ids, starts, ends, strict=True)], schema=kind)
+        made = (result(i, x, data[a:b], gone[a:b]) for i, x, a, b in zip(ids, others, starts, ends, strict=True))
+        return pa.Table.from_pylist([x for x in made if x is not None], schema=kind)
 
-    return on_blocks(kept, runs, cut, schema)
+    return on_blocks(blocks.select("block", "ends", "data", "doc_ids", "rest"), runs, cut, schema)
 
 
 def arrow(schema: str) -> pa.Schema:
@@ -377,7 +383,31 @@ def spans_of(gone: np.ndarray) -> int:
 def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; see `removed_spans`."""
 
-    def digest(doc, data, gone):
+    def digest(doc, _, data, gone):
         return {"doc_id": doc, "n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": spans_of(gone), "kept_sha256": hashlib.sha256(data[~gone].tobytes()).hexdigest()}
 
     return removed_spans(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col=id_col, text_col=text_col, least=least, keep_first=keep_first, whole_chars=False)
+
+
+def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", least: int = 400) -> DataFrame:
+    """The documents without later copies of strings of `least` bytes; the first copy of each stays.
+
+    All columns are kept; the text is what is left of it (whole characters), and `length_col`, if there is
+    such a column, its length. A null text stays null. A document of which nothing is left is left out.
+    """
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    kind = docs.schema
+
+    def left(doc, rest, data, gone):
+        if len(data) and gone.all():
+            return None
+        text = data[~gone].tobytes().decode() if rest.get("__null") is not True else None
+        out = {id_col: doc, text_col: text} | {c: rest[c] for c in carry}
+        if length_col in out and text is not None:
+            out[length_col] = len(text)
+        return out
+
+    flagged = docs.withColumn("__null", F.col(text_col).isNull())
+    schema = ", ".join(f"`{f.name}` {'long' if f.name == id_col else f.dataType.simpleString()}" for f in kind)
+    found = removed_spans(flagged, left, schema, id_col=id_col, text_col=text_col, carry=[*carry, "__null"], least=least)
+    return found.select(*(F.col(f.name).cast(f.dataType) for f in kind))
