@@ -55,7 +55,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_token_files(write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+    return digest_token_files(write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsluice.llm.bpe import byte_alphabet
 from docsluice.llm.common import TwoGenerationCache, pieces, saved, scratch, text_bytes, texts
 
 MAGIC = b"DSTOK001"
@@ -122,52 +123,72 @@ class TokenFile:
 
 
 class PieceEncoder:
-    """A byte-level tokenizer file behind a cache of pieces.
+    """A byte-level tokenizer file behind caches of pieces and of pretokens.
 
     No pretoken crosses from a character that is no white space to a space, so a text may be cut before
-    such spaces and its pieces encoded on their own. Texts with a space after other white space, or with
-    an added token's string, are encoded whole."""
+    such spaces and its pieces encoded on their own: cut into pretokens by the byte-level pattern, each
+    given to the file's merge model. Texts with a space after other white space, or with an added token's
+    string, go through the library whole."""
 
-    def __init__(self, spec: bytes, width: int, cache: int = 300_000):
+    def __init__(self, spec: bytes, width: int, pattern: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.type = f"<u{width}"
+        self.model, self.type = self.tokenizer.model, f"<u{width}"
         self.added = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.cache = TwoGenerationCache(cache)
-
-    def _ids(self, batch: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        self.split, self.letters = regex.compile(pattern).findall, byte_alphabet()
+        self.pieces, self.pretokens = TwoGenerationCache(cache), TwoGenerationCache(cache)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _pretokens(self, piece: str) -> list[str]:
+        if piece[0] == " " or piece[0].isalpha():
+            if piece[1:].isalpha():
+                return [piece]
+            if piece[1:-1].isalpha() and piece[-1] in ",.":
+                return [piece[:-1], piece[-1]]
+        return self.split(piece)
+
+    def _learn(self, pieces: list[str]) -> None:
+        cut = [self._pretokens(x) for x in pieces]
+        letters, tokenize = self.letters, self.model.tokenize
+        for x in self.pretokens.unknown([t for ts in cut for t in ts]):
+            ids = [t.id for t in tokenize("".join([letters[b] for b in x.encode()]))]
+            self.pretokens.young[x] = np.asarray(ids, self.type).tobytes()
+        known = self.pretokens.young
+        self.pieces.young.update((x, b"".join([known[t] for t in ts])) for x, ts in zip(pieces, cut, strict=True))
 
     def encode(self, text: str) -> bytes:
         """Ids as packed integers."""
         if not text:
             return b""
         if _WIDE.search(text) or self.added.search(text):
-            return self._ids([text])[0]
+            return self._whole(text)
         first, *rest = text.split(" ")
-        if new := self.cache.unknown(rest):
-            self.cache.young.update(zip(new, self._ids([" " + x for x in new]), strict=True))
-        known = self.cache.young
-        return (self._ids([first])[0] if first else b"") + b"".join([known[x] for x in rest])
+        pieces = [first, *[" " + x for x in rest]]
+        if new := self.pieces.unknown(pieces):
+            self._learn(new)
+        known = self.pieces.young
+        return b"".join([known[x] for x in pieces])
 
 
 #: A space after white space, or one at the end.
 _WIDE = regex.compile(r"\s |^ | $")
 
 
-def piece_encoder(spec: bytes, width: int) -> PieceEncoder:
+def piece_encoder(spec: bytes, width: int, pattern: str) -> PieceEncoder:
     key = hashlib.sha256(spec).hexdigest() + str(width)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(spec, width)
+        _ENCODERS[key] = PieceEncoder(spec, width, pattern)
     return _ENCODERS[key]
 
 
-def write_token_files(docs: DataFrame, tokenizer_file: str, out: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_file: str, pattern: str, out: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Write all documents' ids, ascending by id (nulls first), each document closed by `end_id`.
 
     Returns the manifest: path, start (ids in all files before), n_docs, n_ids; one row per file. A null
-    or empty text is the end id alone; repeated ids stand side by side, ordered by a hash of the text.
+    or empty text is the end id alone; `pattern` is the byte-level pretoken pattern of the tokenizer's kind; repeated ids stand side by side, ordered by a hash of the text.
     Rows are dealt by ranges of (id, text hash, a random number), so not even one id that a third of the
     rows share falls to one task. Each task writes files of at most `FILE_IDS` ids and one document more,
     under names of its own: a task that is run again leaves the first attempt's files out of the manifest.
@@ -187,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, out: str | None = No
         loaded = json.loads(spec.value)
         top = max([end_id, *loaded["model"]["vocab"].values(), *(x["id"] for x in loaded["added_tokens"])])
         width = 2 if top < 1 << 16 else 4
-        encoder, end = piece_encoder(spec.value, width), end_id.to_bytes(width, "little")
+        encoder, end = piece_encoder(spec.value, width, pattern), end_id.to_bytes(width, "little")
         fs, base = pafs.FileSystem.from_uri(out)
         fs.create_dir(base, recursive=True)
         part, ids, lengths, data, seq, size = TaskContext.get().partitionId(), [], [], [], 0, 0
