@@ -28,6 +28,8 @@ GRAM = 64
 #: Anchors with more occurrences are split further, by the place of the window around them.
 HOT = 20_000
 HOT_STEP = 32
+#: Bytes of text that anchors are found in at a time, and of stretches that one suffix order is made of.
+PIECE = 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 #: No byte of UTF-8.
 _BREAK = b"\xff"
@@ -174,6 +176,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`runs_of_anchors`, some documents at a time: the arrays are many times the text."""
+    cuts, last = [0], 0
+    for i, b in enumerate(ends.tolist(), 1):
+        if b - last >= PIECE or i == len(ends):
+            cuts.append(i)
+            last = b
+    out = [runs_of_anchors(data[:0], ends[:0], least)]
+    for i, j in zip(cuts, cuts[1:]):
+        a = int(ends[i - 1]) if i else 0
+        h, *places = runs_of_anchors(data[a : int(ends[j - 1])], ends[i:j] - a, least)
+        out.append((h, *(x + a for x in places)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def runs_of_anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's hash, its place, the run's first and last window start."""
     none = np.zeros(0, np.int64)
     if len(data) < least:
@@ -269,7 +286,7 @@ def _settle(table: pa.Table, least: int, keep_first: bool) -> pa.Table:
                 for block, places in found:
                     remove(block, places[1:] if skip else places, whole)
                     skip = False
-    for part in _parts(several, 3 << 20):
+    for part in _parts(several, PIECE):
         # earlier stretches of the corpus come first in the text, so an earlier match is one kept before
         part.sort(key=lambda x: (x[1][0][0], int(x[1][0][1][0])))
         data = np.frombuffer(_BREAK.join(t for (_, t), _ in part) + _BREAK, np.uint8)
@@ -357,10 +374,10 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
             first, rest = unpack_ints(memoryview(payload.as_buffer()))
             np.add.at(depth, first.astype(np.int64), 1)
             np.add.at(depth, unpack_ints(rest)[0].astype(np.int64) + least, -1)
-        gone = np.cumsum(depth[:-1]) > 0
+        gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
         if whole_chars and gone.any():
             lead = (data & 0xC0) != 0x80
-            char = np.cumsum(lead) - 1
+            char = np.cumsum(lead, dtype=np.int32) - 1
             gone = np.logical_and.reduceat(gone, np.flatnonzero(lead))[char]
         starts = np.concatenate(([0], ends[:-1]))
         made = (result(i, x, data[a:b], gone[a:b]) for i, x, a, b in zip(ids, others, starts, ends, strict=True))
