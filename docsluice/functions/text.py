@@ -8,15 +8,16 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode form KC; a null stays null."""
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_encoding(text: pd.Series) -> pd.Series:
     """Undo UTF-8 that was read as a one-byte encoding, where the way back succeeds and shortens the text."""
 

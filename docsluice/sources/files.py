@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docsluice.functions.text import flatten_table
 
@@ -45,7 +46,7 @@ def type_of(content: bytes) -> str | None:
     return "txt" if control <= len(head) // 100 else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def file_type(content: pd.Series) -> pd.Series:
     return content.map(type_of, na_action="ignore")
 
