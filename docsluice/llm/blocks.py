@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import saved, scratch, scratch_table, texts
+from docsluice.llm.common import scratch, scratch_table, texts
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: A bucket's share of the text: its keys are those of so many bytes of text, about.
 BUCKET_TEXT = 8 << 20
 SENT = "bucket long, block long, payload binary"
@@ -127,20 +127,35 @@ class Keyed:
                     out.append((block, pack_keys(every[a:b][other] | bucket << low) + pack_ints(zigzag(total[a:b][other]))))
             return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
-        return saved(sent.groupBy("bucket").applyInArrow(add, ANSWER), name)
+        return by_block(sent.groupBy("bucket").applyInArrow(add, ANSWER), name)
 
 
-def read_answers(table: pa.Table, round_name: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and totals of all answers to a block."""
+def by_block(answers: DataFrame, name: str) -> DataFrame:
+    """ANSWER rows, one row for each block with all its payloads, written to a table that is bucketed as the
+    blocks are: each round's answers are shuffled once and then read in place."""
+    spark = answers.sparkSession
+    table = scratch_table(name)
+    one = answers.groupBy("block").agg(F.collect_list("payload").alias("payloads"))
+    one.write.bucketBy(buckets_of(spark), "block").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def read_answers(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and totals of all answers to a block (a column of one list, or a null)."""
     keys, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    rows = table.to_pylist() if round_name is None else [r for r in table.to_pylist() if r["round"] == round_name]
-    for row in rows:
-        k, rest = unpack_keys(memoryview(row["payload"]))
+    for payload in payloads[0].values or []:
+        k, rest = unpack_keys(memoryview(payload.as_buffer()))
         keys.append(k)
         totals.append(unzigzag(unpack_ints(rest)[0]))
     k, t = np.concatenate(keys), np.concatenate(totals)
-    order = np.argsort(k, kind="stable")
-    return k[order], t[order]
+    if len(k) and (np.diff(k.view(np.int64)) < 0).any() | (k[-1] < k[0]):
+        order = np.argsort(k, kind="stable")
+        k, t = k[order], t[order]
+    return k, t
 
 
 def with_answers(kinds: np.ndarray, sums: np.ndarray, answers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -188,10 +203,9 @@ def write_blocks(docs: DataFrame, columns: list[str], encode: Callable[[list[dic
     from pyspark.sql.types import StructType
 
     kind = StructType.fromDDL(f"block long, {schema}")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     table = scratch_table(name)
     out = docs.select(*columns).mapInArrow(run, kind)
-    out.write.bucketBy(buckets, "block").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
+    out.write.bucketBy(buckets_of(spark), "block").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 
@@ -204,9 +218,12 @@ def key_bits(total_text: int, spare: int) -> int:
     return min(64, max(16, total_text.bit_length() - 2) + spare)
 
 
-def on_blocks(blocks: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Run on each block with the answers to it; answers without a block meet an empty left side."""
-    return blocks.groupBy("block").cogroup(answers.where(F.col("block") >= 0).groupBy("block")).applyInArrow(run, schema)
+def on_blocks(blocks: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, **answers: DataFrame) -> DataFrame:
+    """Run on each block, one at a time, with the answers to it as further columns of these names. Blocks and
+    answers are bucketed alike, so neither is shuffled."""
+    for name, df in answers.items():
+        blocks = blocks.join(df.withColumnRenamed("payloads", name), "block", "left")
+    return blocks.groupBy("block").applyInArrow(run, schema)
 
 
 def stats(answers: DataFrame) -> tuple[int, int]:
@@ -214,8 +231,8 @@ def stats(answers: DataFrame) -> tuple[int, int]:
 
     def read(batches):
         for batch in batches:
-            pairs = [struct.unpack("<qq", x) for x in batch.column("payload").to_pylist()]
+            pairs = [struct.unpack("<qq", x) for row in batch.column("payloads").to_pylist() for x in row]
             yield pa.RecordBatch.from_pydict({"kinds": pa.array([p[0] for p in pairs], pa.int64()), "total": pa.array([p[1] for p in pairs], pa.int64())})
 
-    row = answers.where("block = -1").select("payload").mapInArrow(read, "kinds long, total long").agg(F.sum("kinds"), F.sum("total")).first()
+    row = answers.where("block = -1").select("payloads").mapInArrow(read, "kinds long, total long").agg(F.sum("kinds"), F.sum("total")).first()
     return row[0] or 0, row[1] or 0

@@ -137,6 +137,8 @@ def fit_language_filter(docs: DataFrame, train: Column | None = None, *, id_col:
                 words.setdefault(lang, Counter()).update(chunk_words(text))
         for lang, count in words.items():
             known = list(count)
+            if not known:
+                continue
             weight = np.fromiter(count.values(), np.int64, len(known))
             codes, starts = word_codes(known)
             for n in sizes:

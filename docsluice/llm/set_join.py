@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.blocks import SENT, Keyed, bucket_bits, key_bits, on_blocks, pack_ints, pack_keys, read_answers, sent_table, summed, unpack_ints, unpack_keys, with_answers
+from docsluice.llm.blocks import SENT, Keyed, bucket_bits, by_block, key_bits, on_blocks, pack_ints, pack_keys, read_answers, sent_table, summed, unpack_ints, unpack_keys, with_answers
 from docsluice.llm.common import drop_scratch, saved, text_bytes
 from docsluice.llm.components import Forest, components
 from docsluice.llm.token_blocks import TokenBlock, shingle_sets, write_token_blocks
@@ -105,14 +105,14 @@ class SkipJoin:
         return out
 
 
-def _postings(row: pa.Table, more: pa.Table, keyed: Keyed, percent: int) -> pa.Table:
+def _postings(row: pa.Table, keyed: Keyed, percent: int) -> pa.Table:
     """Kind 0: for each bucket, the listed prefix shingles with their sets; kind 1: the sets listed."""
     block = TokenBlock(row)
     sets, ends = shingle_sets(block.words, block.tokens, block.ends)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-    rep = _representatives(more)
+    rep = _representatives(row)
     kinds, sums, place, _ = _counted(block, sets, starts, ends, rep, keyed)
-    totals = with_answers(kinds, sums, _answers_of(more))[place]
+    totals = with_answers(kinds, sums, read_answers(row["totals"]))[place]
     hashes, numbers, sizes, out, at = [], [], [], [], 0
     for idx in rep.tolist():
         a, b = starts[idx], ends[idx]
@@ -142,12 +142,8 @@ def _postings(row: pa.Table, more: pa.Table, keyed: Keyed, percent: int) -> pa.T
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("kind", "bucket", "number", "n", "payload"), columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
 
-def _representatives(more: pa.Table) -> np.ndarray:
-    return np.array(sorted(i for r in more.to_pylist() if r["reps"] is not None for i in r["reps"]), np.int64)
-
-
-def _answers_of(more: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return read_answers(pa.Table.from_pylist([r for r in more.to_pylist() if r["payload"] is not None], schema=more.schema))
+def _representatives(row: pa.Table) -> np.ndarray:
+    return np.sort(np.array(row["reps"][0].as_py() or [], np.int64))
 
 
 def _counted(block: TokenBlock, sets, starts, ends, rep, keyed: Keyed):
@@ -203,20 +199,18 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "prints", "more_prints")).alias("idx", "x")).select("block", "idx", F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("p"), F.col("x.more_prints").alias("q"))
     rows = saved(rows, "rows")
     classes = saved(rows.where("n > 0").groupBy("p", "q", "n").agg(F.min("doc_id").alias("low"), F.min(F.struct("block", "idx")).alias("rep")).select("p", "q", "n", "low", (F.col("rep.block") * DOCS + F.col("rep.idx")).alias("number")), "classes")
-    reps = classes.groupBy(F.shiftright("number", 20).alias("block")).agg(F.collect_list(F.col("number").bitwiseAND(DOCS - 1)).alias("reps"))
-    reps = saved(reps, "reps")
+    reps = by_block(classes.select(F.shiftright("number", 20).alias("block"), F.col("number").bitwiseAND(DOCS - 1).alias("payload")), "reps")
     words = blocks.select("block", "doc_ids", "flags", "ends", "words", "tokens")
 
-    def count(row: pa.Table, more: pa.Table) -> pa.Table:
+    def count(row: pa.Table) -> pa.Table:
         block = TokenBlock(row)
         sets, ends = shingle_sets(block.words, block.tokens, block.ends)
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        kinds, sums, _, _ = _counted(block, sets, starts, ends, _representatives(more), keyed)
+        kinds, sums, _, _ = _counted(block, sets, starts, ends, _representatives(row), keyed)
         return sent_table(keyed.send(block.block, kinds, sums))
 
-    totals = keyed.merge(on_blocks(words, reps, count, SENT), "shared")
-    answers = reps.select("block", "reps", F.lit(None).cast("binary").alias("payload")).unionByName(totals.select("block", F.lit(None).cast("array<bigint>").alias("reps"), "payload"))
-    listed = saved(on_blocks(words, answers, lambda a, b: _postings(a, b, keyed, percent), "kind int, bucket long, number long, n long, payload binary"), "lists", "kind")
+    totals = keyed.merge(on_blocks(words, count, SENT, reps=reps), "shared")
+    listed = saved(on_blocks(words, lambda row: _postings(row, keyed, percent), "kind int, bucket long, number long, n long, payload binary", reps=reps, totals=totals), "lists", "kind")
     ties = listed.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: _tie(t, percent), "a long, b long")
     bundles = components(ties)
 

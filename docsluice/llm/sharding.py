@@ -23,16 +23,16 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.asarray(order, np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, out: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, out: str | None = None, *, text_col: str = "text", shards: int = SHARDS, seed: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Shuffle whole rows into `shards` Parquet folders below `out` and return the written table.
 
     Law `rows`: shard sizes differ by one row at most. Columns `shard` (int) and `slot` (long, gapless
     from 0 within a shard, the place in the shuffled order) are added; input columns with these names
     are replaced, all others are written as they are.
 
-    Pass 1 scatters rows by a seeded hash of id, text and input partition into buckets of about
-    `bucket_bytes`; the exchange's files are the buckets. The input partition in the hash spreads even
-    rows that are equal in all columns, so no key, source or group of copies fills a bucket. Pass 2 sorts
+    Pass 1 scatters rows by a seeded hash of all their columns (but maps) into buckets of about
+    `bucket_bytes`; the exchange's files are the buckets. So no id, source or group of equal texts fills a
+    bucket; only rows that are equal in every column share one. Pass 2 sorts
     a bucket by that hash, permutes it by Fisher-Yates with a seed of its own and writes it; a bucket's
     place in the order is the count of the rows in the buckets before it (one count per bucket, summed by
     a window over as many rows as there are buckets). A lost executor's bucket is drawn again the same.
@@ -45,7 +45,8 @@ def shuffle_into_shards(df: DataFrame, out: str | None = None, *, id_col: str =
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     buckets = pieces(df.agg(F.sum(size)).first()[0] or 0, bucket_bytes)
     columns = df.columns
-    tag = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.spark_partition_id())
+    hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    tag = F.xxhash64(F.lit(seed), *hashed)
     tagged = df.select(F.struct(*columns).alias("row"), tag.alias("tag")).withColumn("bucket", F.pmod("tag", F.lit(buckets)).cast("int"))
     counts = tagged.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket")

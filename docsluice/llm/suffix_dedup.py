@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.blocks import ANSWER, SENT, Keyed, bucket_bits, mix, on_blocks, pack_ints, read_answers, sent_table, summed, unpack_ints, with_answers, write_blocks
-from docsluice.llm.common import saved, text_bytes
+from docsluice.llm.blocks import ANSWER, SENT, Keyed, bucket_bits, by_block, mix, on_blocks, pack_ints, read_answers, sent_table, summed, unpack_ints, with_answers, write_blocks
+from docsluice.llm.common import text_bytes
 
 GRAM = 64
 #: Anchors with more occurrences are split further, by the place of the window around them.
 HOT = 20_000
 HOT_STEP = 32
 #: Bytes of text that anchors are found in at a time, and of stretches that one suffix order is made of.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _PLACE = np.uint64((1 << 31) - 1)
 #: No byte of UTF-8.
 _BREAK = b"\xff"
@@ -346,31 +346,29 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
     blocks = write_blocks(rows, ["id", "text", "rest"], _encode, f"doc_ids array<long>, rest array<{rows.schema['rest'].dataType.simpleString()}>, ends binary, data binary", "texts")
     kept = blocks.select("block", "ends", "data", "doc_ids")
 
-    def count(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, _, ends, data = _read_block(pa.Table.from_batches([batch.slice(i, 1)]))
-                kinds, sums, _ = summed(anchors(data, ends, least)[0])
-                yield from sent_table(keyed.send(block, kinds, sums)).to_batches()
+    def count(row: pa.Table) -> pa.Table:
+        block, _, ends, data = _read_block(row)
+        kinds, sums, _ = summed(anchors(data, ends, least)[0])
+        return sent_table(keyed.send(block, kinds, sums))
 
-    totals = keyed.merge(kept.mapInArrow(count, SENT), "anchors")
+    totals = keyed.merge(on_blocks(kept, count, SENT), "anchors")
 
-    def stretches(row: pa.Table, answers: pa.Table) -> pa.Table:
+    def stretches(row: pa.Table) -> pa.Table:
         block, _, ends, data = _read_block(row)
         found = anchors(data, ends, least)
         kinds, sums, place = summed(found[0])
-        return sent_table(_stretches(block, data, found, with_answers(kinds, sums, read_answers(answers))[place], keyed.bucket_bits, least))
+        return sent_table(_stretches(block, data, found, with_answers(kinds, sums, read_answers(row["totals"]))[place], keyed.bucket_bits, least))
 
-    sent = on_blocks(kept, totals, stretches, SENT)
-    runs = saved(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, least, keep_first), ANSWER), "runs")
+    sent = on_blocks(kept, stretches, SENT, totals=totals)
+    runs = by_block(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, least, keep_first), ANSWER), "runs")
 
     kind = arrow(schema)
 
-    def cut(row: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(row: pa.Table) -> pa.Table:
         _, ids, ends, data = _read_block(row)
         others = row["rest"][0].as_py()
         depth = np.zeros(len(data) + 1, np.int32)
-        for payload in answers["payload"]:
+        for payload in row["runs"][0].values or []:
             first, rest = unpack_ints(memoryview(payload.as_buffer()))
             np.add.at(depth, first.astype(np.int64), 1)
             np.add.at(depth, unpack_ints(rest)[0].astype(np.int64) + least, -1)
@@ -383,7 +381,7 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
         made = (result(i, x, data[a:b], gone[a:b]) for i, x, a, b in zip(ids, others, starts, ends, strict=True))
         return pa.Table.from_pylist([x for x in made if x is not None], schema=kind)
 
-    return on_blocks(blocks.select("block", "ends", "data", "doc_ids", "rest"), runs, cut, schema)
+    return on_blocks(blocks.select("block", "ends", "data", "doc_ids", "rest"), cut, schema, runs=runs)
 
 
 def arrow(schema: str) -> pa.Schema:

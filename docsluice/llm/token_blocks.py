@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.blocks import mix, write_blocks
+from docsluice.llm.blocks import mix, pack_ints, unpack_ints, write_blocks
 
 SHINGLE = 5
 SCHEMA = "doc_ids array<long>, flags binary, ends binary, words binary, tokens binary, sizes array<long>, prints array<long>, more_prints array<long>"
@@ -29,7 +29,7 @@ class TokenBlock:
         self.flags = np.frombuffer(row["flags"][0].as_py(), bool)
         self.ends = np.frombuffer(row["ends"][0].as_py(), "<i8")
         self.words = np.frombuffer(row["words"][0].as_py(), "<u8")
-        self.tokens = np.frombuffer(row["tokens"][0].as_py(), "<i4")
+        self.tokens = unpack_ints(memoryview(row["tokens"][0].as_buffer()))[0].astype(np.int32)
 
     @property
     def starts(self) -> np.ndarray:
@@ -81,7 +81,12 @@ def _encode(with_end: bool, with_sets: bool):
             ends.append(size)
         hashes = mix(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)))
         every, ends = (np.concatenate(tokens) if tokens else np.zeros(0, "<i4")), np.array(ends, "<i8")
-        out = {"doc_ids": held["id"], "flags": np.array(held["flag"], bool).tobytes(), "ends": ends.tobytes(), "words": hashes.astype("<u8").tobytes(), "tokens": every.tobytes()}
+        # frequent words get small numbers, so that most of the upper byte planes are zero
+        order = np.argsort(-np.bincount(every, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        every, hashes = rank[every], hashes[order]
+        out = {"doc_ids": held["id"], "flags": np.array(held["flag"], bool).tobytes(), "ends": ends.tobytes(), "words": hashes.astype("<u8").tobytes(), "tokens": pack_ints(every.astype(np.uint64))}
         if with_sets:
             sets, set_ends = shingle_sets(hashes, every, ends)
             out |= {"sizes": np.diff(set_ends, prepend=0).tolist(), "prints": _sums(sets, set_ends).view(np.int64).tolist(), "more_prints": _sums(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), set_ends).view(np.int64).tolist()}
