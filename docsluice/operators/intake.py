@@ -25,18 +25,19 @@ def intake(arrivals: DataFrame, known: DataFrame, max_mb: int = MAX_FILE_MB) ->
 
     A content that is known, or came earlier in the batch, is SKIPPED whatever its name; an unsupported type
     is REJECTED; a new content under a name that is known is VERSIONED with the next version; one too large
-    is FAILED (it has a version too). Nothing is looked up per row: one anti join and two windows."""
+    is FAILED (it has a version too). arrival_no is unique. The first of a content is a grouped minimum, so a
+    content that very many files share is added up before it is shuffled."""
     seen = known.select("checksum").distinct().withColumn("__seen", F.lit(True))
     last = known.groupBy("file_name").agg(F.max("doc_version").alias("__last"))
     ok = F.col("file_type").isNotNull()
-    a = arrivals.join(seen, "checksum", "left").join(last, "file_name", "left")
-    a = a.withColumn("__copy", F.row_number().over(Window.partitionBy("checksum", ok).orderBy("arrival_no")) > 1)
-    fresh = ok & F.col("__seen").isNull() & ~F.col("__copy")
+    first = arrivals.where(ok).groupBy("checksum").agg(F.min("arrival_no").alias("__first"))
+    a = arrivals.join(seen, "checksum", "left").join(first, "checksum", "left").join(last, "file_name", "left")
+    fresh = ok & F.col("__seen").isNull() & (F.col("arrival_no") == F.col("__first"))
     version = (F.coalesce("__last", F.lit(0)) + F.sum(fresh.cast("int")).over(Window.partitionBy("file_name").orderBy("arrival_no"))).cast("int")
     large = F.col("file_size") > max_mb * 1024 * 1024
     a = a.withColumn("__fresh", fresh).withColumn("doc_version", F.when(F.col("__fresh"), version))
     outcome = F.when(~ok, "REJECTED").when(~F.col("__fresh"), "SKIPPED").when(large, "FAILED").when(F.col("doc_version") > 1, "VERSIONED").otherwise("CREATED")
-    return a.withColumn("outcome", outcome).withColumn("fail_reason", F.when(F.col("outcome") == "FAILED", f"larger than {max_mb} MB")).drop("__seen", "__last", "__copy", "__fresh")
+    return a.withColumn("outcome", outcome).withColumn("fail_reason", F.when(F.col("outcome") == "FAILED", f"larger than {max_mb} MB")).drop("__seen", "__last", "__first", "__fresh")
 
 
 def outcome_counts(taken: DataFrame) -> DataFrame:
