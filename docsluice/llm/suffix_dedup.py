@@ -225,11 +225,11 @@ def _read_block(row: pa.Table) -> tuple[int, list, np.ndarray, np.ndarray]:
     return row["block"][0].as_py(), row["doc_ids"][0].as_py(), np.frombuffer(row["ends"][0].as_buffer(), "<i8"), np.frombuffer(row["data"][0].as_buffer() or b"", np.uint8)
 
 
-def _stretches(block: int, data: np.ndarray, found: tuple, totals: np.ndarray, buckets: int, least: int) -> list[tuple[int, int, bytes]]:
+def _stretches(block: int, data: np.ndarray, found: tuple, totals: np.ndarray, buckets: int, least: int, hot_from: int) -> list[tuple[int, int, bytes]]:
     """Rows of SENT with the stretches of text around anchors that occur again; equal stretches of a block
     go once, with all places where they are."""
     h, at, first, last = (x[totals >= 2] for x in found)
-    hot = totals[totals >= 2] >= HOT
+    hot = totals[totals >= 2] >= hot_from
     by_bucket: dict[int, dict] = {}
     raw = data.tobytes()
     key, offset, a, b = h, at - first, first, last
@@ -328,7 +328,7 @@ def _parts(items: list, most: int) -> list[list]:
     return out
 
 
-def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, least: int = 400, keep_first: bool = True, whole_chars: bool = True) -> DataFrame:
+def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, least: int = 400, keep_first: bool = True, whole_chars: bool = True, hot: int = HOT) -> DataFrame:
     """Find every byte covered by a `least`-byte string that starts elsewhere in the corpus (earlier, with
     `keep_first`), and return for each document what `result(id, carried, bytes, removed)` makes of it; None
     leaves it out. `carry`: other columns whose values (a dict) are handed on.
@@ -336,6 +336,7 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
     Order is that of the input: partitions, then rows. A null text is empty. `whole_chars` leaves the bytes of
     characters that are only partly covered. Repeated rows are documents like others: a repeat of a row is a
     copy of it. Texts shorter than `least` bytes lose nothing. `least` is twice the gram of 64 bytes or more.
+    Anchors that occur `hot` times are dealt to several buckets.
     """
     if least < 2 * GRAM:
         raise ValueError(f"least must be {2 * GRAM} or more")
@@ -357,7 +358,7 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
         block, _, ends, data = _read_block(row)
         found = anchors(data, ends, least)
         kinds, sums, place = summed(found[0])
-        return sent_table(_stretches(block, data, found, with_answers(kinds, sums, read_answers(row["totals"]))[place], keyed.bucket_bits, least))
+        return sent_table(_stretches(block, data, found, with_answers(kinds, sums, read_answers(row["totals"]))[place], keyed.bucket_bits, least, hot))
 
     sent = on_blocks(kept, stretches, SENT, totals=totals)
     runs = by_block(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, least, keep_first), ANSWER), "runs")
@@ -395,13 +396,13 @@ def spans_of(gone: np.ndarray) -> int:
     return int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1))
 
 
-def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, keep_first: bool = False) -> DataFrame:
+def repeat_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 400, keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; see `removed_spans`."""
 
     def digest(doc, _, data, gone):
         return {"doc_id": doc, "n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": spans_of(gone), "kept_sha256": hashlib.sha256(data[~gone].tobytes()).hexdigest()}
 
-    return removed_spans(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col=id_col, text_col=text_col, least=least, keep_first=keep_first, whole_chars=False)
+    return removed_spans(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col=id_col, text_col=text_col, least=least, keep_first=keep_first, whole_chars=False, hot=hot)
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", least: int = 400) -> DataFrame:

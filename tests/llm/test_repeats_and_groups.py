@@ -59,9 +59,9 @@ def removed(texts: list[bytes], least: int) -> list[np.ndarray]:
     return out
 
 
-@pytest.mark.parametrize("least", [130, 400])
-def test_digests_equal_brute_force(docs, rows, least):
-    got = sorted((tuple(r) for r in repeat_digests(docs, least=least).collect()), key=str)
+@pytest.mark.parametrize(("least", "hot"), [(130, 20_000), (400, 20_000), (400, 2)])
+def test_digests_equal_brute_force(docs, rows, least, hot):
+    got = sorted((tuple(r) for r in repeat_digests(docs, least=least, hot=hot).collect()), key=str)
     texts = [(r[1] or "").encode() for r in rows]
     expected = []
     for r, t, gone in zip(rows, texts, removed(texts, least), strict=True):
