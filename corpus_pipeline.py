@@ -69,10 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        from docsluice.llm import common
-
-        held = list(common._SCRATCH)
-        docs = saved(out, f"stage-{name}")
-        common._SCRATCH[:] = held  # the next stage reads it after it has dropped the others
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs

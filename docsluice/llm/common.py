@@ -28,9 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at if urlparse(at).scheme else f"file://{at}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/docsluice/{name}-{uuid.uuid4().hex}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; `drop_scratch` removes what was handed out."""
-    path = f"{shared_dir(spark).rstrip('/')}/docsluice/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     _SCRATCH.append(path)
     return path
 
@@ -50,9 +54,10 @@ def drop_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
     _SCRATCH.extend(kept)
 
 
-def saved(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and fixes what later steps read."""
-    path = scratch(df.sparkSession, name)
+def saved(df: DataFrame, name: str, *partition_by: str, keep: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, and fixes what later steps read. What is to be
+    kept is none of `drop_scratch`'s."""
+    path = (new_path if keep else scratch)(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

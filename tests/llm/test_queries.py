@@ -46,7 +46,7 @@ def test_pipeline_stages(spark):
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
     now = docs.union(extra).union(spark.createDataFrame([(10_004, f"Alone here {benchmark} and there", "en", "s", 9)], docs.schema))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, now = now, _write(stage(spark, now, DATA), name)
+        before, now = now, saved(stage(spark, now, DATA), name, keep=True)
         assert now.columns == docs.columns and 0 < now.count() <= before.count()
         ids = {r[0] for r in now.select("doc_id").collect()}
         if name == "language_id":
@@ -56,11 +56,3 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, now, DATA)
     assert out.count() == now.count() and out.where(F.col("n_tokens") == 0).count() == 0
 
-
-def _write(df, name):
-    from docsluice.llm import common
-
-    held = list(common._SCRATCH)
-    out = saved(df, name)
-    common._SCRATCH[:] = held
-    return out
