@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from docsluice.operators.inject import PATTERNS
 from docsluice.plans.queries import SCOPES
 from docsluice.plans.tables import ID_STEP, LEAST, LINES_A_PAGE, OVERLAP, WINDOW
