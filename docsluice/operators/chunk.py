@@ -165,3 +165,8 @@ def metadata_fill(chunks: DataFrame) -> DataFrame:
     filled = {c: F.col(n).isNotNull() for c, n in (("page_number_fill", "page_number"), ("sheet_name_fill", "sheet_name"), ("section_title_fill", "section_title"))}
     filled["char_span_fill"] = F.col("char_start").isNotNull() & F.col("char_end").isNotNull()
     return chunks.groupBy("file_id").agg(F.count("*").alias("chunk_count"), *(share(x).alias(c) for c, x in filled.items()))
+
+
+def chunk_flags(metrics: DataFrame) -> DataFrame:
+    """soft_flag: too many chunks are cut at the limit (from the rounded ratio)."""
+    return metrics.withColumn("soft_flag", F.col("truncated_ratio") > 0.30)

@@ -74,3 +74,26 @@ def updated(files: DataFrame, changes: DataFrame, key: str = "file_id") -> DataF
     names = [c for c in changes.columns if c != key]
     new = changes.select(key, *(F.col(c).alias(f"__{c}") for c in names))
     return files.join(new, key, "left").select(*(F.coalesce(F.col(f"__{c}").cast(files.schema[c].dataType), F.col(c)).alias(c) if c in names else F.col(c) for c in files.columns))
+
+
+def copy_raw(files: DataFrame, root: str) -> None:
+    """Write each file's content (checksum, file_name, content) to its place below `root`, a path or URI. What
+    is there already is left: the place is named by the content."""
+    placed = files.select(stored_path(F.lit(""), F.col("checksum"), F.col("file_name")).alias("place"), "content")
+
+    def write(rows) -> None:
+        import uuid
+
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for row in rows:
+            path = f"{base}{row['place']}"
+            if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"  # a task that is lost half-way leaves no half file in place
+                with fs.open_output_stream(part) as f:
+                    f.write(bytes(row["content"]))
+                fs.move(part, path)
+
+    placed.foreachPartition(write)

@@ -179,3 +179,17 @@ def rerank(texts: DataFrame, scorer: Callable[[Column], Column] | None, top_k: i
 
 def rerank_pool(top_k: int) -> int:
     return max(top_k, 20)
+
+
+def scores_or_none(backend: Callable[[str, list[str]], list[float]], query: str, texts: list[str], retries: int = 1) -> list[float] | None:
+    """A rerank service's scores; None, so that the given order is kept, if it can't be reached or stays too
+    slow. Any other error is raised, and so is an answer that doesn't score every text."""
+    for _ in range(retries + 1):
+        try:
+            scores = backend(query, texts)
+        except (ConnectionError, TimeoutError):
+            continue
+        if len(scores) != len(texts):
+            raise ValueError(f"{len(scores)} scores for {len(texts)} texts")
+        return scores
+    return None

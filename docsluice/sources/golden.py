@@ -49,3 +49,13 @@ def load_golden(spark: SparkSession, golden: DataFrame, version: str, root: str)
     put(golden, "records")
     put(spark.createDataFrame([(new, golden.count())], "payload_hash string, record_count int"), "sets")
     return "replaced" if found else "created"
+
+
+def golden_records(spark: SparkSession, version: str, root: str) -> DataFrame:
+    """A version's records in the order of their ids."""
+    return spark.read.parquet(f"{root}/records").where(F.col("set_version") == version).orderBy("id")
+
+
+def tables_ready(spark: SparkSession, names: tuple[str, ...] = ("eval_golden_sets", "eval_golden_records")) -> bool:
+    """Whether tables of these names are in the catalog."""
+    return all(spark.catalog.tableExists(n) for n in names)

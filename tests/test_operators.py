@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docsluice import agent, config
 from docsluice.operators import chunk, clean, context, embed, evaluate, ground, inject, intake, quality, report, retrieve, store
 from docsluice.sources import files as src
+from docsluice.schema import GOLDEN
 from docsluice.sources.golden import GoldenError, load_golden, read_golden
 
 FILES = "file_id long, file_name string, file_type string, doc_scope string, language string, doc_version int"
@@ -392,3 +393,29 @@ def test_agent_loop():
     assert agent.answer("q?", g, {"search_vector": chunk_of}, ok, ["x"])["answer"] == "A." and g.offered[-1] == ["submit_answer"]
     with pytest.raises(ValueError):
         agent.answer("  ", g, {}, ok, ["x"])
+
+
+def test_rerank_service_may_fail():
+    def down(query, texts):
+        raise TimeoutError
+
+    assert retrieve.scores_or_none(down, "q", ["a"]) is None
+    assert retrieve.scores_or_none(lambda q, t: [0.5] * len(t), "q", ["a", "b"]) == [0.5, 0.5]
+    with pytest.raises(ValueError):
+        retrieve.scores_or_none(lambda q, t: [], "q", ["a"])
+
+
+def test_raw_copies(spark, tmp_path):
+    rows = spark.createDataFrame([("ab12", "a file?.txt", bytearray(b"x")), ("ab12", "a file?.txt", bytearray(b"x"))], "checksum string, file_name string, content binary")
+    for _ in range(2):
+        intake.copy_raw(rows, str(tmp_path))
+    assert [p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file()] == ["raw/ab/ab12/a_file_.txt"]
+
+
+def test_golden_versions(spark, tmp_path):
+    from docsluice.sources.golden import golden_records, tables_ready
+
+    rows = spark.createDataFrame([record(id="b"), record(id="a", question="x")], GOLDEN)
+    load_golden(spark, rows, "v2", str(tmp_path / "g"))
+    assert [r["id"] for r in golden_records(spark, "v2", str(tmp_path / "g")).collect()] == ["a", "b"]
+    assert not tables_ready(spark)
