@@ -9,7 +9,8 @@ Over a corpus no task can hold all suffixes, so windows of `least` bytes are fir
 anchor of a window is its smallest 64-byte gram (by hash, the leftmost of equals); equal windows have equal
 anchors at equal offsets. Only anchors that occur twice can matter. For these the stretch of text whose
 windows share the anchor goes to the anchor's bucket, where one suffix order over all stretches that differ
-settles which windows occur again.
+settles which windows occur again. Where so many stretches of one anchor differ that their suffix order would
+not fit (over 1 MB of them), their windows are compared by hashes instead.
 """
 
 from __future__ import annotations
@@ -149,6 +150,34 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[n
     return earlier, other
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """A 64-bit hash of the `least` bytes from each start on, put together from powers of two."""
+    out, at, h, length = np.zeros(len(starts), np.uint64), starts.copy(), data.astype(np.uint64), 1
+    with np.errstate(over="ignore"):
+        while True:
+            if least & length:
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[at])
+                at += length
+            if 2 * length > least:
+                return out
+            h = h[: len(h) - length] * np.uint64(0xD6E8FEB86659FD93) + h[length:]
+            h ^= h >> np.uint64(31)
+            length *= 2
+
+
+def repeated_in_large(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """`repeated_starts` for all starts of texts too many for one suffix order: equal windows are told by
+    64-bit hashes, some texts at a time, so that a window costs a few bytes and not its text's ranks."""
+    hashes = []
+    for a in range(0, len(texts), 256):
+        some = texts[a : a + 256]
+        data = np.frombuffer(b"".join(some), np.uint8)
+        ends = np.cumsum([len(t) for t in some])
+        hashes.append(window_hashes(data, np.concatenate([np.arange(e - len(t), e - least + 1) for e, t in zip(ends, some, strict=True)]), least))
+    _, first, place, count = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+    return first[place] != np.arange(len(place)), count[place] > 1
+
+
 # -- blocks of a corpus -------------------------------------------------------------------------------
 
 
@@ -289,11 +318,14 @@ def _settle(table: pa.Table, least: int, keep_first: bool) -> pa.Table:
     for part in _parts(several, PIECE):
         # earlier stretches of the corpus come first in the text, so an earlier match is one kept before
         part.sort(key=lambda x: (x[1][0][0], int(x[1][0][1][0])))
-        data = np.frombuffer(_BREAK.join(t for (_, t), _ in part) + _BREAK, np.uint8)
-        edges = np.concatenate(([0], np.cumsum([len(t) + 1 for (_, t), _ in part])))
-        counts = np.array([len(t) - least + 1 for (_, t), _ in part])
-        starts = np.repeat(edges[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-        earlier, other = repeated_starts(data, starts, least)
+        texts = [t for (_, t), _ in part]
+        counts = np.array([len(t) - least + 1 for t in texts])
+        if sum(map(len, texts)) > 2 * PIECE:  # one anchor's
+            earlier, other = repeated_in_large(texts, least)
+        else:
+            edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+            starts = np.repeat(edges[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+            earlier, other = repeated_starts(np.frombuffer(_BREAK.join(texts) + _BREAK, np.uint8), starts, least)
         at = 0
         for ((_, text), found), n in zip(part, counts.tolist(), strict=True):
             many = sum(len(p) for _, p in found) > 1

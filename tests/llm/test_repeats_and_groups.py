@@ -9,7 +9,7 @@ import pytest
 
 from docsluice.llm.components import components
 from docsluice.llm.set_join import SkipJoin, one_of_each_group, similar_groups
-from docsluice.llm.suffix_dedup import anchors, drop_repeats, longest_previous_factors, repeat_digests, repeated_starts, suffix_array
+from docsluice.llm.suffix_dedup import anchors, drop_repeats, longest_previous_factors, repeat_digests, repeated_in_large, repeated_starts, suffix_array
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"aaaaaaaaaaaaaaaaaaaa", b"banana", b"abcabcabcx\0\0abc", bytes(random.Random(2).choices(b"ab", k=300))])
@@ -38,6 +38,18 @@ def test_repeated_starts(least):
         seen[w] += 1
 
 
+@pytest.mark.parametrize("least", [130, 200, 400, 513])
+def test_large_groups_give_the_same(least):
+    rng = random.Random(least)
+    base = bytes(rng.choices(b"abcd", k=1500))
+    texts = [base, base[100:900], base[:600], *(base[600:1200] + bytes([65 + i % 50]) * (i + 1) for i in range(300))]
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts = np.concatenate([np.arange(a, a + len(t) - least + 1) for a, t in zip(edges, texts)])
+    for a, b in zip(repeated_starts(data, starts, least), repeated_in_large(texts, least), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     base = rng.integers(97, 101, 2000).astype(np.uint8)
