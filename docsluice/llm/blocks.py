@@ -4,7 +4,7 @@ Operators that must know how often something occurs in the whole corpus work in
 documents. A block is a row with some MB of its documents, written once to a bucketed table in the shared
 folder, so that every round reads it in place and only small things are shuffled: in a round each block
 sends its distinct keys with their sums (packed), every bucket of the key space adds up what the blocks
-sent, and answers each block where the total differs from what the block itself had. So a key that a third
+sent, and answers each block by how much the totals differ from what the block itself had. So a key that a third
 of all rows share costs one entry per block, and no task holds more than a bucket or a block.
 """
 
@@ -87,27 +87,27 @@ class Keyed:
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)
 
+    def edges(self, keys: np.ndarray) -> np.ndarray:
+        """Where each bucket's keys begin among ascending keys, and the end."""
+        first = np.arange(1 << self.bucket_bits, dtype=np.uint64) << np.uint64(self.bits - self.bucket_bits)
+        return np.append(np.searchsorted(keys, first), len(keys))
+
     def send(self, block: int, keys: np.ndarray, sums: np.ndarray) -> list[tuple[int, int, bytes]]:
         """Rows of SENT for ascending keys."""
-        low = self.bits - self.bucket_bits
-        edges = np.searchsorted(keys, np.arange((1 << self.bucket_bits) + 1, dtype=np.uint64) << np.uint64(low)) if self.bucket_bits < self.bits else None
-        if edges is None:
-            edges = np.append(np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64)), len(keys))
-        edges[-1] = len(keys)
-        mask, out = np.uint64((1 << low) - 1), []
+        edges, out = self.edges(keys), []
+        mask = np.uint64((1 << self.bits - self.bucket_bits) - 1)
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[bucket], edges[bucket + 1]
             out.append((bucket, block, pack_keys(keys[a:b] & mask) + pack_ints(zigzag(sums[a:b]))))
         return out
 
     def merge(self, sent: DataFrame, name: str) -> DataFrame:
-        """Answers to the blocks: keys and totals, where they differ from the block's own; and one row
-        with block -1 for each bucket: its distinct keys with a total above 0, and the sum of all."""
-        low = np.uint64(self.bits - self.bucket_bits)
+        """Answers to the blocks: a bucket's number, and by how much the total of each key that the block sent it
+        is above the block's own sum (no keys: the block knows their order; nothing, if all are equal). And one
+        row with block -1 for each bucket: its distinct keys with a total above 0, and the sum of all."""
 
         def add(table: pa.Table) -> pa.Table:
-            bucket = np.uint64(table["bucket"][0].as_py())
-            blocks = table["block"].to_pylist()
+            bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
             keys, sums = [], []
             for payload in table["payload"]:
                 k, rest = unpack_keys(memoryview(payload.as_buffer()))
@@ -118,17 +118,27 @@ class Keyed:
             order = np.argsort(every, kind="stable")
             first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
             totals = np.add.reduceat(own[order], first)
-            total = np.empty(len(every), np.int64)
-            total[order] = np.repeat(totals, np.diff(np.append(first, len(every))))
+            more = np.empty(len(every), np.int64)
+            more[order] = np.repeat(totals, np.diff(np.append(first, len(every))))
+            more -= own
             out = [(-1, struct.pack("<qq", int((totals > 0).sum()), int(totals.sum())))]
             for block, a, b in zip(blocks, edges, edges[1:]):
-                other = np.flatnonzero(total[a:b] != own[a:b])
-                if len(other):
-                    out.append((block, pack_keys(every[a:b][other] | bucket << low) + pack_ints(zigzag(total[a:b][other]))))
+                if more[a:b].any():
+                    out.append((block, struct.pack("<q", bucket) + pack_ints(zigzag(more[a:b]))))
             return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
         return by_block(sent.groupBy("bucket").applyInArrow(add, ANSWER), name)
 
+    def totals(self, keys: np.ndarray, sums: np.ndarray, payloads: pa.ChunkedArray) -> np.ndarray:
+        """Totals over the corpus of the keys and sums that a block sent, from its answers (a column of one
+        list, or a null)."""
+        out, edges = sums.copy(), self.edges(keys)
+        for payload in payloads[0].values or []:
+            data = memoryview(payload.as_buffer())
+            (bucket,) = struct.unpack_from("<q", data)
+            out[edges[bucket] : edges[bucket + 1]] += unzigzag(unpack_ints(data[8:])[0])
+        return out
+
 
 def by_block(answers: DataFrame, name: str) -> DataFrame:
     """ANSWER rows, one row for each block with all its payloads, written to a table that is bucketed as the
@@ -144,28 +154,6 @@ def buckets_of(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def read_answers(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and totals of all answers to a block (a column of one list, or a null)."""
-    keys, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for payload in payloads[0].values or []:
-        k, rest = unpack_keys(memoryview(payload.as_buffer()))
-        keys.append(k)
-        totals.append(unzigzag(unpack_ints(rest)[0]))
-    k, t = np.concatenate(keys), np.concatenate(totals)
-    if len(k) and (np.diff(k.view(np.int64)) < 0).any() | (k[-1] < k[0]):
-        order = np.argsort(k, kind="stable")
-        k, t = k[order], t[order]
-    return k, t
-
-
-def with_answers(kinds: np.ndarray, sums: np.ndarray, answers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Totals over the corpus of a block's distinct keys."""
-    out = sums.copy()
-    if len(answers[0]):
-        out[np.searchsorted(kinds, answers[0])] = answers[1]
-    return out
-
-
 def sent_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 

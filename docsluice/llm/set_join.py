@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.blocks import SENT, Keyed, bucket_bits, by_block, key_bits, on_blocks, pack_ints, pack_keys, read_answers, sent_table, summed, unpack_ints, unpack_keys, with_answers
+from docsluice.llm.blocks import SENT, Keyed, bucket_bits, by_block, key_bits, on_blocks, pack_ints, pack_keys, sent_table, summed, unpack_ints, unpack_keys
 from docsluice.llm.common import drop_scratch, saved, text_bytes
 from docsluice.llm.components import Forest, components
 from docsluice.llm.token_blocks import TokenBlock, shingle_sets, write_token_blocks
@@ -112,7 +112,7 @@ def _postings(row: pa.Table, keyed: Keyed, percent: int) -> pa.Table:
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     rep = _representatives(row)
     kinds, sums, place, _ = _counted(block, sets, starts, ends, rep, keyed)
-    totals = with_answers(kinds, sums, read_answers(row["totals"]))[place]
+    totals = keyed.totals(kinds, sums, row["totals"])[place]
     hashes, numbers, sizes, out, at = [], [], [], [], 0
     for idx in rep.tolist():
         a, b = starts[idx], ends[idx]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.blocks import ANSWER, SENT, Keyed, bucket_bits, by_block, mix, on_blocks, pack_ints, read_answers, sent_table, summed, unpack_ints, with_answers, write_blocks
+from docsluice.llm.blocks import ANSWER, SENT, Keyed, bucket_bits, by_block, mix, on_blocks, pack_ints, sent_table, summed, unpack_ints, write_blocks
 from docsluice.llm.common import text_bytes
 
 GRAM = 64
@@ -390,7 +390,7 @@ def removed_spans(docs: DataFrame, result, schema: str, *, id_col: str = "doc_id
         block, _, ends, data = _read_block(row)
         found = anchors(data, ends, least)
         kinds, sums, place = summed(found[0])
-        return sent_table(_stretches(block, data, found, with_answers(kinds, sums, read_answers(row["totals"]))[place], keyed.bucket_bits, least, hot))
+        return sent_table(_stretches(block, data, found, keyed.totals(kinds, sums, row["totals"])[place], keyed.bucket_bits, least, hot))
 
     sent = on_blocks(kept, stretches, SENT, totals=totals)
     runs = by_block(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, least, keep_first), ANSWER), "runs")
