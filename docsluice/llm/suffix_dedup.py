@@ -32,6 +32,7 @@ HOT_STEP = 32
 #: Bytes of text that anchors are found in at a time, and of stretches that one suffix order is made of.
 PIECE = 1 << 19
 _PLACE = np.uint64((1 << 31) - 1)
+_SALT = np.uint64(0x8EBC6AF09C88C6E3)
 #: No byte of UTF-8.
 _BREAK = b"\xff"
 
@@ -242,7 +243,8 @@ def runs_of_anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.
     following = np.append(first[1:], len(ok))
     # a run ends before the next one or at the last good start of its document
     last = np.minimum(following - 1, last_ok[np.searchsorted(last_ok, first)]) if len(first) else first
-    return h[at[first]], at[first], first, last.astype(np.int64)
+    # anchors are smallest hashes: mixed again, their keys fill all buckets alike
+    return mix(h[at[first]] ^ _SALT), at[first], first, last.astype(np.int64)
 
 
 def _encode(held: dict, block: int) -> dict:
