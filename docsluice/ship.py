@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,8 +19,9 @@ def ship(spark: SparkSession) -> None:
     path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if context.applicationId in _DONE or root in path or Path.cwd() == root:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        copy = Path(folder, "package")
-        shutil.copytree(root / "docsluice", copy / "docsluice", ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(str(Path(folder, f"docsluice-{context.applicationId}")), "zip", copy))
+    folder = tempfile.mkdtemp(prefix="docsluice-package-")  # the driver serves the file while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = Path(folder, "package")
+    shutil.copytree(root / "docsluice", copy / "docsluice", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(Path(folder, f"docsluice-{context.applicationId}")), "zip", copy))
     _DONE.add(context.applicationId)
