@@ -245,6 +245,46 @@ def test_language_model_equals_brute_force(spark, empty):
     assert {r["score"] for r in score_documents(df, F.lit(False)).collect()} == {0.0}
 
 
+def brute_any_length(rows, train, least=2, gain=12.0):
+    """Held-in and held-out scores of the suffix tree without a bound on its contexts, and the kept contexts."""
+    seqs = [[b"", *r[1].encode().lower().split(), b""] for r in rows]
+    c = Counter(w for s, t in zip(seqs, train, strict=True) if t for w in s[1:])
+    base = {w: (c[w] + 1) / (sum(c.values()) + len(c) + 1) for s in seqs for w in s}
+    after = {}
+    for s, t in zip(seqs, train, strict=True):
+        for j in range(1, len(s)):
+            for m in range(1, j + 1):
+                after.setdefault(tuple(s[j - m : j]), Counter())[s[j]] += t
+
+    def share(x, w, own=0):
+        if not x:
+            return base[w]
+        n, new = sum(after[x].values()), (sum(k == 1 for k in after[x].values()) + 1) / (sum(after[x].values()) + 2)
+        return (1 - new) * max(after[x][w] - own, 0) / max(n - own, 1) + new * share(x[1:], w, own)
+
+    kept = set()
+    for x in sorted(after, key=len):
+        if sum(after[x].values()) >= least and (len(x) < 3 or x[1:] in kept):
+            if sum(k * round(1000 * math.log(share(x, w, 1) / share(x[1:], w, 1))) for w, k in after[x].items() if k) > gain * 1000:
+                kept.add(x)
+    state = lambda x: x if not x or x in kept else state(x[1:])
+    return [sum(math.log10(share(state(tuple(s[max(0, j - 6) : j])), s[j])) for j in range(1, len(s))) for s in seqs], kept
+
+
+def test_rare_and_long_contexts_are_kept(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        one, two, by = rng.choice("xyz"), rng.choice("gh"), rng.choice(["and", "then", "or"])
+        said = {"and": f"{one}{two}", "then": two, "or": "k"}[by]
+        rows.append((i, f"w{rng.randrange(99)} {one} {two} {by} so {said} " + ("once upon midnight " if i % 20 == 0 else "") + f"w{rng.randrange(99)}"))
+    df, flag = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), train_flag(F.col("doc_id"), 7, 2)
+    want, kept = brute_any_length(rows, [zlib.crc32(str(r[0]).encode()) % 7 != 2 for r in rows])
+    assert (b"upon",) in kept and max(map(len, kept)) >= 4
+    got = {r["doc_id"]: r["score"] for r in score_documents(df, flag).collect()}
+    assert [got[r[0]] for r in rows] == pytest.approx(want, abs=1e-6)
+
+
 def test_clashing_columns_of_the_model(crowded):
     assert score_documents(crowded, F.lit(True)).count() == crowded.count()
 
