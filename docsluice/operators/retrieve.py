@@ -10,8 +10,13 @@ from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from docsluice.functions.lexical import cover_density, matches, word_similarity
 from docsluice.functions.text import fold_accents, lexemes
@@ -21,6 +26,8 @@ DEFAULT_TOP_K, MAX_TOP_K = 10, 20
 VARIANTS = ("simple", "unaccent", "trgm")
 STRATEGIES = ("rrf", "weighted")
 LEAST_WORD_SIMILARITY = 0.2
+#: Rows of an index shard, queries of a lot, and queries that are scored in one step.
+SHARD_ROWS, LOT_ROWS, STEP_QUERIES = 20_000, 2_000, 32
 
 
 def effective_top_k(top_k: int | None, default: int = DEFAULT_TOP_K, most: int = MAX_TOP_K) -> int:
@@ -136,15 +143,72 @@ def search_hybrid(chunks: DataFrame, vectors: DataFrame, files: DataFrame, vecto
     return fuse(dense, sparse, k, **fusion)
 
 
-def search_dense_batch(chunks: DataFrame, vectors: DataFrame, files: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K) -> DataFrame:
-    """Several query vectors in one scan: query_id, chunk_id, score, rank. The queries, given as values, are
-    tried on each chunk; only a query's best k of a partition are shuffled."""
+def _vectors(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a list column filled up with zeros, their lengths (-1: null or with a null in it), their norms."""
+    column = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width) < lengths[:, None]] = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    lengths[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    lengths[column.is_null().to_numpy(zero_copy_only=False)] = -1
+    norm = np.zeros(len(lengths))
+    for x in out.T:
+        norm += x * x
+    return out, lengths, np.sqrt(norm)
+
+
+def _batch_best(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """Each query's best k of an index shard: query_id, chunk_id, score, as `cosine` and Spark's order have it
+    (components are added in their order; NaN is the largest, null the least; ties by chunk_id)."""
+    width = max([0, *(pc.max(pc.list_value_length(t[c])).as_py() or 0 for t, c in ((index, "embedding"), (asked, "vector")))])
+    index = index.sort_by("chunk_id")
+    rows, sizes, norms = _vectors(index["embedding"], width)
+    queries, query_sizes, query_norms = _vectors(asked["vector"], width)
+    at, of, scores, known = [], [], [], []
+    for a in range(0, len(queries), STEP_QUERIES):
+        q, q_sizes, q_norms = queries[a : a + STEP_QUERIES], query_sizes[a : a + STEP_QUERIES], query_norms[a : a + STEP_QUERIES]
+        dots = np.zeros((len(q), len(rows)))
+        for d in range(width):
+            dots += np.outer(q[:, d], rows[:, d])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dots /= q_norms[:, None] * norms
+        short = ((q_norms < 1e-6) & (q_sizes >= 0))[:, None] | ((norms < 1e-6) & (sizes >= 0))
+        dots[short] = 0.0
+        sure = short | (q_sizes[:, None] == sizes) & (sizes >= 0)
+        for i, (score, ok) in enumerate(zip(dots, sure, strict=True)):
+            odd = np.isnan(score)
+            best = np.lexsort((np.where(odd | ~ok, 0, -score), np.where(ok, ~odd, 2)))[:k]
+            at.append(best)
+            of.append(np.full(len(best), a + i))
+            scores.append(score[best])
+            known.append(ok[best])
+    at, of, scores, known = (np.concatenate(x) for x in (at, of, scores, known))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(of)), "chunk_id": index["chunk_id"].take(pa.array(at)), "score": pa.array(scores, pa.float64(), mask=~known)})
+
+
+def search_dense_batch(chunks: DataFrame, vectors: DataFrame, files: DataFrame, queries: DataFrame, scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K) -> DataFrame:
+    """Any number of query vectors (query_id, vector): query_id, chunk_id, score, rank.
+
+    Chunks are dealt to index shards by a hash, queries to lots; each shard meets each lot in one task of
+    bounded size, and only a query's best k of a shard are shuffled."""
     k = effective_top_k(top_k)
-    asked = F.array(*(F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*(F.lit(float(x)) for x in v)).alias("v")) for i, v in queries))
     joined = candidates(chunks, files, scopes).select("chunk_id").join(vectors.select("chunk_id", "embedding"), "chunk_id")
-    scored = joined.select("chunk_id", "embedding", F.explode(asked).alias("q")).select(F.col("q.query_id").alias("query_id"), "chunk_id", cosine(F.col("embedding"), F.col("q.v")).alias("score"))
+    shards, lots = (max(1, -(-df.count() // most)) for df, most in ((joined, SHARD_ROWS), (queries, LOT_ROWS)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    index = joined.select("chunk_id", "embedding", dealt(shards, "chunk_id").alias("shard"), spread(lots).alias("lot"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").select("*", dealt(lots, F.lit(7), "query_id").alias("lot"), spread(shards).alias("shard"))
+    schema = StructType([StructField("query_id", LongType()), StructField("chunk_id", joined.schema["chunk_id"].dataType), StructField("score", DoubleType())])
+    none = to_arrow_schema(schema).empty_table()
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _batch_best(a, b, k) if len(a) and len(b) else none
+
+    best = index.groupBy("shard", "lot").cogroup(asked.groupBy("shard", "lot")).applyInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def neighbours(chunks: DataFrame, files: DataFrame, anchors: DataFrame, scopes: Sequence[str] | None, window: int = 2) -> DataFrame:

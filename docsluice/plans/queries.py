@@ -95,8 +95,8 @@ def retrieval_hybrid_weighted(spark, d):
 @query
 def retrieval_batch_multi_query(spark, d):
     chunks, vectors, files, _ = _search(spark, d)
-    rows = t.table(spark, d, "embeddings").where("vec_id < 8").select("vec_id", "embedding").collect()  # eight queries
-    out = retrieve.search_dense_batch(chunks, vectors, files, [(r[0], list(r[1])) for r in rows], [f"src{i}" for i in range(20)], 5)
+    asked = t.table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the SQL's queries
+    out = retrieve.search_dense_batch(chunks, vectors, files, asked, [f"src{i}" for i in range(20)], 5)
     return out.withColumn("score", F.round("score", 6))
 
 

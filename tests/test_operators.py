@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsluice import agent, config
+from docsluice.functions.vectors import cosine
 from docsluice.operators import chunk, clean, context, embed, evaluate, ground, inject, intake, quality, report, retrieve, store
 from docsluice.sources import files as src
 from docsluice.schema import GOLDEN
@@ -69,6 +72,25 @@ def test_rerank_keeps_order_and_duplicates(corpus, spark):
     assert [r["chunk_id"] for r in retrieve.rerank(texts, lambda t: F.length(t).cast("double")).collect()] == [3, 3, 1]
 
 
+@pytest.mark.parametrize("shard_rows", [20_000, 90])
+def test_batch_search_takes_all_queries_of_a_table(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(retrieve, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(retrieve, "LOT_ROWS", 4 if shard_rows == 90 else 2000)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(600)]
+    rows += [(700 + i, rows[50][1]) for i in range(9)] + [(800, [0.0] * 5), (850, None), (900, [1.0]), (901, [1.0, None, 0.0, 0.0, 0.0]), (950, [float("nan")] * 5)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    files = vectors.select(F.col("chunk_id").alias("file_id"), F.when(F.col("chunk_id") % 7 == 3, "y").otherwise("x").alias("doc_scope"))
+    chunks = vectors.select("chunk_id", F.col("chunk_id").alias("file_id"))
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = retrieve.search_dense_batch(chunks, vectors, files, asked, ["x"], 5).collect()
+    every = vectors.where("chunk_id % 7 <> 3").crossJoin(asked).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    want = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 5").collect()
+    assert len(got) == 5 * asked.count() == 85
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    assert retrieve.search_dense_batch(chunks, vectors, files, asked.limit(0), ["x"]).count() == 0
+
+
 def windows(n, most, overlap, least):
     """The rule, step by step."""
     if n <= most:
