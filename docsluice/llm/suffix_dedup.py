@@ -10,7 +10,7 @@ anchor of a window is its smallest 64-byte gram (by hash, the leftmost of equals
 anchors at equal offsets. Only anchors that occur twice can matter. For these the stretch of text whose
 windows share the anchor goes to the anchor's bucket, where one suffix order over all stretches that differ
 settles which windows occur again. Where so many stretches of one anchor differ that their suffix order would
-not fit (over 1 MB of them), their windows are compared by hashes instead.
+not fit (over 1 MB of them), their windows are grouped by hashes instead, and the groups confirmed by bytes.
 """
 
 from __future__ import annotations
@@ -167,18 +167,43 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarra
 
 
 def repeated_in_large(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """`repeated_starts` for all starts of texts too many for one suffix order: equal windows are told by
-    64-bit hashes, some texts at a time, so that a window costs a few bytes and not its text's ranks."""
+    """`repeated_starts` for all starts of texts too many for one suffix order: equal windows are found by
+    64-bit hashes, some texts at a time, so that a window costs a few bytes and not its text's ranks. Their
+    bytes are compared; windows whose hashes meet by chance are told apart by their bytes."""
     hashes = []
     for a in range(0, len(texts), 256):
         some = texts[a : a + 256]
         data = np.frombuffer(b"".join(some), np.uint8)
         ends = np.cumsum([len(t) for t in some])
         hashes.append(window_hashes(data, np.concatenate([np.arange(e - len(t), e - least + 1) for e, t in zip(ends, some, strict=True)]), least))
-    _, first, place, count = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+    place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    place = _confirmed(texts, place, least)
+    _, first, place, count = np.unique(place, return_index=True, return_inverse=True, return_counts=True)
     return first[place] != np.arange(len(place)), count[place] > 1
 
 
+def _confirmed(texts: list[bytes], place: np.ndarray, least: int) -> np.ndarray:
+    """Each window's group, with groups of windows that differ split. Windows that follow each other and have
+    the first ones of their groups at one distance are compared in one piece."""
+    raw = b"".join(texts)
+    edges = np.cumsum([0, *map(len, texts)])
+    at = np.concatenate([np.arange(a, b - least + 1) for a, b in zip(edges, edges[1:])])
+    _, first, group = np.unique(place, return_index=True, return_inverse=True)
+    back = at - at[first[group]]
+    new = np.flatnonzero((np.diff(back, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+    mixed = set()
+    for i, j in zip(new.tolist(), np.append(new[1:], len(at)).tolist()):
+        a, b, d = int(at[i]), int(at[j - 1]) + least, int(back[i])
+        if d and raw[a:b] != raw[a - d : b - d]:
+            mixed.update(group[i:j].tolist())
+    if mixed:
+        kinds: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(np.isin(group, list(mixed))).tolist():
+            x = int(at[i])
+            group[i] = kinds.setdefault((int(group[i]), raw[x : x + least]), len(first) + len(kinds))
+    return group
+
+
 # -- blocks of a corpus -------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from docsluice.llm.components import components
 from docsluice.llm.set_join import SkipJoin, one_of_each_group, similar_groups
+from docsluice.llm import suffix_dedup
 from docsluice.llm.suffix_dedup import anchors, drop_repeats, longest_previous_factors, repeat_digests, repeated_in_large, repeated_starts, suffix_array
 
 
@@ -50,6 +51,12 @@ def test_large_groups_give_the_same(least):
         assert a.tolist() == b.tolist()
 
 
+def test_windows_whose_hashes_meet_are_told_apart(monkeypatch):
+    true = suffix_dedup.window_hashes
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda *x: true(*x) & np.uint64(15))
+    test_large_groups_give_the_same(200)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     base = rng.integers(97, 101, 2000).astype(np.uint8)
