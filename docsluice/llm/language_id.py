@@ -1,6 +1,7 @@
 """Language ID by bit-sliced Bloom filters over character n-grams.
 
-A slot of the filter is a bit mask with a bit per language. The masks at an n-gram's slots, and-ed, tell
+A slot of the filter is a bit mask with a bit per language, in as many words of 64 bits as the languages
+need. The masks at an n-gram's slots, and-ed, tell
 all languages that have the n-gram at once (or seem to, by chance). A text's hits are counted for each
 language, the hits expected by chance are taken off, and the language with most hits left is the answer.
 """
@@ -64,7 +65,8 @@ def chunk_words(chunk: str) -> list[str]:
 
 @dataclass
 class LanguageFilter:
-    """The learned filter: masks of the slots, the languages in bit order, each language's fill."""
+    """The learned filter: masks of the slots (a row for each 64 languages), the languages in bit order, each
+    language's fill."""
 
     languages: list[str]
     masks: np.ndarray
@@ -77,11 +79,11 @@ class LanguageFilter:
         """grams: each language's n-gram hashes."""
         most = max([1, *map(len, grams.values())])
         slots = 1 << max(10, int(np.ceil(np.log2(most * HASHES / FILL))))
-        masks = np.zeros(slots, np.uint64)
+        masks = np.zeros((max(1, -(-len(languages) // 64)), slots), np.uint64)
         for bit, lang in enumerate(languages):
             for at in cls._slots(grams[lang], slots):
-                masks[at] |= np.uint64(1 << bit)
-        fill = np.array([np.mean(masks >> np.uint64(bit) & np.uint64(1)) for bit in range(len(languages))])
+                masks[bit // 64, at] |= np.uint64(1 << bit % 64)
+        fill = np.array([np.mean(masks[bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) for bit in range(len(languages))])
         return cls(languages, masks, fill, sizes)
 
     @staticmethod
@@ -98,12 +100,12 @@ class LanguageFilter:
         codes, starts = word_codes(words)
         for n in self.sizes:
             h, word = hashed_ngrams(codes, starts, n)
-            found = np.full(len(h), ~np.uint64(0), np.uint64)
-            for at in self._slots(h, len(self.masks)):
-                found &= self.masks[at]
+            found = np.full((len(self.masks), len(h)), ~np.uint64(0), np.uint64)
+            for at in self._slots(h, self.masks.shape[1]):
+                found &= self.masks[:, at]
             out[:, 0] += np.bincount(word, minlength=len(words))
             for bit in range(len(self.languages)):
-                out[:, 1 + bit] += np.bincount(word[(found >> np.uint64(bit) & np.uint64(1)).astype(bool)], minlength=len(words))
+                out[:, 1 + bit] += np.bincount(word[(found[bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(bool)], minlength=len(words))
         return out
 
     def decide(self, counts: list[int]) -> tuple[str, float]:
@@ -119,12 +121,10 @@ class LanguageFilter:
 def fit_language_filter(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE, sizes: tuple[int, ...] = SIZES) -> LanguageFilter:
     """Learn from rows with a language (and `train`): about `fit_rows` of each language, chosen by a hash
     of the id, all if there are fewer. What comes to the driver is bounded: at most 1 / least_share n-grams
-    of a size and language. Up to 64 languages. Without a labelled row no language is learned, and every
+    of a size and language. Without a labelled row no language is learned, and every
     prediction is `und`."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.lit(True) if train is None else train)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
-    if len(sizes_by) > 64:
-        raise ValueError("language ID takes up to 64 languages")
+    sizes_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes_by:
         return LanguageFilter.build([], {}, sizes)
     share = F.create_map(*[x for lang, n in sizes_by.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])

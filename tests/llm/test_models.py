@@ -186,6 +186,18 @@ def test_language_id(spark, docs, empty, crowded):
     assert identify_language(crowded, model).count() == crowded.count()
 
 
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(6)
+    langs = {f"l{i:03}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for i in range(130)}
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60)), lang) for i, (lang, letters) in enumerate(x for x in langs.items() for _ in range(6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = fit_language_filter(df)
+    assert model.languages == sorted(langs) and model.masks.shape[0] == 3
+    out = identify_language(df, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.97 * len(out)
+    assert {r["lang_pred"] for r in out} >= {"l000", "l063", "l064", "l128", "l129"}
+
+
 def brute_tree(rows, train):
     """The suffix tree, in dicts."""
     seqs = [[b"", *(r[1] or "").encode().lower().split(), b""] for r in rows]
