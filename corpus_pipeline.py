@@ -15,7 +15,9 @@ from docsluice.llm.suffix_dedup import drop_repeats
 
 #: A document is rejected below this share of n-grams that belong to its language.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Passages of 50 words have more bytes than this, in any of the corpus's languages.
+#: Passages of over 50 words of prose have more bytes than this. Runs of very short words may not, and then stay:
+#: on sf0.1, 166 of 9,514 documents of 51 words or more have 51 words in fewer bytes (101 at least), and 96 of them
+#: share such a run with another document.
 REPEAT_BYTES = 200
 
 
