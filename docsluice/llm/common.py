@@ -2,71 +2,108 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
-_TABLES: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder stands in for it.
+    Only where that is unset and Spark runs on one machine (tests, a laptop) a temporary folder stands in for
+    it; on a cluster that is an error, since executors could not read each other's files.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at is None:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = set_already.get() if set_already.isDefined() else f"file://{tempfile.mkdtemp(prefix='docsluice-')}"
+        if set_already.isDefined():
+            at = set_already.get()
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            at = f"file://{tempfile.mkdtemp(prefix='docsluice-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
     return at if urlparse(at).scheme else f"file://{at}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/docsluice/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """Files and tables of one run in the shared folder: whoever holds it deletes them by `close`.
+
+    An operator's own Scratch is closed when it returns. What its result reads is in the caller's, where one
+    was given; else those files stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._tables = spark, [], []
 
+    def path(self, name: str) -> str:
+        self._paths.append(f"{shared_dir(self.spark).rstrip('/')}/docsluice/{name}-{uuid.uuid4().hex}")
+        return self._paths[-1]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; `drop_scratch` removes what was handed out."""
-    path = new_path(spark, name)
-    _SCRATCH.append(path)
-    return path
+    def saved(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        """Written to the shared folder and read again: cuts lineage, and fixes what later steps read."""
+        path, writer = self.path(name), df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """Written to a table in buckets of a column: joins and groups by it need no exchange then."""
+        self._tables.append(f"docsluice_{name}_{uuid.uuid4().hex}")
+        df.write.bucketBy(buckets_of(self.spark), column).option("path", self.path(name)).option("compression", "zstd").saveAsTable(self._tables[-1])
+        return self.spark.table(self._tables[-1])
 
-def drop_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete what `scratch` handed out before, but for the files that `keep` reads: for use when all other
-    results built on it are written."""
-    kept = [p for p in _SCRATCH if keep is not None and any(p.split("://")[-1] in f for f in keep.inputFiles())]
-    while _TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        if (name := _SCRATCH.pop()) not in kept:
-            path = hadoop(name)
+    def close(self) -> None:
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self._paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._paths.pop())
             path.getFileSystem(conf).delete(path, True)
-    _SCRATCH.extend(kept)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """In a Python worker: the model of this key, made once and kept for the tasks that follow. Workers serve
+    one stage after the other, so a worker keeps one model only: another key's is let go first."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
-def saved(df: DataFrame, name: str, *partition_by: str, keep: bool = False) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and fixes what later steps read. What is to be
-    kept is none of `drop_scratch`'s."""
-    path = (new_path if keep else scratch)(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def let_go() -> None:
+    """Give back the memory of a model that an earlier stage left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
 
-def scratch_table(name: str) -> str:
-    """A new table name, dropped along with its files."""
-    _TABLES.append(f"docsluice_{name}_{uuid.uuid4().hex}")
-    return _TABLES[-1]
+def named(column: str) -> Column:
+    """A column by its name as it stands, with dots, spaces or quotes in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +112,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, a null as none."""
-    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return df.agg(F.sum(F.octet_length(named(column)))).first()[0] or 0
 
 
 def pieces(total: int, each: int, least: int = 1) -> int:

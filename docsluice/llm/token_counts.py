@@ -8,43 +8,25 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docsluice.llm.common import TwoGenerationCache, texts
-from docsluice.llm.token_files import _WIDE
-
-_LENGTHS: dict[str, TokenLengths] = {}
+from docsluice.llm.common import held, named, texts
 
 
 class TokenLengths:
-    """Byte lengths of a text's tokens, under a byte-level vocabulary given as ranks.
-
-    Such tokens' bytes are the text's bytes, so lengths are spans. Pieces that begin with a space after a
-    character that is no white space are encoded apart and kept (no token crosses there)."""
+    """Byte lengths of a text's tokens, under a byte-level vocabulary given as ranks. Such tokens' bytes are the
+    text's bytes, so lengths are spans."""
 
-    def __init__(self, ranks: bytes, pattern: str, cache: int = 400_000):
+    def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        self.size = [0] * (max(merges.values()) + 1)
+        self.size = np.zeros(max(merges.values()) + 1, np.int64)
         for token, i in merges.items():
             self.size[i] = len(token)
-        if max(self.size) > 255:
-            raise ValueError("a token has more than 255 bytes")
-        self.cache = TwoGenerationCache(cache)
-
-    def _plain(self, text: str) -> bytes:
-        return bytes([self.size[i] for i in self.encode(text)])
 
     def of(self, text: str) -> np.ndarray:
-        if _WIDE.search(text):
-            return np.frombuffer(self._plain(text), np.uint8)
-        first, *rest = text.split(" ")
-        for x in self.cache.unknown(rest):
-            self.cache.young[x] = self._plain(" " + x)
-        known = self.cache.young
-        return np.frombuffer(self._plain(first) + b"".join([known[x] for x in rest]), np.uint8)
+        return self.size[np.asarray(self.encode(text), np.int64)]
 
 
 def allocate(token_ends: np.ndarray, edges: np.ndarray, rule: str) -> np.ndarray:
@@ -95,10 +77,7 @@ def count_tokens_by_line(docs: DataFrame, ranks_file: str, pattern: str, *, id_c
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        key = hashlib.sha256(ranks.value).hexdigest()
-        if key not in _LENGTHS:
-            _LENGTHS[key] = TokenLengths(ranks.value, pattern)
-        lengths = _LENGTHS[key]
+        lengths = held(("token lengths", hashlib.sha256(ranks.value).hexdigest(), pattern), lambda: TokenLengths(ranks.value, pattern))
         for batch in batches:
             ids, got = [], [[] for _ in range(5)]
             for row, text in enumerate(texts(batch, "text")):
@@ -114,4 +93,4 @@ def count_tokens_by_line(docs: DataFrame, ranks_file: str, pattern: str, *, id_c
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.concatenate(ids))), *(pa.array(x, of if i == 3 else pa.int64()) for i, x in enumerate(columns))], names=["id", "section", "start_char", "end_char", "n_tokens", "doc_tokens"])
 
     schema = f"id {id_type}, section long, start_char long, end_char long, n_tokens {kind}, doc_tokens long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -11,19 +12,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.llm.bpe import byte_alphabet
-from docsluice.llm.common import TwoGenerationCache, pieces, saved, scratch, text_bytes, texts
+from docsluice.llm.common import Scratch, held, named, pieces, text_bytes, texts
 
 MAGIC = b"DSTOK001"
 HEAD = struct.Struct("<8sQQQBBxxxxxx")  # magic, documents, ids, select step, bytes an id, low bits
 FILE_TEXT_BYTES = 20 << 20
 FILE_IDS = 16 << 20
-_ENCODERS: dict[str, PieceEncoder] = {}
 
 
 class EliasFano:
@@ -122,93 +121,62 @@ class TokenFile:
         return self.ids[start:end]
 
 
-class PieceEncoder:
-    """A byte-level tokenizer file behind caches of pieces and of pretokens.
+class RankEncoder:
+    """A byte-level tokenizer file, read as ranks.
 
-    No pretoken crosses from a character that is no white space to a space, so a text may be cut before
-    such spaces and its pieces encoded on their own: cut into pretokens by the byte-level pattern, each
-    given to the file's merge model. Texts with a space after other white space, or with an added token's
-    string, go through the library whole."""
+    Where the file's ids ascend with its merges, the lowest merge is the one with the lowest id, so the ranks
+    alone (tokens' bytes with their ids) give the same ids, and a whole text is encoded by them at once. Texts with
+    an added token's string go through the tokenizers library, and so do all texts of a file of another order."""
 
-    def __init__(self, spec: bytes, width: int, pattern: str, cache: int = 400_000):
+    def __init__(self, spec: bytes, width: int, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.model, self.type = self.tokenizer.model, f"<u{width}"
+        self.tokenizer, self.type = Tokenizer.from_str(spec.decode()), f"<u{width}"
         self.added = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.split, self.letters = regex.compile(pattern).findall, byte_alphabet()
-        self.pieces, self.pretokens = TwoGenerationCache(cache), TwoGenerationCache(cache)
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def _pretokens(self, piece: str) -> list[str]:
-        if piece[0] == " " or piece[0].isalpha():
-            if piece[1:].isalpha():
-                return [piece]
-            if piece[1:-1].isalpha() and piece[-1] in ",.":
-                return [piece[:-1], piece[-1]]
-        return self.split(piece)
-
-    def _learn(self, pieces: list[str]) -> None:
-        cut = [self._pretokens(x) for x in pieces]
-        letters, tokenize = self.letters, self.model.tokenize
-        for x in self.pretokens.unknown([t for ts in cut for t in ts]):
-            ids = [t.id for t in tokenize("".join([letters[b] for b in x.encode()]))]
-            self.pretokens.young[x] = np.asarray(ids, self.type).tobytes()
-        known = self.pretokens.young
-        self.pieces.young.update((x, b"".join([known[t] for t in ts])) for x, ts in zip(pieces, cut, strict=True))
+        model, byte_of = json.loads(spec)["model"], {c: b for b, c in enumerate(byte_alphabet())}
+        vocab = {t: i for t, i in model["vocab"].items() if set(t) <= byte_of.keys()}
+        merged = [vocab.get("".join(x) if isinstance(x, list) else x.replace(" ", "", 1), -1) for x in model["merges"]]
+        in_order = len(merged) + 256 == len(vocab) and merged == sorted(set(merged)) and merged[:1] >= [256]
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+        self.by_ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if in_order else None
 
     def encode(self, text: str) -> bytes:
         """Ids as packed integers."""
-        if not text:
-            return b""
-        if _WIDE.search(text) or self.added.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        if new := self.pieces.unknown(pieces):
-            self._learn(new)
-        known = self.pieces.young
-        return b"".join([known[x] for x in pieces])
+        if self.by_ranks is None or self.added.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return np.asarray(self.by_ranks(text), self.type).tobytes()
 
 
-#: A space after white space, or one at the end.
-_WIDE = regex.compile(r"\s |^ | $")
+def rank_encoder(spec: bytes, width: int, pattern: str) -> RankEncoder:
+    return held(("ranks", hashlib.sha256(spec).hexdigest(), width, pattern), lambda: RankEncoder(spec, width, pattern))
 
 
-def piece_encoder(spec: bytes, width: int, pattern: str) -> PieceEncoder:
-    key = hashlib.sha256(spec).hexdigest() + str(width)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(spec, width, pattern)
-    return _ENCODERS[key]
-
-
-def write_token_files(docs: DataFrame, tokenizer_file: str, pattern: str, out: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_file: str, pattern: str, out: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Write all documents' ids, ascending by id (nulls first), each document closed by `end_id`.
 
-    Returns the manifest: path, start (ids in all files before), n_docs, n_ids; one row per file. A null
+    An id that is no integer counts as null. Only the id and the text are looked at. The files and the manifest
+    are in `scratch`, or the files in `out`. Returns the manifest: path, start (ids in all files before), n_docs, n_ids; one row per file. A null
     or empty text is the end id alone; `pattern` is the byte-level pretoken pattern of the tokenizer's kind; repeated ids stand side by side, ordered by a hash of the text.
     Rows are dealt by ranges of (id, text hash, a random number), so not even one id that a third of the
     rows share falls to one task. Each task writes files of at most `FILE_IDS` ids and one document more,
     under names of its own: a task that is run again leaves the first attempt's files out of the manifest.
     """
     spark = docs.sparkSession
-    out = out or scratch(spark, "tokens")
+    scratch = scratch or Scratch(spark)
+    out = out or scratch.path("tokens")
     with open(tokenizer_file, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
     parts = pieces(text_bytes(docs, text_col), FILE_TEXT_BYTES)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).try_cast("long").alias("id"), named(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(parts, *order, F.rand(1)).sortWithinPartitions(*order)
 
     def run(batches):
-        import json
-
         loaded = json.loads(spec.value)
         top = max([end_id, *loaded["model"]["vocab"].values(), *(x["id"] for x in loaded["added_tokens"])])
         width = 2 if top < 1 << 16 else 4
-        encoder, end = piece_encoder(spec.value, width, pattern), end_id.to_bytes(width, "little")
+        encoder, end = rank_encoder(spec.value, width, pattern), end_id.to_bytes(width, "little")
         fs, base = pafs.FileSystem.from_uri(out)
         fs.create_dir(base, recursive=True)
         part, ids, lengths, data, seq, size = TaskContext.get().partitionId(), [], [], [], 0, 0
@@ -232,7 +200,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, pattern: str, out: s
         if ids:
             yield flush()
 
-    manifest = saved(dealt.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"), "manifest")
+    manifest = scratch.saved(dealt.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long"), "manifest")
     at = Window.orderBy("part", "seq")
     return manifest.select("path", (F.sum("n_ids").over(at) - F.col("n_ids")).alias("start"), "n_docs", "n_ids", F.lit(out).alias("base"))
 
