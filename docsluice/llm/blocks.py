@@ -2,10 +2,14 @@
 
 Operators that must know how often something occurs in the whole corpus work in rounds over blocks of
 documents. A block is a row with some MB of its documents, written once to a bucketed table in the shared
-folder, so that every round reads it in place and only small things are shuffled: in a round each block
-sends its distinct keys with their sums (packed), every bucket of the key space adds up what the blocks
-sent, and answers each block by how much the totals differ from what the block itself had. So a key that a third
-of all rows share costs one entry per block, and no task holds more than a bucket or a block.
+folder, so that every round reads it in place and only small things are shuffled.
+
+What blocks send to the buckets of a key space goes two steps, as the digits of a number: a block sends one
+packed row to each *part* of the key space (about as many as the square root of the buckets); a part's rows of
+one *group* of blocks meet, are added up and go on, one packed row to each bucket of the part. Answers go the
+same way back. So with n blocks and as many buckets there are some n * sqrt(n) rows and not n * n, each still
+of a KB or more where a direct row would be a few bytes; no task holds more than a block, a bucket or a group's
+share of a part; and a key that a third of all rows share comes to its bucket once for each group.
 """
 
 from __future__ import annotations
@@ -16,15 +20,18 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from docsluice.llm.common import scratch, scratch_table, texts
+from docsluice.llm.common import Scratch, let_go, texts
 
 BLOCK_BYTES = 6 << 20
 #: A bucket's share of the text: its keys are those of so many bytes of text, about.
 BUCKET_TEXT = 8 << 20
-SENT = "bucket long, block long, payload binary"
+SENT = "part long, block long, payload binary"
+UP = "bucket long, part long, grp long, payload binary"
+DOWN = "part long, grp long, payload binary"
 ANSWER = "block long, payload binary"
 
 
@@ -78,95 +85,160 @@ def summed(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarr
     return kinds, count.astype(np.int64), place
 
 
-class Keyed:
-    """The key space of a round: keys of `bits` bits, dealt to 2**bucket_bits buckets by their top bits."""
+class Dealt:
+    """64-bit hashes (or their first `bits` bits, the keys) dealt to buckets by their top bits, in two steps."""
 
     def __init__(self, bits: int, bucket_bits: int):
         self.bits, self.bucket_bits = bits, min(bucket_bits, bits)
+        self.part_bits = self.bucket_bits // 2
+        self.inner_bits = self.bucket_bits - self.part_bits
+        self.groups = 1 << self.inner_bits
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)
 
-    def edges(self, keys: np.ndarray) -> np.ndarray:
-        """Where each bucket's keys begin among ascending keys, and the end."""
-        first = np.arange(1 << self.bucket_bits, dtype=np.uint64) << np.uint64(self.bits - self.bucket_bits)
-        return np.append(np.searchsorted(keys, first), len(keys))
+    def part_edges(self, keys: np.ndarray) -> np.ndarray:
+        """Where each part's keys begin among ascending keys, and the end."""
+        return _edges(keys, self.part_bits, self.bits)
+
+    def inner_edges(self, keys: np.ndarray) -> np.ndarray:
+        """The same for the buckets of a part, and keys without the part's bits."""
+        return _edges(keys, self.inner_bits, self.bits - self.part_bits)
+
+    def within_part(self, keys: np.ndarray) -> np.ndarray:
+        return keys & np.uint64((1 << self.bits - self.part_bits) - 1)
+
+    def within_bucket(self, keys: np.ndarray) -> np.ndarray:
+        return keys & np.uint64((1 << self.bits - self.bucket_bits) - 1)
+
+    def grouped(self, sent: DataFrame) -> DataFrame:
+        return sent.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(self.groups)))
+
+    def gathered(self, sent: DataFrame, gather: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        """The first step: `gather` makes rows of UP of the rows of SENT of one part and group."""
+        return self.grouped(sent).groupBy("part", "grp").applyInArrow(lambda rows: gather(rows), UP)  # a bound method seems to take the key too
+
+    def exchange(self, sent: DataFrame, gather: Callable, settle: Callable, deal: Callable) -> DataFrame:
+        """There and back: `settle` makes rows of DOWN of a bucket's rows of UP, and `deal`, from a part's and
+        group's rows of SENT and of DOWN, rows of ANSWER. Rows of DOWN for part -1 - bucket have no rows of SENT."""
+        down = self.gathered(sent, gather).groupBy("bucket").applyInArrow(lambda rows: settle(rows), DOWN)
+        return self.grouped(sent).groupBy("part", "grp").cogroup(down.groupBy("part", "grp")).applyInArrow(lambda rows, answers: deal(rows, answers), ANSWER)
+
+
+def _edges(keys: np.ndarray, top: int, bits: int) -> np.ndarray:
+    return np.append(np.searchsorted(keys, np.arange(1 << top, dtype=np.uint64) << np.uint64(bits - top)), len(keys))
+
+
+def table_of(schema: str, rows: list[tuple]) -> pa.Table:
+    """Rows of SENT, UP, DOWN or ANSWER."""
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.table({n: pa.array(c, pa.binary() if t == "binary" else pa.int64()) for (n, t), c in zip(fields, columns, strict=True)})
+
+
+def payloads_by(table: pa.Table, column: str) -> list[tuple[int, memoryview]]:
+    """Payloads in the order of a column, the same wherever these rows meet again."""
+    return sorted(zip(table[column].to_pylist(), (memoryview(x.as_buffer()) for x in table["payload"]), strict=True), key=lambda x: x[0])
+
+
+class Keyed(Dealt):
+    """Sums over the corpus of integers by key."""
 
     def send(self, block: int, keys: np.ndarray, sums: np.ndarray) -> list[tuple[int, int, bytes]]:
         """Rows of SENT for ascending keys."""
-        edges, out = self.edges(keys), []
-        mask = np.uint64((1 << self.bits - self.bucket_bits) - 1)
-        for bucket in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[bucket], edges[bucket + 1]
-            out.append((bucket, block, pack_keys(keys[a:b] & mask) + pack_ints(zigzag(sums[a:b]))))
-        return out
+        edges = self.part_edges(keys)
+        return [(part, block, _packed(self.within_part(keys[a:b]), sums[a:b])) for part in np.flatnonzero(np.diff(edges)).tolist() for a, b in [edges[part : part + 2]]]
 
-    def merge(self, sent: DataFrame, name: str) -> DataFrame:
-        """Answers to the blocks: a bucket's number, and by how much the total of each key that the block sent it
+    def merge(self, sent: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """Answers to the blocks: a part's number, and by how much the total of each key that the block sent it
         is above the block's own sum (no keys: the block knows their order; nothing, if all are equal). And one
-        row with block -1 for each bucket: its distinct keys with a total above 0, and the sum of all."""
+        row for each bucket, with block -1 - bucket: its distinct keys with a total above 0, and the sum of all."""
+
+        def gather(table: pa.Table) -> pa.Table:
+            part, grp = table["part"][0].as_py(), table["grp"][0].as_py()
+            keys, sums, *_ = _added([x for _, x in payloads_by(table, "block")])
+            edges = self.inner_edges(keys)
+            return table_of(UP, [(part << self.inner_bits | i, part, grp, _packed(self.within_bucket(keys[a:b]), sums[a:b])) for i in np.flatnonzero(np.diff(edges)).tolist() for a, b in [edges[i : i + 2]]])
 
         def add(table: pa.Table) -> pa.Table:
-            bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
-            keys, sums = [], []
-            for payload in table["payload"]:
-                k, rest = unpack_keys(memoryview(payload.as_buffer()))
-                keys.append(k)
-                sums.append(unzigzag(unpack_ints(rest)[0]))
-            edges = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-            every, own = np.concatenate(keys), np.concatenate(sums)
-            order = np.argsort(every, kind="stable")
-            first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
-            totals = np.add.reduceat(own[order], first)
-            more = np.empty(len(every), np.int64)
-            more[order] = np.repeat(totals, np.diff(np.append(first, len(every))))
-            more -= own
-            out = [(-1, struct.pack("<qq", int((totals > 0).sum()), int(totals.sum())))]
-            for block, a, b in zip(blocks, edges, edges[1:]):
+            bucket, part = table["bucket"][0].as_py(), table["part"][0].as_py()
+            from_groups = payloads_by(table, "grp")
+            _, totals, place, own, edges = _added([x for _, x in from_groups])
+            more = totals[place] - own
+            out = [(-1, bucket, struct.pack("<qq", int((totals > 0).sum()), int(totals.sum())))]
+            for (grp, _), a, b in zip(from_groups, edges, edges[1:]):
                 if more[a:b].any():
-                    out.append((block, struct.pack("<q", bucket) + pack_ints(zigzag(more[a:b]))))
-            return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "payload": pa.array([x[1] for x in out], pa.binary())})
+                    out.append((part, grp, struct.pack("<q", bucket & (1 << self.inner_bits) - 1) + pack_ints(zigzag(more[a:b]))))
+            return table_of(DOWN, out)
+
+        def deal(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            if not len(rows):
+                return table_of(ANSWER, [(-1 - answers["grp"][0].as_py(), answers["payload"][0].as_py())])
+            part, from_blocks = rows["part"][0].as_py(), payloads_by(rows, "block")
+            keys, sums, place, own, edges = _added([x for _, x in from_blocks])
+            totals = self._raised(sums, self.inner_edges(keys), answers["payload"])
+            more, out = totals[place] - own, []
+            for (block, _), a, b in zip(from_blocks, edges, edges[1:]):
+                if more[a:b].any():
+                    out.append((block, struct.pack("<q", part) + pack_ints(zigzag(more[a:b]))))
+            return table_of(ANSWER, out)
 
-        return by_block(sent.groupBy("bucket").applyInArrow(add, ANSWER), name)
+        return by_block(self.exchange(sent, gather, add, deal), scratch, name)
 
-    def totals(self, keys: np.ndarray, sums: np.ndarray, payloads: pa.ChunkedArray) -> np.ndarray:
-        """Totals over the corpus of the keys and sums that a block sent, from its answers (a column of one
-        list, or a null)."""
-        out, edges = sums.copy(), self.edges(keys)
-        for payload in payloads[0].values or []:
+    @staticmethod
+    def _raised(sums: np.ndarray, edges: np.ndarray, payloads) -> np.ndarray:
+        out = sums.copy()
+        for payload in payloads:
             data = memoryview(payload.as_buffer())
-            (bucket,) = struct.unpack_from("<q", data)
-            out[edges[bucket] : edges[bucket + 1]] += unzigzag(unpack_ints(data[8:])[0])
+            (i,) = struct.unpack_from("<q", data)
+            out[edges[i] : edges[i + 1]] += unzigzag(unpack_ints(data[8:])[0])
         return out
 
-
-def by_block(answers: DataFrame, name: str) -> DataFrame:
+    def totals(self, keys: np.ndarray, sums: np.ndarray, payloads: pa.ChunkedArray) -> np.ndarray:
+        """Totals over the corpus of the keys and sums that a block sent, from its answers (a column of one
+        list, or a null)."""
+        return self._raised(sums, self.part_edges(keys), payloads[0].values or [])
+
+
+def _packed(keys: np.ndarray, sums: np.ndarray) -> bytes:
+    return pack_keys(keys) + pack_ints(zigzag(sums))
+
+
+def _added(payloads: list[memoryview]) -> tuple[np.ndarray, ...]:
+    """Distinct keys of all payloads and their sums; each entry's place among them and own sum; where each
+    payload's entries begin, and the end."""
+    keys, sums = [], []
+    for payload in payloads:
+        k, rest = unpack_keys(payload)
+        keys.append(k)
+        sums.append(unzigzag(unpack_ints(rest)[0]))
+    edges = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+    every, own = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(every, kind="stable")  # the parts are ascending: this merges them
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    first = np.flatnonzero(new)
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return every[first], np.add.reduceat(own[order], first) if len(first) else own, place, own, edges
+
+
+def by_block(answers: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """ANSWER rows, one row for each block with all its payloads, written to a table that is bucketed as the
     blocks are: each round's answers are shuffled once and then read in place."""
-    spark = answers.sparkSession
-    table = scratch_table(name)
-    one = answers.groupBy("block").agg(F.collect_list("payload").alias("payloads"))
-    one.write.bucketBy(buckets_of(spark), "block").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    return scratch.bucketed(answers.groupBy("block").agg(F.collect_list("payload").alias("payloads")), "block", name)
 
 
-def buckets_of(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
-def sent_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def write_blocks(docs: DataFrame, columns: list[str], encode: Callable[[list[dict], int], dict], schema: str, name: str, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+def write_blocks(docs: DataFrame, columns: list[str], encode: Callable[[dict, int], dict], schema: str | StructType, scratch: Scratch, name: str, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """Write `docs` in blocks: `encode` makes a row (without its block number) of a list of documents.
 
     The table is bucketed by block, so grouping by block needs no exchange. A block is numbered by its
     input partition and its place there.
     """
-    spark: SparkSession = docs.sparkSession
 
     def run(batches):
+        let_go()
         at = TaskContext.get().partitionId() << 20
         held, size = {c: [] for c in columns}, 0
 
@@ -188,13 +260,9 @@ def write_blocks(docs: DataFrame, columns: list[str], encode: Callable[[list[dic
         if size:
             yield flush(at)
 
-    from pyspark.sql.types import StructType
-
-    kind = StructType.fromDDL(f"block long, {schema}")
-    table = scratch_table(name)
-    out = docs.select(*columns).mapInArrow(run, kind)
-    out.write.bucketBy(buckets_of(spark), "block").option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kind = StructType([StructField("block", LongType()), *fields])
+    return scratch.bucketed(docs.select(*columns).mapInArrow(run, kind), "block", name)
 
 
 def bucket_bits(total_text: int) -> int:
@@ -211,7 +279,12 @@ def on_blocks(blocks: DataFrame, run: Callable[[pa.Table], pa.Table], schema: st
     answers are bucketed alike, so neither is shuffled."""
     for name, df in answers.items():
         blocks = blocks.join(df.withColumnRenamed("payloads", name), "block", "left")
-    return blocks.groupBy("block").applyInArrow(run, schema)
+
+    def alone(table: pa.Table) -> pa.Table:
+        let_go()
+        return run(table)
+
+    return blocks.groupBy("block").applyInArrow(alone, schema)
 
 
 def stats(answers: DataFrame) -> tuple[int, int]:
@@ -222,5 +295,5 @@ def stats(answers: DataFrame) -> tuple[int, int]:
             pairs = [struct.unpack("<qq", x) for row in batch.column("payloads").to_pylist() for x in row]
             yield pa.RecordBatch.from_pydict({"kinds": pa.array([p[0] for p in pairs], pa.int64()), "total": pa.array([p[1] for p in pairs], pa.int64())})
 
-    row = answers.where("block = -1").select("payloads").mapInArrow(read, "kinds long, total long").agg(F.sum("kinds"), F.sum("total")).first()
+    row = answers.where("block < 0").select("payloads").mapInArrow(read, "kinds long, total long").agg(F.sum("kinds"), F.sum("total")).first()
     return row[0] or 0, row[1] or 0

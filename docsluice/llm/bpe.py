@@ -12,9 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docsluice.llm.common import TwoGenerationCache, texts
-
-_MODELS: dict[str, WordBpe] = {}
+from docsluice.llm.common import TwoGenerationCache, held, named, texts
 
 
 def byte_alphabet() -> list[str]:
@@ -129,11 +127,8 @@ _ODD = re.compile("[\x1c-\x1f]")
 
 
 def word_bpe(spec: bytes) -> WordBpe:
-    """The model of a tokenizer file, kept while the Python process lives."""
-    key = hashlib.sha256(spec).hexdigest()
-    if key not in _MODELS:
-        _MODELS[key] = WordBpe(spec)
-    return _MODELS[key]
+    """The model of a tokenizer file, kept while a Python worker works on its stage."""
+    return held(("word bpe", hashlib.sha256(spec).hexdigest()), lambda: WordBpe(spec))
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_texts: bool = False) -> DataFrame:
@@ -167,4 +162,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_i
                 columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

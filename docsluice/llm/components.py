@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import saved
+from docsluice.llm.common import Scratch
 
 
 class Forest:
@@ -40,16 +40,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return told.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", "low")).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: columns a, b (long). Returns node, root (the component's smallest node), without the roots.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """edges: columns a, b (long). Returns node, root (the component's smallest node), without the roots; its files are in `scratch`.
 
     Large stars and small stars in turn, until nothing changes: each turn at least halves the paths. Every
     turn is written to the shared folder. A node with very many neighbours is a key of a grouped minimum,
     which is pre-aggregated, and of a join, whose skewed partitions are split at run time."""
-    now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = scratch.saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = None
     while (this := mark(now)) != before:
         before = this
-        now = saved(_star(_star(now, True), False), "edges")
+        now = scratch.saved(_star(_star(now, True), False), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import TwoGenerationCache, texts
+from docsluice.llm.common import TwoGenerationCache, held, named, texts
 
 SIZES = (2, 3, 4, 5)
 HASHES = 3
@@ -30,7 +30,6 @@ LEAST_SHARE = 5e-6
 FILL = 0.15
 EDGE = 0x20
 _LETTERS = regex.compile(r"\p{L}+")
-_KEPT: dict[str, dict] = {}
 
 
 def hashed_ngrams(codes: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +119,10 @@ class LanguageFilter:
 
 def fit_language_filter(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE, sizes: tuple[int, ...] = SIZES) -> LanguageFilter:
     """Learn from rows with a language (and `train`): about `fit_rows` of each language, chosen by a hash
-    of the id, all if there are fewer. What comes to the driver is bounded: at most 1 / least_share n-grams
-    of a size and language. Without a labelled row no language is learned, and every
+    of the id, all if there are fewer. What comes to the driver is bounded: at most 1 / least_share n-grams of
+    a size and language, 12 bytes each. Without a labelled row no language is learned, and every
     prediction is `und`."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.lit(True) if train is None else train)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.where(named(lang_col).isNotNull() & (F.lit(True) if train is None else train)).select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
     sizes_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes_by:
         return LanguageFilter.build([], {}, sizes)
@@ -150,15 +149,16 @@ def fit_language_filter(docs: DataFrame, train: Column | None = None, *, id_col:
     grams = chosen.mapInArrow(run, "lang string, size long, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     kept = grams.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "size"))).where(F.col("n") >= F.greatest(F.lit(2), F.col("all") * least_share)).select("lang", "gram")
     languages = sorted(sizes_by)
-    found = kept.toArrow()
-    langs, hashes = np.asarray(found["lang"].to_pylist(), object), found["gram"].to_numpy().view(np.uint64)
-    return LanguageFilter.build(languages, {x: hashes[langs == x] for x in languages}, sizes)
+    numbers = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    found = kept.select(numbers[F.col("lang")].alias("number"), "gram").toArrow()
+    langs, hashes = found["number"].to_numpy(), found["gram"].to_numpy().view(np.uint64)
+    return LanguageFilter.build(languages, {lang: hashes[langs == i] for i, lang in enumerate(languages)}, sizes)
 
 
 class _Scorer:
     """Chunks' counts as one integer with 32 bits a count, so that a text's counts are a plain sum."""
 
-    def __init__(self, model: LanguageFilter, cache: int = 400_000):
+    def __init__(self, model: LanguageFilter, cache: int = 150_000):
         self.model, self.cache = model, TwoGenerationCache(cache)
 
     def learn(self, chunks: list[str]) -> None:
@@ -189,13 +189,6 @@ class _Scorer:
         return langs, scores
 
 
-def _scorer(model: LanguageFilter) -> _Scorer:
-    if model.key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model.key] = _Scorer(model)
-    return _KEPT[model.key]
-
-
 def identify_language(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its score to every row; input columns of these names are replaced.
 
@@ -207,7 +200,7 @@ def identify_language(docs: DataFrame, model: LanguageFilter, *, text_col: str =
     schema = docs.select("*", F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
 
     def run(batches):
-        scorer = _scorer(sent.value)
+        scorer = held(("language", sent.value.key), lambda: _Scorer(sent.value))
         for batch in batches:
             langs, scores = scorer.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_out, score_out])

@@ -19,8 +19,13 @@ from docsluice.llm.token_files import digest_token_files, write_token_files
 from docsluice.llm.topk import top_k
 
 
+#: Passages of over 50 words have so many bytes at least, but for runs of very short words; op1 tells how much of a
+#: document they are beside what its contract (400 bytes) removes.
+PASSAGE_BYTES = 256
+
+
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_digests(documents(spark, sf_dir), least=400)
+    return repeat_digests(documents(spark, sf_dir), least=400, note=PASSAGE_BYTES)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return shuffle_into_shards(documents(spark, sf_dir)).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shuffle_into_shards(documents(spark, sf_dir), in_files=True).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docsluice.llm.common import pieces, scratch
+from docsluice.llm.common import Scratch, pieces
 
 SHARDS = 16
 BUCKET_BYTES = 24 << 20
@@ -23,47 +25,60 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.asarray(order, np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, out: str | None = None, *, text_col: str = "text", shards: int = SHARDS, seed: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, out: str | None = None, *, text_col: str = "text", shards: int = SHARDS, seed: int = 20, bucket_bytes: int = BUCKET_BYTES, in_files: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Shuffle whole rows into `shards` Parquet folders below `out` and return the written table.
 
     Law `rows`: shard sizes differ by one row at most. Columns `shard` (int) and `slot` (long, gapless
     from 0 within a shard, the place in the shuffled order) are added; input columns with these names
-    are replaced, all others are written as they are.
+    are replaced, all others (of any names) are written as they are.
 
-    Pass 1 scatters rows by a seeded hash of all their columns (but maps) into buckets of about
-    `bucket_bytes`; the exchange's files are the buckets. So no id, source or group of equal texts fills a
-    bucket; only rows that are equal in every column share one. Pass 2 sorts
-    a bucket by that hash, permutes it by Fisher-Yates with a seed of its own and writes it; a bucket's
-    place in the order is the count of the rows in the buckets before it (one count per bucket, summed by
-    a window over as many rows as there are buckets). A lost executor's bucket is drawn again the same.
+    Pass 1 scatters rows by a seeded hash of their columns (but maps) and of their places in the input into
+    buckets of about `bucket_bytes`, so no id, source, group of equal texts or of rows equal in every column
+    fills a bucket; each bucket is one partition of the exchange. Places must be the same when a task is run
+    again: the input is written first, unless it is read straight from files (`in_files`). Pass 2 sorts a
+    bucket by that hash, permutes it by Fisher-Yates with a seed of its own and writes it; a bucket's place in
+    the order is the count of the rows in the buckets before it (one count per bucket, summed by a window over
+    as many rows as there are buckets, and sent to its bucket). A lost executor's bucket is drawn again the same.
 
-    Null ids and texts are rows like others; an empty table gives an empty result.
+    Null ids and texts are rows like others, and so are very long texts, ties and repeated rows; an empty table
+    gives an empty result.
     """
     spark = df.sparkSession
-    out = out or scratch(spark, "shards")
+    scratch = scratch or Scratch(spark)
+    out = out or scratch.path("shards")
     df = df.drop("shard", "slot")
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
-    buckets = pieces(df.agg(F.sum(size)).first()[0] or 0, bucket_bytes)
     columns = df.columns
-    hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
-    tag = F.xxhash64(F.lit(seed), *hashed)
-    tagged = df.select(F.struct(*columns).alias("row"), tag.alias("tag")).withColumn("bucket", F.pmod("tag", F.lit(buckets)).cast("int"))
-    counts = tagged.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket")
-    places = counts.select("bucket", (F.sum("n").over(before) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    schema = tagged.select("row").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
+    with Scratch(spark) as tmp:
+        # columns by number: names may have dots
+        df = df.toDF(*(f"c{i}" for i in range(len(columns))))
+        df = df if in_files else tmp.saved(df, "rows")
+        size = F.coalesce(F.octet_length(f"c{columns.index(text_col)}"), F.lit(0)) + 1
+        buckets = pieces(df.agg(F.sum(size)).first()[0] or 0, bucket_bytes)
+        hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+        place = F.monotonically_increasing_id()
+        tagged = df.select(F.struct(*df.columns).alias("row"), F.xxhash64(F.lit(seed), place, *hashed).alias("tag"))
+        tagged = tagged.select("row", "tag", F.pmod("tag", F.lit(buckets)).cast("int").alias("bucket"))
+        counts = tagged.groupBy("bucket").agg(F.count("*").alias("n"))
+        before, all_ = Window.orderBy("bucket"), Window.partitionBy()
+        places = counts.select(F.lit(None).cast(tagged.schema["row"].dataType).alias("row"), F.lit(None).cast("long").alias("tag"), "bucket", (F.sum("n").over(before) - F.col("n")).alias("start"), F.sum("n").over(all_).alias("total"))
+        schema = tagged.select("row").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
+        dealt = tagged.select("*", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("total")).union(places).repartitionById(buckets, F.col("bucket"))
+        arrow = to_arrow_schema(dealt.schema)
 
-    def permute(rows: pa.Table, place: pa.Table) -> pa.Table:
-        start, total = place["start"][0].as_py(), place["total"][0].as_py()
-        each, more = divmod(total, shards)
-        tags = rows["tag"].to_numpy()
-        order = np.argsort(tags, kind="stable")[fisher_yates(len(tags), [seed, place["bucket"][0].as_py()])]
-        at = start + np.arange(len(tags))
-        edge = more * (each + 1)  # the first `more` shards have a row more
-        shard = np.where(at < edge, at // (each + 1), more + (at - edge) // max(each, 1))
-        slot = at - np.where(shard < more, shard * (each + 1), edge + (shard - more) * each)
-        return pa.table({"row": rows["row"].take(pa.array(order)), "shard": pa.array(shard, pa.int32()), "slot": pa.array(slot, pa.int64())})
+        def permute(batches):
+            rows = pa.Table.from_batches(batches, arrow)
+            for told in rows.filter(rows["start"].is_valid()).drop_columns(["row"]).to_pylist():
+                own = rows.filter(pa.compute.and_(pa.compute.equal(rows["bucket"], told["bucket"]), rows["tag"].is_valid()))
+                each, more = divmod(told["total"], shards)
+                tags = own["tag"].to_numpy()
+                order = np.argsort(tags, kind="stable")[fisher_yates(len(tags), [seed, told["bucket"]])]
+                at = told["start"] + np.arange(len(tags))
+                edge = more * (each + 1)  # the first `more` shards have a row more
+                shard = np.where(at < edge, at // (each + 1), more + (at - edge) // max(each, 1))
+                slot = at - np.where(shard < more, shard * (each + 1), edge + (shard - more) * each)
+                shuffled = pa.table({"row": own["row"].take(pa.array(order)), "shard": pa.array(shard, pa.int32()), "slot": pa.array(slot, pa.int64())})
+                yield from shuffled.to_batches(max_chunksize=10_000)
 
-    shuffled = tagged.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(permute, schema).select("row.*", "shard", "slot")
-    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
-    return spark.read.schema(shuffled.schema).parquet(out)
+        shuffled = dealt.mapInArrow(permute, schema).select(*(F.col("row")[f"c{i}"].alias(f"c{i}") for i in range(len(columns))), "shard", "slot")
+        shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
+        return spark.read.schema(shuffled.schema).parquet(out).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "shard", "slot")

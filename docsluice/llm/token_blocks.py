@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsluice.llm.blocks import mix, pack_ints, unpack_ints, write_blocks
+from docsluice.llm.common import Scratch, named
 
 SHINGLE = 5
 SCHEMA = "doc_ids array<long>, flags binary, ends binary, words binary, tokens binary, sizes array<long>, prints array<long>, more_prints array<long>"
@@ -95,8 +96,8 @@ def _encode(with_end: bool, with_sets: bool):
     return encode
 
 
-def write_token_blocks(docs: DataFrame, name: str, flag: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", with_end: bool = False, with_sets: bool = False) -> DataFrame:
+def write_token_blocks(docs: DataFrame, scratch: Scratch, name: str, flag: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", with_end: bool = False, with_sets: bool = False) -> DataFrame:
     """A null text has no words. `flag` marks documents; `with_end` closes each with an empty word;
     `with_sets` adds the sizes and 128-bit sums of the shingle sets."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.lit(True) if flag is None else flag).alias("flag"))
-    return write_blocks(rows, ["id", "text", "flag"], _encode(with_end, with_sets), SCHEMA, name)
+    rows = docs.select(named(id_col).try_cast("long").alias("id"), named(text_col).alias("text"), (F.lit(True) if flag is None else flag).alias("flag"))
+    return write_blocks(rows, ["id", "text", "flag"], _encode(with_end, with_sets), SCHEMA, scratch, name)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -95,6 +96,17 @@ def test_token_counts(docs, rows, spark, empty):
     library = Tokenizer.from_file(BYTE)
     library.encode_special_tokens = True
     more = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    lines = Counter()
+    for doc, text in [(r[0], r[1] or "") for r in rows] + [(1000 + i, t) for i, t in enumerate(ODD)]:
+        spans = library.encode(text, add_special_tokens=False).offsets
+        first = 0
+        for i, line in enumerate(text.splitlines(keepends=True) if "\n" in text and not set(text) & set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") else re.findall(r"[^\n]*\n|[^\n]+$", text) or [""]):
+            lines[doc, i, first, first + len(line), sum(first <= a < first + len(line) for a, _ in spans)] += 1
+            first += len(line)
+    plain = {d for d in [r[0] for r in rows] + [1000 + i for i in range(len(ODD))]} - {1000 + i for i, t in enumerate(ODD) if any(len(c.encode()) > 2 for c in t)}
+    got = Counter(tuple(r) for r in count_tokens_by_line(more, RANKS, public_tokenizers.PATTERN).select("doc_id", "section", "start_char", "end_char", "n_tokens").collect())
+    of_plain = lambda c: {k: n for k, n in c.items() if k[0] in plain}
+    assert of_plain(got) == of_plain(lines) and {k[:4] for k in got} == {k[:4] for k in lines}
     for row in count_tokens_by_line(more, RANKS, public_tokenizers.PATTERN).groupBy("doc_id").agg(F.sum("n_tokens"), F.max("doc_tokens"), F.max("end_char"), F.max("section")).collect():
         texts = [t or "" for d, t in [(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(ODD)] if d == row[0]]
         n = len(library.encode(texts[0], add_special_tokens=False).ids)
@@ -368,3 +380,14 @@ def test_sharding_of_repeated_rows(spark, empty, crowded):
     assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [18] * 4 + [19] * 12
     assert shuffle_into_shards(empty).count() == 0
     assert set(shuffle_into_shards(crowded).columns) == set(crowded.columns)
+    dotted = same.withColumns({"a.b": F.lit(1), "row": F.lit(2), "c1": F.lit(3), "tag": F.lit(4)})
+    assert [r["count"] for r in shuffle_into_shards(dotted, shards=2, bucket_bytes=60).select("`a.b`", "row", "c1", "tag").groupBy("`a.b`", "row", "c1", "tag").count().collect()] == [300]
+
+
+def test_equal_rows_fill_no_bucket(spark):
+    from docsluice.llm import sharding
+
+    same = spark.range(200_000, numPartitions=4).select(F.lit("the same").alias("text"))
+    rows = shuffle_into_shards(same, shards=4, bucket_bytes=90_000)
+    files = rows.groupBy(F.input_file_name()).count().collect()  # a bucket writes a file into each shard that it reaches
+    assert len(files) >= 20 and max(r["count"] for r in files) < 12_000 and sharding.SHARDS == 16

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from docsluice.llm.common import saved
+from docsluice.llm.common import Scratch
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -46,7 +46,7 @@ def test_pipeline_stages(spark):
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
     now = docs.union(extra).union(spark.createDataFrame([(10_004, f"Alone here {benchmark} and there", "en", "s", 9)], docs.schema))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, now = now, saved(stage(spark, now, DATA), name, keep=True)
+        before, now = now, Scratch(spark).saved(stage(spark, now, DATA), name)
         assert now.columns == docs.columns and 0 < now.count() <= before.count()
         ids = {r[0] for r in now.select("doc_id").collect()}
         if name == "language_id":

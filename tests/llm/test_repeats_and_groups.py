@@ -6,11 +6,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from docsluice.llm.common import Scratch
 from docsluice.llm.components import components
-from docsluice.llm.set_join import SkipJoin, one_of_each_group, similar_groups
 from docsluice.llm import suffix_dedup
-from docsluice.llm.suffix_dedup import anchors, drop_repeats, longest_previous_factors, repeat_digests, repeated_in_large, repeated_starts, suffix_array
+from docsluice.llm.set_join import SkipJoin, one_of_each_group, similar_groups
+from docsluice.llm.sharding import shuffle_into_shards
+from docsluice.llm.suffix_dedup import anchors, drop_repeats, factors_at, factors_in_large, longest_previous_factors, previous_factors, repeat_digests, suffix_array
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"aaaaaaaaaaaaaaaaaaaa", b"banana", b"abcabcabcx\0\0abc", bytes(random.Random(2).choices(b"ab", k=300))])
@@ -24,37 +27,56 @@ def test_suffix_array_and_factors(text):
     assert longest_previous_factors(text).tolist() == [longest(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("least", [8, 24, 100, 200, 400, 513])
-def test_repeated_starts(least):
-    rng = random.Random(least)
-    base = bytes(rng.choices(b"abcd", k=1500))
-    data = np.frombuffer(base + b"\xff" + base[100:900] + b"\xff" + base[:600] + b"\xff", np.uint8)
-    starts = np.concatenate([np.arange(a, b - least + 1) for a, b in ((0, 1500), (1501, 2301), (2302, 2902))])
-    seen, raw = Counter(), data.tobytes()
-    every = Counter(raw[s : s + least] for s in starts)
-    earlier, other = repeated_starts(data, starts, least)
-    for s, e, o in zip(starts, earlier, other, strict=True):
-        w = raw[s : s + least]
-        assert (bool(e), bool(o)) == (seen[w] > 0, every[w] > 1)
-        seen[w] += 1
-
-
-@pytest.mark.parametrize("least", [130, 200, 400, 513])
-def test_large_groups_give_the_same(least):
+def test_previous_factors_by_the_stack():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60, 300):
+        for places in (rng.permutation(n), np.arange(n), np.arange(n)[::-1], np.concatenate((np.arange(n // 2, n), np.arange(n // 2)))):
+            common = np.append(0, rng.integers(0, 4, n - 1))
+            want = [max([0, *(min(common[min(i, j) + 1 : max(i, j) + 1]) for j in range(n) if places[j] < places[i])]) for i in range(n)]
+            assert previous_factors(places, common).tolist() == want
+
+
+def pieces_of(least):
     rng = random.Random(least)
     base = bytes(rng.choices(b"abcd", k=1500))
+    return [base, base[100:900], base[:600], base[30 : 30 + least]]
+
+
+@pytest.mark.parametrize("lengths", [[8], [24], [100, 101], [200, 400], [130, 256, 513]])
+def test_factors_at(lengths):
+    texts = pieces_of(lengths[0])
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts = np.concatenate([np.arange(a, a + len(t) - lengths[0] + 1) for a, t in zip(edges, texts)])
+    room = np.concatenate([np.arange(len(t), lengths[0] - 1, -1) for t in texts])
+    windows = [[t[i : i + n] for t in texts for i in range(len(t) - lengths[0] + 1)] for n in lengths]
+    want_earlier, want_other = [0] * len(starts), [0] * len(starts)
+    for n, these in zip(lengths, windows, strict=True):
+        every, seen = Counter(w for w in these if len(w) == n), Counter()
+        for i, w in enumerate(these):
+            if len(w) == n:
+                want_earlier[i] = n if seen[w] else want_earlier[i]
+                want_other[i] = n if every[w] > 1 else want_other[i]
+                seen[w] += 1
+    for got in (factors_at(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), starts, room, lengths), factors_in_large(texts, np.array([len(t) - lengths[0] + 1 for t in texts]), lengths)):
+        assert got[0].tolist() == want_earlier and got[1].tolist() == want_other
+
+
+def test_large_groups_give_the_same():
+    base = pieces_of(5)[0]
     texts = [base, base[100:900], base[:600], *(base[600:1200] + bytes([65 + i % 50]) * (i + 1) for i in range(300))]
-    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    starts = np.concatenate([np.arange(a, a + len(t) - least + 1) for a, t in zip(edges, texts)])
-    for a, b in zip(repeated_starts(data, starts, least), repeated_in_large(texts, least), strict=True):
-        assert a.tolist() == b.tolist()
+    for least in (130, 200, 513):
+        starts = np.concatenate([np.arange(a, a + len(t) - least + 1) for a, t in zip(edges, texts)])
+        room = np.concatenate([np.arange(len(t), least - 1, -1) for t in texts])
+        small = factors_at(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), starts, room, [least])
+        for a, b in zip(small, factors_in_large(texts, np.array([len(t) - least + 1 for t in texts]), [least]), strict=True):
+            assert a.tolist() == b.tolist()
 
 
 def test_windows_whose_hashes_meet_are_told_apart(monkeypatch):
     true = suffix_dedup.window_hashes
     monkeypatch.setattr(suffix_dedup, "window_hashes", lambda *x: true(*x) & np.uint64(15))
-    test_large_groups_give_the_same(200)
+    test_large_groups_give_the_same()
 
 
 def test_equal_windows_have_equal_anchors():
@@ -78,18 +100,49 @@ def removed(texts: list[bytes], least: int) -> list[np.ndarray]:
     return out
 
 
-@pytest.mark.parametrize(("least", "hot"), [(130, 20_000), (400, 20_000), (400, 2)])
-def test_digests_equal_brute_force(docs, rows, least, hot):
-    got = sorted((tuple(r) for r in repeat_digests(docs, least=least, hot=hot).collect()), key=str)
+@pytest.mark.parametrize(("least", "note", "hot"), [(130, None, 20_000), (400, 256, 20_000), (400, 200, 2)])
+def test_digests_equal_brute_force(docs, rows, least, note, hot):
+    got = sorted((tuple(r) for r in repeat_digests(docs, least=least, note=note, hot=hot).collect()), key=str)
     texts = [(r[1] or "").encode() for r in rows]
     expected = []
-    for r, t, gone in zip(rows, texts, removed(texts, least), strict=True):
+    noted = removed(texts, note) if note else [None] * len(rows)
+    for r, t, gone, told in zip(rows, texts, removed(texts, least), noted, strict=True):
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
         spans = int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1))
-        expected.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        expected.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([int(told.sum())] if note else [])))
     assert got == sorted(expected, key=str)
 
 
+def test_settling_in_one_process(monkeypatch):
+    """Many stretches of one anchor: by suffix order, and beyond 2 * PIECE bytes by confirmed hashes."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdef ", k=500))
+    texts = [("".join(rng.choices("ghi ", k=60)) + passage[rng.randrange(90) : 500 - rng.randrange(90)] + "".join(rng.choices("xyz ", k=60))).encode() for _ in range(40)]
+    from docsluice.llm.blocks import Keyed
+
+    keyed, lengths = Keyed(64, 2), [150, 400]
+    block = suffix_dedup.pa.table({"block": [7], "doc_ids": [list(range(40))], "ends": [np.cumsum([len(t) for t in texts]).astype("<i8").tobytes()], "data": [b"".join(texts)]})
+    found = anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), 150)
+    kinds, place, count = np.unique(found[0], return_inverse=True, return_counts=True)
+    sent = suffix_dedup._stretches(block, found, count[place], keyed, lengths, 10**9, False)
+    settling = suffix_dedup._Settling(keyed, lengths, False)
+    covered = [np.zeros(sum(map(len, texts)), bool) for _ in lengths]
+    for part in {r[0] for r in sent}:
+        rows = suffix_dedup.table_of("part long, block long, payload binary, grp long", [(*r, 0) for r in sent if r[0] == part])
+        up = settling.gather(rows).to_pylist()
+        down = [x for b in {u["bucket"] for u in up} for x in settling.settle(suffix_dedup.table_of(suffix_dedup.UP, [tuple(u.values()) for u in up if u["bucket"] == b])).to_pylist()]
+        for row in settling.deal(rows, suffix_dedup.table_of(suffix_dedup.DOWN, [tuple(d.values()) for d in down])).to_pylist():
+            left = memoryview(row["payload"])
+            for mask, length in zip(covered, lengths):
+                a, left = suffix_dedup.unpack_ints(left)
+                b, left = suffix_dedup.unpack_ints(left)
+                for x, y in zip(a.tolist(), b.tolist()):
+                    mask[x : y + length] = True
+    for mask, length in zip(covered, lengths):
+        assert mask.tolist() == np.concatenate(removed(texts, length)).tolist() and mask.any()
+
+
 def test_periodic_text(spark):
     rows = [(1, "ab" * 400), (2, "x" * 399), (3, "é" * 250)]
     got = {r["doc_id"]: r["n_removed"] for r in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -109,6 +162,23 @@ def test_first_copies_stay(spark):
     assert drop_repeats(df, least=200).schema == df.schema
 
 
+def test_the_first_copy_is_by_id(spark):
+    rng = random.Random(14)
+    passage = "".join(rng.choices("abcdefg ", k=300))
+    rows = [(i, f"{i}{passage[: 300 - i]}{i * 7}", float(i), [i]) for i in range(30)] + [(None, passage, None, None), (3, passage, 1.0, [2]), (3, passage, 1.0, [2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `my col` double, `a.b-c` array<int>").withColumns({"_": F.lit(1), "__null": F.lit("x"), "c0": F.lit(2), "o1": F.lit(3)})
+    outs = [sorted(map(str, drop_repeats(df.repartition(n), least=150).collect())) for n in (1, 3, 7)]
+    assert outs[0] == outs[1] == outs[2] and "0" + passage + "0" in {r["text"] for r in drop_repeats(df, least=150).collect()}
+    assert drop_repeats(df, least=150).dtypes == df.dtypes
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(15)
+    text = "".join(rng.choices("abcdefghij ", k=700_000))
+    df = spark.createDataFrame([(1, text), (2, text[500_000:500_900]), (3, "x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in repeat_digests(df).collect()} == {1: 900, 2: 900, 3: 0}
+
+
 def sets_of(rows):
     out = []
     for r in rows:
@@ -141,6 +211,22 @@ def test_groups_equal_brute_force(docs, rows):
     assert sorted(got, key=str) == groups_of(rows)
 
 
+def test_groups_in_chunks(docs, rows):
+    got = [tuple(r) for r in similar_groups(docs, chunk_bytes=3000).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == groups_of(rows)
+
+
+def test_results_outlive_other_runs(spark, docs):
+    """Each run deletes its own files only."""
+    held = repeat_digests(docs)
+    shards = shuffle_into_shards(docs)
+    assert one_of_each_group(shards).count() == one_of_each_group(docs).count()
+    assert held.count() == docs.count() and shards.count() == docs.count()
+    with Scratch(spark) as scratch:
+        similar_groups(docs, scratch=scratch).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("docsluice_")]
+
+
 def test_chains_and_thresholds(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(9 - k, " ".join(words[k * 2 : k * 2 + 44])) for k in range(8)] + [(20, "one two three four"), (21, "One two\tthree FOUR"), (22, "one two three")]
@@ -149,7 +235,7 @@ def test_chains_and_thresholds(spark):
 
 
 def test_skip_join_loses_no_link():
-    rng = np.random.default_rng(5)
+    rng, asked = np.random.default_rng(5), Counter()
     for _ in range(20):
         base = [rng.choice(40, rng.integers(3, 25), replace=False) for _ in range(4)]
         sets = []
@@ -159,8 +245,13 @@ def test_skip_join_loses_no_link():
                 s ^= {int(rng.integers(40))}
             own = int(rng.integers(3))
             sets.append((i, len(s) + own, np.array(sorted(s), np.uint64)))
-        join = SkipJoin(sets)
+        join, plain = SkipJoin(sets), SkipJoin(sets, derive=False)
         ties = join.run()
+        plain.run()
+        assert join.compared <= plain.compared and join.compared + join.derived == plain.compared + plain.derived
+        asked["derived"] += join.derived
+        for i, of in enumerate(join.overlaps):
+            assert all(n == len(np.intersect1d(join.sorted[i], join.sorted[j])) for j, n in of.items())
         up = list(range(30))
 
         def root(x, up=up):
@@ -175,6 +266,7 @@ def test_skip_join_loses_no_link():
                 common = len(np.intersect1d(sa, sb))
                 if na and nb and common and 100 * common >= 80 * (na + nb - common):
                     assert root(a) == root(b)
+    assert asked["derived"] > 20
 
 
 def test_one_of_each_group(docs, crowded, rows, empty):
@@ -188,7 +280,7 @@ def test_one_of_each_group(docs, crowded, rows, empty):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 75), (7, 7)] + [(1000 + i, 999) for i in range(50)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {100: 50, 75: 50} | {1000 + i: 999 for i in range(50)}
 
 
