@@ -4,12 +4,14 @@ Operators that must know how often something occurs in the whole corpus work in
 documents. A block is a row with some MB of its documents, written once to a bucketed table in the shared
 folder, so that every round reads it in place and only small things are shuffled.
 
-What blocks send to the buckets of a key space goes two steps, as the digits of a number: a block sends one
-packed row to each *part* of the key space (about as many as the square root of the buckets); a part's rows of
-one *group* of blocks meet, are added up and go on, one packed row to each bucket of the part. Answers go the
-same way back. So with n blocks and as many buckets there are some n * sqrt(n) rows and not n * n, each still
-of a KB or more where a direct row would be a few bytes; no task holds more than a block, a bucket or a group's
-share of a part; and a key that a third of all rows share comes to its bucket once for each group.
+A block sends one packed row to each *part* of a key space. As long as a row for each bucket has a KB of text to
+tell of, parts are the buckets, and one step goes there and one back. With more text such rows would become
+more and smaller (n blocks and as many buckets: n * n rows), so from there on the way has two steps, as the
+digits of a number: there are about as many parts as the square root of the buckets; a part's rows of one
+*group* of blocks meet, are added up and go on, one packed row to each bucket of the part; answers go the same
+way back. That makes some n * sqrt(n) rows, each still of a KB or more; no task holds more than a block, a
+bucket or a group's share of a part; and a key that a third of all rows share comes to its bucket once for
+each group. What is computed is the same either way.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from docsluice.llm.common import Scratch, let_go, texts
 BLOCK_BYTES = 6 << 20
 #: A bucket's share of the text: its keys are those of so many bytes of text, about.
 BUCKET_TEXT = 8 << 20
+#: A block's row to a bucket tells of so many bytes of its text at least, or else goes in two steps.
+ROW_TEXT = 1 << 10
 SENT = "part long, block long, payload binary"
 UP = "bucket long, part long, grp long, payload binary"
 DOWN = "part long, grp long, payload binary"
@@ -90,7 +95,8 @@ class Dealt:
 
     def __init__(self, bits: int, bucket_bits: int):
         self.bits, self.bucket_bits = bits, min(bucket_bits, bits)
-        self.part_bits = self.bucket_bits // 2
+        one_step = (1 << self.bucket_bits) * ROW_TEXT <= BLOCK_BYTES
+        self.part_bits = self.bucket_bits if one_step else self.bucket_bits // 2
         self.inner_bits = self.bucket_bits - self.part_bits
         self.groups = 1 << self.inner_bits
 
@@ -111,18 +117,33 @@ class Dealt:
     def within_bucket(self, keys: np.ndarray) -> np.ndarray:
         return keys & np.uint64((1 << self.bits - self.bucket_bits) - 1)
 
-    def grouped(self, sent: DataFrame) -> DataFrame:
+    def _grouped(self, sent: DataFrame) -> DataFrame:
         return sent.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(self.groups)))
 
-    def gathered(self, sent: DataFrame, gather: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        """The first step: `gather` makes rows of UP of the rows of SENT of one part and group."""
-        return self.grouped(sent).groupBy("part", "grp").applyInArrow(lambda rows: gather(rows), UP)  # a bound method seems to take the key too
+    def settled(self, sent: DataFrame, gather: Callable[[pa.Table], pa.Table], settle: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        """There: `gather` makes rows of UP of the rows of SENT of one part and group, and `settle` makes rows of
+        `schema` of a bucket's rows of UP."""
+        grouped = self._grouped(sent)
+        if not self.inner_bits:  # a part is a bucket, and all blocks are one group
+            return grouped.groupBy("part").applyInArrow(lambda rows: settle(gather(rows)), schema)
+        # a bound method would seem to take the key too
+        return grouped.groupBy("part", "grp").applyInArrow(lambda rows: gather(rows), UP).groupBy("bucket").applyInArrow(lambda rows: settle(rows), schema)
 
     def exchange(self, sent: DataFrame, gather: Callable, settle: Callable, deal: Callable) -> DataFrame:
-        """There and back: `settle` makes rows of DOWN of a bucket's rows of UP, and `deal`, from a part's and
-        group's rows of SENT and of DOWN, rows of ANSWER. Rows of DOWN for part -1 - bucket have no rows of SENT."""
-        down = self.gathered(sent, gather).groupBy("bucket").applyInArrow(lambda rows: settle(rows), DOWN)
-        return self.grouped(sent).groupBy("part", "grp").cogroup(down.groupBy("part", "grp")).applyInArrow(lambda rows, answers: deal(rows, answers), ANSWER)
+        """There and back: `settle` makes rows of DOWN, and `deal`, from a part's and group's rows of SENT and of DOWN,
+        rows of ANSWER. Rows of DOWN for part -1 have no rows of SENT."""
+        grouped = self._grouped(sent)
+        if not self.inner_bits:
+
+            def both(rows: pa.Table) -> pa.Table:
+                down = settle(gather(rows))
+                back = pa.compute.greater_equal(down["part"], 0)
+                alone = down.filter(pa.compute.invert(back))
+                return pa.concat_tables([deal(rows, down.filter(back)), *(deal(rows[:0], alone[i : i + 1]) for i in range(len(alone)))])
+
+            return grouped.groupBy("part").applyInArrow(both, ANSWER)
+        down = self.settled(sent, gather, settle, DOWN)
+        return grouped.groupBy("part", "grp").cogroup(down.groupBy("part", "grp")).applyInArrow(lambda rows, answers: deal(rows, answers), ANSWER)
 
 
 def _edges(keys: np.ndarray, top: int, bits: int) -> np.ndarray:

@@ -258,7 +258,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         totals = keyed.merge(on_blocks(words, count, SENT, reps=reps), tmp, "shared")
         listed = tmp.saved(on_blocks(words, lambda row: _postings(row, keyed, lists, percent), "kind int, bucket long, number long, n long, payload binary", reps=reps, totals=totals), "lists", "kind")
         sent = listed.where("kind = 0").select(F.col("bucket").alias("part"), F.col("number").alias("block"), "payload")
-        ties = lists.gathered(sent, lambda t: _lists_of_group(t, lists)).groupBy("bucket").applyInArrow(lambda t: _tie(t, percent), "a long, b long")
+        ties = lists.settled(sent, lambda t: _lists_of_group(t, lists), lambda t: _tie(t, percent), "a long, b long")
         bundles = components(ties, tmp)
 
         sets = listed.where("kind = 1").select("number", "n", "payload")

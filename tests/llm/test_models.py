@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsluice.llm import language_model
+from docsluice.llm import blocks, language_model
 from docsluice.llm.bpe import bpe_round_trip, word_bpe
 from docsluice.llm.common import TwoGenerationCache, train_flag
 from docsluice.llm.decontaminate import approximate_ends, drop_contaminated, find_contamination, item_words
@@ -295,7 +295,8 @@ def brute_any_length(rows, train, least=2, gain=12.0):
     return [sum(math.log10(share(state(tuple(s[max(0, j - 6) : j])), s[j])) for j in range(1, len(s))) for s in seqs], kept
 
 
-def test_rare_and_long_contexts_are_kept(spark):
+def test_rare_and_long_contexts_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROW_TEXT", 1 << 30)  # by two steps; the other tests take one
     rng = random.Random(5)
     rows = []
     for i in range(400):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docsluice.llm.common import Scratch
 from docsluice.llm.components import components
-from docsluice.llm import suffix_dedup
+from docsluice.llm import blocks, suffix_dedup
 from docsluice.llm.set_join import SkipJoin, one_of_each_group, similar_groups
 from docsluice.llm.sharding import shuffle_into_shards
 from docsluice.llm.suffix_dedup import anchors, drop_repeats, factors_at, factors_in_large, longest_previous_factors, previous_factors, repeat_digests, suffix_array
@@ -211,6 +211,16 @@ def test_groups_equal_brute_force(docs, rows):
     assert sorted(got, key=str) == groups_of(rows)
 
 
+def test_two_steps_give_the_same(docs, rows, monkeypatch):
+    monkeypatch.setattr(blocks, "ROW_TEXT", 1 << 30)
+    assert blocks.Keyed(64, 4).inner_bits == 2
+    got = [tuple(r) for r in similar_groups(docs).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == groups_of(rows)
+    two = sorted(map(str, repeat_digests(docs, note=256).collect()))
+    monkeypatch.undo()
+    assert blocks.Keyed(64, 4).inner_bits == 0 and two == sorted(map(str, repeat_digests(docs, note=256).collect()))
+
+
 def test_groups_in_chunks(docs, rows):
     got = [tuple(r) for r in similar_groups(docs, chunk_bytes=3000).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(got, key=str) == groups_of(rows)
