@@ -15,15 +15,33 @@ def evidence_of(golden: DataFrame) -> DataFrame:
     return golden.where("answerable").select("id", "doc_scope", F.posexplode("gold_evidence").alias("evidence_no", "e")).select("id", "doc_scope", "evidence_no", "e.*")
 
 
+#: Words that a quote is looked up by.
+RUN = 4
+
+
 def map_gold(evidence: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """evidence: id, evidence_no, quote and `keys`; chunks: chunk_id, chunk_text_norm and `keys`. Pairs where the
-    normalised quote, if not empty, is part of the chunk. Give keys (file, scope, page) wherever there are
-    any: without, every chunk is searched for every quote."""
+    normalised quote, if not empty, is part of the chunk. Give keys (file, scope, page) where there are any.
+
+    Without keys a quote is looked up by a hash of its second to fifth word, which stand in the chunk as they are
+    (its first and last may be parts of words), among those of all runs of four words; what is found so is
+    compared whole. Only quotes of fewer than six words are searched for in every chunk."""
     asked = evidence.withColumn("__quote", normalize(F.col("quote"))).where("__quote <> ''")
-    on = F.expr("contains(chunk_text_norm, __quote)")
-    for k in keys:
-        on &= asked[k] == chunks[k]
-    return asked.join(chunks, on).select(asked["id"], "evidence_no", "chunk_id")
+    inside = F.expr("contains(chunk_text_norm, __quote)")
+    if keys:
+        on = inside
+        for k in keys:
+            on &= asked[k] == chunks[k]
+        return asked.join(chunks, on).select(asked["id"], "evidence_no", "chunk_id")
+    asked = asked.select("id", "evidence_no", "__quote", F.split("__quote", " ").alias("__words"))
+    texts, few = chunks.select("chunk_id", "chunk_text_norm"), F.size("__words") < RUN + 2
+    runs = texts.select("chunk_id", F.split("chunk_text_norm", " ").alias("w")).where(F.size("w") >= RUN)
+    hashed = F.transform(F.sequence(F.lit(1), F.size("w") - (RUN - 1)), lambda i: F.xxhash64(F.slice("w", i, RUN)))
+    runs = runs.select("chunk_id", F.explode(F.array_distinct(hashed)).alias("__run"))
+    long = asked.where(~few).withColumn("__run", F.xxhash64(F.slice("__words", 2, RUN)))
+    found = long.join(runs, "__run").join(texts, "chunk_id").where(inside).select("id", "evidence_no", "chunk_id")
+    short = asked.where(few)
+    return found if short.isEmpty() else found.union(short.join(texts, inside).select("id", "evidence_no", "chunk_id"))
 
 
 def mapping_rate(evidence: DataFrame, mapped: DataFrame) -> DataFrame:

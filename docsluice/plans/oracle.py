@@ -165,7 +165,7 @@ ORACLE_SQL: dict[str, str] = {
     "retrieval_sparse_unaccent": lexical("'src5', 'src6', 'src7'", f"strip_accents({norm('text')})", "a"),
     "retrieval_hybrid_rrf": hybrid("coalesce(1.0 / (60 + d.r), 0.0) + coalesce(1.0 / (60 + l.r), 0.0)", 9),
     "retrieval_hybrid_weighted": hybrid("0.8 * coalesce(d.s, 0.0) + 0.2 * coalesce(l.s, 0.0)", 6),
-    "retrieval_batch_multi_query": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 8),
+    "retrieval_batch_multi_query": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
         s AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS raw FROM embeddings JOIN documents ON doc_id = vec_id, q),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM s)
         SELECT query_id, chunk_id, round(raw, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,7 +96,7 @@ def retrieval_hybrid_weighted(spark, d):
 @query
 def retrieval_batch_multi_query(spark, d):
     chunks, vectors, files, _ = _search(spark, d)
-    asked = t.table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the SQL's queries
+    asked = t.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     out = retrieve.search_dense_batch(chunks, vectors, files, asked, [f"src{i}" for i in range(20)], 5)
     return out.withColumn("score", F.round("score", 6))
 
@@ -465,8 +466,14 @@ def golden_load(spark, d):
 
 
 def _work(spark, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{name}-{datetime.now():%H%M%S%f}" if shared else tempfile.mkdtemp(prefix=name)
+    """A new folder that driver and executors share; only on one machine a temporary one stands in for it."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and (told := context._jsc.sc().getCheckpointDir()).isDefined():
+        shared = told.get()
+    if not shared and "cluster" in context.master or not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=name)
 
 
 @query

@@ -441,3 +441,11 @@ def test_golden_versions(spark, tmp_path):
     load_golden(spark, rows, "v2", str(tmp_path / "g"))
     assert [r["id"] for r in golden_records(spark, "v2", str(tmp_path / "g")).collect()] == ["a", "b"]
     assert not tables_ready(spark)
+
+
+def test_quotes_are_found_by_runs_of_words(spark):
+    chunks = spark.createDataFrame([(1, "one two three four five six seven"), (2, "x one two three four five sixty y"), (3, "short"), (4, None)], "chunk_id long, chunk_text_norm string")
+    quotes = ["one two three four five six", "ne two three four five six", "One  TWO three four five SIX seven", "two three", "short", "seven eight nine ten eleven twelve", "", None]
+    evidence = spark.createDataFrame([(i, 0, q) for i, q in enumerate(quotes)], "id long, evidence_no int, quote string")
+    got = sorted((r["id"], r["chunk_id"]) for r in evaluate.map_gold(evidence, chunks, []).collect())
+    assert got == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 3)]
