@@ -84,7 +84,7 @@ SECRET = ("password", "secret", "token_key", "api_key", "dsn")
 
 def seed_sql(tree: Mapping[str, Mapping], on_conflict: str = "do-nothing") -> str:
     """INSERT statements for the config table in the order of keys; names that look secret are refused.
-    `merge` lets values that exist win over those of the seed."""
+    `merge` lets values that exist win over those of the seed, and then fills in what nested settings lack."""
     if on_conflict not in ("do-nothing", "merge"):
         raise ValueError(f"no such mode: {on_conflict}")
 
@@ -98,4 +98,27 @@ def seed_sql(tree: Mapping[str, Mapping], on_conflict: str = "do-nothing") -> st
         raise ValueError(f"not for a seed: {', '.join(sorted(bad))}")
     tail = "DO NOTHING" if on_conflict == "do-nothing" else "DO UPDATE SET config_value = EXCLUDED.config_value || app_config.config_value"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return "".join(f"INSERT INTO app_config (config_key, config_value) VALUES ({quote(k)}, {quote(json.dumps(tree[k], sort_keys=True, ensure_ascii=False))})\nON CONFLICT (config_key) {tail};\n" for k in sorted(tree))
+    return "".join(f"INSERT INTO app_config (config_key, config_value) VALUES ({quote(k)}, {quote(json.dumps(tree[k], sort_keys=True, ensure_ascii=False))})\nON CONFLICT (config_key) {tail};\n" for k in sorted(tree)) + (backfill_sql(tree) if on_conflict == "merge" else "")
+
+
+def backfill_sql(tree: Mapping[str, Mapping]) -> str:
+    """An UPDATE for each nested leaf, which only writes where its key is missing: a merge is by whole first-level
+    values and leaves such gaps. Settings deeper than a parent that is missing too are written from the outside in."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def gaps(at: tuple[str, ...], value):
+        yield at, {} if isinstance(value, Mapping) else value
+        if isinstance(value, Mapping):
+            for k in sorted(value):
+                yield from gaps((*at, k), value[k])
+
+    out = []
+    for group in sorted(tree):
+        for first in sorted(k for k, v in tree[group].items() if isinstance(v, Mapping)):
+            for at, value in gaps((first,), tree[group][first]):
+                if len(at) < 2:
+                    continue  # the merge has put it there
+                place, parent = "{" + ",".join(at) + "}", "{" + ",".join(at[:-1]) + "}"
+                new = f"jsonb_set(config_value, {quote(place)}, {quote(json.dumps(value, sort_keys=True, ensure_ascii=False))}::jsonb)"
+                out.append(f"UPDATE app_config SET config_value = {new}\nWHERE config_key = {quote(group)} AND NOT jsonb_exists(config_value #> {quote(parent)}, {quote(at[-1])});\n")
+    return "".join(out)

@@ -67,6 +67,22 @@ def check_evidence(evidence: DataFrame, files: DataFrame, chunks: DataFrame) ->
     return out.select("id", "evidence_no", "file_name", "doc_scope", F.coalesce("__file", F.lit(False)).alias("file_exists"), F.coalesce("__hit", F.lit(False)).alias("quote_found"))
 
 
+def evidence_mismatches(golden: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, evidence_no, file_name, doc_scope, page, sheet, quote and reason of the evidence that is not in the corpus:
+    file_not_found (no completed file of that name and scope), location_not_found (no chunk of it on that page or
+    sheet) or quote_not_found (in none of those chunks, normalised; an empty quote is in any)."""
+    evidence = golden.select("id", "doc_scope", F.posexplode("gold_evidence").alias("evidence_no", "e")).select("id", "doc_scope", "evidence_no", "e.*")
+    done = files.where("status = 'COMPLETED'").select("file_id", "file_name", "doc_scope")
+    there = done.select("file_name", "doc_scope").distinct().withColumn("__file", F.lit(True))
+    of_files = chunks.select("file_id", "page_number", "sheet_name", "chunk_text_norm").join(done, "file_id").drop("file_id")
+    asked = evidence.withColumn("__quote", normalize(F.col("quote")))
+    on_place = (F.col("page").isNull() | (F.col("page") == F.col("page_number"))) & (F.col("sheet").isNull() | (F.col("sheet") == F.col("sheet_name")))
+    at = asked.join(of_files, ["file_name", "doc_scope"]).where(on_place).groupBy("id", "evidence_no").agg(F.max(F.expr("coalesce(contains(chunk_text_norm, __quote), false)")).alias("__hit"))
+    out = evidence.join(there, ["file_name", "doc_scope"], "left").join(at, ["id", "evidence_no"], "left")
+    reason = F.when(F.col("__file").isNull(), "file_not_found").when(F.col("__hit").isNull(), "location_not_found").when(~F.col("__hit"), "quote_not_found")
+    return out.select("id", "evidence_no", "file_name", "doc_scope", "page", "sheet", "quote", reason.alias("reason")).where("reason is not null")
+
+
 def query_metrics(questions: DataFrame, gold: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """questions: id (and what else there is). gold: id, chunk_id (distinct). ranked: id, chunk_id, rank. Per
     question recall and nDCG at each k, and the reciprocal rank of the first hit; all 0 without gold."""

@@ -25,7 +25,7 @@ def parse_metrics(docs: DataFrame) -> DataFrame:
     any_on = lambda p: has_text(p) | F.exists(tables, lambda t: t["page_no"] == p["page_no"]) | F.exists(figures, lambda f: f["page_no"] == p["page_no"])
     n = F.size(pages)
     share = lambda f: F.when(n > 0, F.size(F.filter(pages, f)) / n).otherwise(0.0)
-    content = F.when((F.trim(body_text(pages)) != "") | (F.size(tables) > 0), 1.0).otherwise(0.0)
+    content = F.when(F.exists(pages, has_text) | (F.size(tables) > 0), 1.0).otherwise(0.0)  # line feeds between blocks are none
     paged = F.col("file_type").isin("pdf", "docx")
     out = docs.withColumn("__text", scan_text(pages, tables))
     out = out.withColumn("__coverage", F.when(paged, share(has_text)).otherwise(content)).withColumn("__ratio", F.when(paged, share(any_on)).otherwise(content))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-DERIVED = ("chunks", "vectors", "tables", "figures")
+DERIVED = ("chunks", "vectors", "tables", "figures", "embed_results")
 
 
 def chunk_id(file_id: Column, chunk_index: Column) -> Column:
@@ -27,13 +27,13 @@ def replace_files(spark: SparkSession, root: str, file_ids: DataFrame, new: dict
     ids = _bucketed(file_ids.select("file_id").distinct())
     touched = [r["bucket"] for r in ids.select("bucket").distinct().collect()]  # at most BUCKETS numbers
     for name in DERIVED:
-        if name not in new:
+        if name not in new or not touched:
             continue
         path, fresh = f"{root}/{name}", _bucketed(new[name])
         try:
             old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(ids.select("file_id"), "file_id", "left_anti")
         except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             old = fresh.limit(0)
         _overwrite(spark, old.unionByName(fresh, allowMissingColumns=True), path, "bucket")
@@ -44,7 +44,7 @@ def replace_files(spark: SparkSession, root: str, file_ids: DataFrame, new: dict
 def _overwrite(spark: SparkSession, df: DataFrame, path: str, by: str) -> None:
     staged = f"{path}__staged"
     df.write.mode("overwrite").partitionBy(by).parquet(staged)  # it reads what it replaces
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def without_files(table: DataFrame, file_ids: DataFrame) -> DataFrame:

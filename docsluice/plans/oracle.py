@@ -244,3 +244,10 @@ ORACLE_SQL: dict[str, str] = {
     "score_backfill": f"WITH {FILES}, {SUBS} SELECT file_id, CASE WHEN status = 'COMPLETED' AND quality_score IS NULL THEN CAST(CAST({SCORE} AS DECIMAL(5,2)) AS DOUBLE) ELSE CAST(quality_score AS DOUBLE) END AS quality_score FROM files JOIN subs USING (file_id)",
     "stream_intake": "SELECT DISTINCT sha256(text) AS checksum FROM documents",
 }
+
+ORACLE_SQL["ingest_states"] = f"""WITH {FILES}, due AS (SELECT file_id, CAST(retry_count + CASE WHEN status = 'PROCESSING' THEN 1 ELSE 0 END AS INTEGER) AS retry_count FROM files
+    WHERE status = 'PENDING' OR status = 'PROCESSING' AND created_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 MINUTES),
+    parsed AS ({ORACLE_SQL["parse_metrics"]}), cleaned AS ({ORACLE_SQL["clean_metrics"]}),
+    r AS (SELECT file_id, retry_count, CASE WHEN coverage IS NULL THEN 'parse: no result' WHEN coverage < 0.5 OR garbage_ratio > 0.2 THEN 'parse: coverage or junk beyond the limit'
+        WHEN retention_ratio < 0.6 THEN 'clean: too little is left' END AS fail_reason FROM due LEFT JOIN parsed USING (file_id) LEFT JOIN cleaned USING (file_id))
+    SELECT file_id, CASE WHEN fail_reason IS NULL THEN 'PROCESSING' ELSE 'FAILED' END AS status, fail_reason, retry_count FROM r"""

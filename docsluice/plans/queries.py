@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsluice.functions.text import normalize, sentences, word_count
-from docsluice.operators import clean, context, embed, evaluate, ground, inject, intake, parse, quality, report, retrieve
+from docsluice.operators import clean, context, embed, evaluate, ground, ingest, inject, intake, parse, quality, report, retrieve
 from docsluice.operators.chunk import chunk_metrics, metadata_fill
 from docsluice.plans import tables as t
 from docsluice.sources.golden import load_golden, read_golden
@@ -441,6 +441,16 @@ def stuck_recover(spark, d):
     return intake.requeued(intake.stuck(t.files(spark, d), datetime(2024, 1, 15))).select("file_id", "status", "retry_count")
 
 
+@query
+def ingest_states(spark, d):
+    """What waits or is stuck, through the gates of parsing and cleaning."""
+    due = ingest.due(t.files(spark, d).withColumn("fail_reason", F.lit(None).cast("string")), datetime(2024, 1, 15))
+    blocks = clean.cleaned_blocks(t.blocks(spark, d).join(due.select("file_id"), "file_id", "left_semi"))
+    parsed = t.parsed(spark, d).join(due.select("file_id"), "file_id", "left_semi")
+    cleaned = clean.clean_metrics(blocks, clean.boilerplate(blocks))
+    return ingest.gated(due, parse.parse_flags(parse.parse_metrics(parsed)), clean.clean_flags(cleaned)).select("file_id", "status", "fail_reason", "retry_count")
+
+
 @query
 def reprocess_point(spark, d):
     return intake.reprocess_from(t.metrics(spark, d))

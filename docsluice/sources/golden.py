@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsluice.operators.evaluate import golden_problems
+from docsluice.operators.evaluate import evidence_mismatches, golden_problems
 from docsluice.schema import GOLDEN
 
 
@@ -35,8 +35,14 @@ def set_hash(golden: DataFrame) -> str:
     return hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def load_golden(spark: SparkSession, golden: DataFrame, version: str, root: str) -> str:
-    """Write a version below `root`: `unchanged` if it is there with the same hash, else `replaced` or `created`."""
+def load_golden(spark: SparkSession, golden: DataFrame, version: str, root: str, files: DataFrame | None = None, chunks: DataFrame | None = None) -> str:
+    """Write a version below `root`: `unchanged` if it is there with the same hash, else `replaced` or `created`.
+
+    With the corpus (files and chunks), evidence that is not in it is an error that names the first records, and
+    nothing is written."""
+    if files is not None and chunks is not None:
+        if missing := evidence_mismatches(golden, files, chunks).orderBy("id", "evidence_no").limit(20).collect():
+            raise GoldenError("; ".join(f"{m['id']}: {m['reason']} ({m['file_name']})" for m in missing))
     new, found = set_hash(golden), None
     try:
         found = spark.read.parquet(f"{root}/sets").where(F.col("set_version") == version).select("payload_hash").first()

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from docsluice import agent, config
 from docsluice.functions.vectors import cosine
-from docsluice.operators import chunk, clean, context, embed, evaluate, ground, inject, intake, quality, report, retrieve, store
+from docsluice.operators import chunk, clean, context, embed, evaluate, ground, ingest, inject, intake, quality, report, retrieve, store
 from docsluice.sources import files as src
-from docsluice.schema import GOLDEN
+from docsluice.schema import GOLDEN, PARSED
 from docsluice.sources.golden import GoldenError, load_golden, read_golden
 
 FILES = "file_id long, file_name string, file_type string, doc_scope string, language string, doc_version int"
@@ -449,3 +449,82 @@ def test_quotes_are_found_by_runs_of_words(spark):
     evidence = spark.createDataFrame([(i, 0, q) for i, q in enumerate(quotes)], "id long, evidence_no int, quote string")
     got = sorted((r["id"], r["chunk_id"]) for r in evaluate.map_gold(evidence, chunks, []).collect())
     assert got == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 3)]
+
+
+class Down:
+    def embed_batch(self, texts):
+        raise embed.Unreachable("no connection")
+
+
+def waiting(spark):
+    rows = [(1, "a", "PENDING", 0, None), (2, "b", "PENDING", 1, None), (3, "c", "COMPLETED", 0, None), (4, "d", "PENDING", 0, None)]
+    files = spark.createDataFrame(rows, "file_id long, file_name string, status string, retry_count int, fail_reason string")
+    page = lambda *blocks: [(1, list(blocks))]
+    table = [(0, [["x", "y"]], "x | y", 1, None)]
+    docs = [(1, page("some words of a text", "more words here"), table, "txt"), (2, page("", " "), [], "txt"), (3, page("not due"), [], "txt")]
+    parsed = spark.createDataFrame([(i, p, [], t, [], None, [], k) for i, p, t, k in docs], f"{PARSED}, file_type string")
+    return files, parsed
+
+
+def test_ingest_run(spark, tmp_path):
+    files, parsed = waiting(spark)
+    out = ingest.run(files, parsed, lambda: embed.HashEmbedder(8), str(tmp_path / "s"), dim=8, most=8, overlap=2, least=1)
+    got = {r["file_id"]: (r["status"], r["retry_count"], r["fail_reason"]) for r in out.collect()}
+    assert got[1] == ("COMPLETED", 0, None) and got[3] == ("COMPLETED", 0, None)
+    assert got[2][:2] == ("FAILED", 1) and got[2][2].startswith("parse: coverage") and got[4][2] == "parse: no result"
+    stored = spark.read.parquet(str(tmp_path / "s" / "chunks"))
+    assert {r["file_id"] for r in stored.collect()} == {1} and stored.where("is_table").count() == 1
+    assert spark.read.parquet(str(tmp_path / "s" / "vectors")).count() == stored.count()
+    again = ingest.run(out, parsed, lambda: embed.HashEmbedder(8), str(tmp_path / "s"), dim=8)
+    assert {r["file_id"]: r["status"] for r in again.collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_an_outage_publishes_nothing(spark, tmp_path):
+    files, parsed = waiting(spark)
+    with pytest.raises(embed.Unreachable):
+        ingest.run(files, parsed, Down, str(tmp_path / "s"), dim=8)
+    assert not (tmp_path / "s" / "files").exists() and not (tmp_path / "s" / "chunks").exists()
+
+
+def test_embed_results(spark):
+    rows = [(1, i, None if i % 2 else [1.0, 0.0]) for i in range(200)] + [(2, 0, [1.0, 0.0])]
+    got = {r["file_id"]: r for r in ingest.embed_results(spark.createDataFrame(rows, "file_id long, chunk_index int, embedding array<float>"), 2).collect()}
+    assert (got[1]["expected"], got[1]["failed"], got[1]["failed_indexes"], got[1]["finding"]) == (200, 100, list(range(1, 101, 2)), "embedding_failed")
+    assert (got[2]["failed"], got[2]["failed_indexes"], got[2]["finding"]) == (0, [], None)
+
+
+def test_reintake(spark):
+    failed = spark.createDataFrame([(i, f"/{i}", "FAILED", 2, "old") for i in range(1, 5)], "file_id long, source_path string, status string, retry_count int, fail_reason string")
+    failed = failed.withColumn("file_type", F.lit(None).cast("string")).withColumn("checksum", F.lit("old")).withColumn("file_size", F.lit(1).cast("long"))
+    found = spark.createDataFrame([("/1", "txt", "new", 5), ("/2", None, "n", 5), ("/3", "txt", "n", 101 << 20)], "source_path string, file_type string, checksum string, file_size long")
+    got = {r["file_id"]: r for r in ingest.reintake(failed, found, ("txt",)).collect()}
+    assert (got[1]["status"], got[1]["retry_count"], got[1]["checksum"], got[1]["fail_reason"]) == ("PENDING", 2, "new", None)
+    assert [got[i]["fail_reason"] for i in (2, 3, 4)] == ["reintake: unsupported type", "reintake: larger than 100 MB", "reintake: no file at its path"]
+    assert {got[i]["status"] for i in (2, 3, 4)} == {"FAILED"} and got[3]["checksum"] == "old"
+
+
+def test_golden_evidence_is_checked_on_load(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a", "d", "COMPLETED"), (2, "b", "d", "FAILED")], "file_id long, file_name string, doc_scope string, status string")
+    chunks = spark.createDataFrame([(1, 1, None, "the quote is here")], "file_id long, page_number int, sheet_name string, chunk_text_norm string")
+    of = lambda **e: {"file_name": "a", "page": 1, "quote": "The  quote"} | e
+    good = spark.createDataFrame([record(gold_evidence=[of()])], GOLDEN)
+    assert load_golden(spark, good, "v", str(tmp_path / "g"), files, chunks) == "created"
+    bad = spark.createDataFrame([record(gold_evidence=[of(), of(file_name="b"), of(page=2), of(quote="elsewhere")])], GOLDEN)
+    reasons = {r["evidence_no"]: r["reason"] for r in evaluate.evidence_mismatches(bad, files, chunks).collect()}
+    assert reasons == {1: "file_not_found", 2: "location_not_found", 3: "quote_not_found"}
+    with pytest.raises(GoldenError):
+        load_golden(spark, bad, "v", str(tmp_path / "h"), files, chunks)
+    assert not (tmp_path / "h").exists()
+
+
+def test_seed_fills_nested_gaps():
+    sql = config.seed_sql({"q": {"flat": 1, "deep": {"x": {"y": "it's"}, "z": [1]}}}, "merge")
+    places = [line.split("'")[1] for line in sql.splitlines() if line.startswith("UPDATE")]
+    assert places == ["{deep,x}", "{deep,x,y}", "{deep,z}"] and "it''s" in sql
+    assert "UPDATE" not in config.seed_sql({"q": {"deep": {"x": 1}}}).replace("DO UPDATE", "")
+
+
+def test_health():
+    every = {"model": "ok", "store": "ok", "embedder": "ok"}
+    assert [agent.health(every | x) for x in ({}, {"embedder": "down"}, {"store": "down"})] == ["healthy", "degraded", "unhealthy"]
+    assert agent.health({}) == "unhealthy"
