@@ -451,11 +451,6 @@ def test_quotes_are_found_by_runs_of_words(spark):
     assert got == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 3)]
 
 
-class Down:
-    def embed_batch(self, texts):
-        raise embed.Unreachable("no connection")
-
-
 def waiting(spark):
     rows = [(1, "a", "PENDING", 0, None), (2, "b", "PENDING", 1, None), (3, "c", "COMPLETED", 0, None), (4, "d", "PENDING", 0, None)]
     files = spark.createDataFrame(rows, "file_id long, file_name string, status string, retry_count int, fail_reason string")
@@ -480,6 +475,10 @@ def test_ingest_run(spark, tmp_path):
 
 
 def test_an_outage_publishes_nothing(spark, tmp_path):
+    class Down:  # here, so that workers get it by value
+        def embed_batch(self, texts):
+            raise embed.Unreachable("no connection")
+
     files, parsed = waiting(spark)
     with pytest.raises(embed.Unreachable):
         ingest.run(files, parsed, Down, str(tmp_path / "s"), dim=8)
