@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from docsluice.functions.text import normalize, word_count
 
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 512, 64, 30
+#: Tokens whose lengths are added up as one when offsets are worked out.
+OFFSET_STEP = 1024
 _I = "int"
 
 
@@ -29,25 +31,50 @@ def window_ranges(n: Column, most: int, overlap: int, least: int) -> Column:
     return F.when(n <= 0, F.array().cast("array<struct<a:int,b:int>>")).when(short, even).otherwise(plain)
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _added(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda x, y: x + y)
+
+
 def windows_of(segments: DataFrame, most: int, overlap: int, least: int) -> DataFrame:
     """segments: file_id, seg_no, seg_start, text and any labels. One row per window: text, tokens, offsets.
 
-    Token offsets are running sums over the pieces at white space; a window's text is what lies between its
-    first token's start and its last token's end."""
-    cut = segments.withColumn("__p", F.split("text", r"(?U)\s"))
-    flat = cut.select("file_id", "seg_no", F.posexplode("__p").alias("i", "piece"))
-    order = Window.partitionBy("file_id", "seg_no").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flat = flat.withColumn("b", (F.sum(F.length("piece") + 1).over(order) - 1).cast(_I)).where("piece <> ''")
-    spans = flat.groupBy("file_id", "seg_no").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("b") - F.length("piece")).alias("a"), "b"))).alias("__s"))
-    each = segments.join(spans, ["file_id", "seg_no"]).withColumn("__w", F.explode(window_ranges(F.size("__s"), most, overlap, least)))
-    first, last = F.element_at("__s", F.col("__w.a") + 1)["a"], F.element_at("__s", F.col("__w.b"))["b"]
-    out = each.withColumn("__a", first).withColumn("__b", last)
+    A segment stays one row: its tokens, each with the white space before it, are an array. An offset is the
+    length of all full steps of `OFFSET_STEP` tokens before it and of the tokens of its own step."""
+
+    def of_tokens(tokens: Column) -> Column:
+        def of_steps(lengths: Column, sums: Column) -> Column:
+            def before(i: Column) -> Column:
+                full = F.floor(i / OFFSET_STEP).cast(_I)
+                return F.get(sums, full) + _added(F.slice(lengths, full * OFFSET_STEP + 1, i - full * OFFSET_STEP))
+
+            def window(w: Column) -> Column:
+                first = F.get(tokens, w["a"])
+                gap = F.length(first) - F.length(F.regexp_replace(first, r"(?U)^\s+", ""))
+                text = F.array_join(F.slice(tokens, w["a"] + 1, w["b"] - w["a"]), "")
+                return F.struct(F.substring(text, gap + 1, F.length(text)).alias("chunk_text"), (w["b"] - w["a"]).cast(_I).alias("token_count"), (before(w["a"]) + gap).alias("a"), before(w["b"]).alias("b"))
+
+            return F.transform(window_ranges(F.size(tokens), most, overlap, least), window)
+
+        def summed(lengths: Column) -> Column:
+            steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / OFFSET_STEP).cast(_I)), lambda g: _added(F.slice(lengths, g * OFFSET_STEP + 1, F.lit(OFFSET_STEP))))
+            running = _bound(steps, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda k: _added(F.slice(x, F.lit(1), k))))
+            return _bound(running, lambda sums: of_steps(lengths, sums))
+
+        return _bound(F.transform(tokens, F.length), summed)
+
+    windows = _bound(F.regexp_extract_all("text", F.lit(r"((?U)\s*\S+)"), F.lit(1)), of_tokens)
+    each = segments.withColumn("__w", F.explode(windows))
     return (
-        out.withColumn("chunk_text", F.expr("substring(text, __a + 1, __b - __a)"))
-        .withColumn("token_count", (F.col("__w.b") - F.col("__w.a")).cast(_I))
-        .withColumn("char_start", (F.col("seg_start") + F.col("__a")).cast(_I))
-        .withColumn("char_end", (F.col("seg_start") + F.col("__b")).cast(_I))
-        .drop("text", "seg_start", "__s", "__w", "__a", "__b")
+        each.withColumn("chunk_text", F.col("__w.chunk_text"))
+        .withColumn("token_count", F.col("__w.token_count"))
+        .withColumn("char_start", (F.col("seg_start") + F.col("__w.a")).cast(_I))
+        .withColumn("char_end", (F.col("seg_start") + F.col("__w.b")).cast(_I))
+        .drop("text", "seg_start", "__w")
     )
 
 
@@ -72,21 +99,33 @@ def section_groups(us: DataFrame) -> DataFrame:
     """Adds seg_no: consecutive units of one section."""
     order = Window.partitionBy("file_id").orderBy("unit_no")
     new = ~F.col("section_title").eqNullSafe(F.lag("section_title").over(order)) | (F.col("unit_no") == 1)
-    return us.withColumn("seg_no", F.sum(new.cast(_I)).over(order))
+    return us.withColumn("seg_no", F.sum(new.cast(_I)).over(order).cast(_I))
+
+
+def planned_groups(us: DataFrame, strategy: str, most: int) -> DataFrame:
+    """us: units with the seg_no of their section. Sets seg_no by the plan of the file: `section` where a unit
+    matched a section, else `paragraph` where there are several, else `sliding` (all one)."""
+    fields = ["unit_no", "text", "char_start", "char_end", "page_no", "section_title"]
+    listed = us.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(*fields, "seg_no"))).alias("__u"))
+    matched = F.exists("__u", lambda u: u["section_title"].isNotNull()) & F.lit(strategy == "section")
+    packed = packed_groups(F.transform("__u", lambda u: word_count(u["text"])), most)
+    several = (F.size("__u") > 1) & F.lit(strategy != "sliding")
+    seg = F.when(matched, F.col("__u")["seg_no"]).when(several, packed).otherwise(F.transform("__u", lambda u: F.lit(1)))
+    each = listed.select("file_id", F.explode(F.arrays_zip(F.col("__u").alias("u"), seg.alias("seg_no"))).alias("__z"))
+    return each.select("file_id", "__z.seg_no", *(f"__z.u.{c}" for c in fields))
 
 
-def packed_groups(us: DataFrame, most: int) -> DataFrame:
-    """Adds seg_no: units packed one after the other while their tokens add up to at most `most`."""
-    listed = us.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", word_count(F.col("text")).alias("n")))).alias("__u"))
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("seg"), F.array().cast("array<struct<unit_no:int,seg_no:int>>").alias("out"))
+def packed_groups(sizes: Column, most: int) -> Column:
+    """sizes: tokens of a file's units. The group of each, from 1: units packed one after the other while their
+    tokens add up to at most `most`."""
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("seg"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, u: Column) -> Column:
-        new = (F.size(s["out"]) == 0) | (s["sum"] + u["n"] > most)
+    def step(s: Column, n: Column) -> Column:
+        new = (s["seg"] == 0) | (s["sum"] + n > most)
         seg = s["seg"] + new.cast(_I)
-        return F.struct(F.when(new, u["n"]).otherwise(s["sum"] + u["n"]).alias("sum"), seg.alias("seg"), F.concat(s["out"], F.array(F.struct(u["unit_no"].alias("unit_no"), seg.alias("seg_no")))).alias("out"))
+        return F.struct(F.when(new, n).otherwise(s["sum"] + n).alias("sum"), seg.alias("seg"), F.concat(s["out"], F.array(seg)).alias("out"))
 
-    placed = listed.select("file_id", F.explode(F.aggregate("__u", start, step)["out"]).alias("__p")).select("file_id", "__p.unit_no", "__p.seg_no")
-    return us.join(placed, ["file_id", "unit_no"])
+    return F.aggregate(sizes, start, step)["out"]
 
 
 def segments_of(grouped: DataFrame) -> DataFrame:
@@ -106,8 +145,8 @@ def merged_chunks(chunks: DataFrame, least: int, most: int) -> DataFrame:
     """chunks: file_id, place, is_table and the chunk's fields. One shorter than `least` joins the chunk before
     (which may have been merged itself) if their tokens add up to at most `most`; tables never. The earlier
     chunk's labels stay, its end moves. chunk_index is the place that is left."""
-    kind = "struct<place:int,is_table:boolean,chunk_text:string,token_count:int,page_number:int,sheet_name:string,section_title:string,char_start:int,char_end:int>"
-    fields = ["place", "is_table", "chunk_text", "token_count", "page_number", "sheet_name", "section_title", "char_start", "char_end"]
+    kind = "struct<is_table:boolean,place:int,chunk_text:string,token_count:int,page_number:int,sheet_name:string,section_title:string,char_start:int,char_end:int>"
+    fields = ["is_table", "place", "chunk_text", "token_count", "page_number", "sheet_name", "section_title", "char_start", "char_end"]
     listed = chunks.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).cast(f"array<{kind}>").alias("__c"))
 
     def step(done: Column, c: Column) -> Column:
@@ -124,17 +163,12 @@ def chunk_files(blocks: DataFrame, sections: DataFrame | None = None, tables: Da
     """blocks → chunks of CHUNKS without ids, plus is_table. Per file: `section` needs a block that matched a
     section, else `paragraph`; that needs more than one block, else `sliding`. Tables (file_id, table_no,
     page_no, sheet_name, text) follow the text, each whole."""
-    us = units(blocks, sections if strategy == "section" else None)
-    of_file = us.groupBy("file_id").agg(F.count("*").alias("__n"), F.count_if(F.col("section_title").isNotNull()).alias("__matched"))
-    plan = F.when((F.lit(strategy) == "section") & (F.col("__matched") > 0), "section").when((F.lit(strategy) != "sliding") & (F.col("__n") > 1), "paragraph").otherwise("sliding")
-    us = us.join(of_file.select("file_id", plan.alias("__plan")), "file_id")
-    grouped = [section_groups(us.where("__plan = 'section'").drop("__plan")), packed_groups(us.where("__plan = 'paragraph'").drop("__plan"), most), us.where("__plan = 'sliding'").drop("__plan").withColumn("seg_no", F.lit(1))]
-    every = grouped[0].unionByName(grouped[1]).unionByName(grouped[2])
-    body = labelled(windows_of(segments_of(every), most, overlap, least))
+    us = section_groups(units(blocks, sections if strategy == "section" else None))
+    body = labelled(windows_of(segments_of(planned_groups(us, strategy, most)), most, overlap, least))
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("seg_no", "char_start"))
     body = body.select("file_id", place.alias("place"), F.lit(False).alias("is_table"), "chunk_text", "token_count", "page_number", F.lit(None).cast("string").alias("sheet_name"), "section_title", "char_start", "char_end")
     if tables is not None:
-        extra = tables.where(F.trim("text") != "").select("file_id", (F.col("table_no") + 1_000_000).cast(_I).alias("place"), F.lit(True).alias("is_table"), F.col("text").alias("chunk_text"), word_count(F.col("text")).alias("token_count"), F.col("page_no").alias("page_number"), "sheet_name", F.lit(None).cast("string").alias("section_title"), F.lit(None).cast(_I).alias("char_start"), F.lit(None).cast(_I).alias("char_end"))
+        extra = tables.where(F.trim("text") != "").select("file_id", F.col("table_no").cast(_I).alias("place"), F.lit(True).alias("is_table"), F.col("text").alias("chunk_text"), word_count(F.col("text")).alias("token_count"), F.col("page_no").alias("page_number"), "sheet_name", F.lit(None).cast("string").alias("section_title"), F.lit(None).cast(_I).alias("char_start"), F.lit(None).cast(_I).alias("char_end"))
         body = body.unionByName(extra)
     return merged_chunks(body, least, most).withColumn("chunk_text_norm", normalize(F.col("chunk_text")))
 
