@@ -7,6 +7,7 @@ text around each hit is verified with Myers' bit-parallel distance, words being
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,13 +128,17 @@ class ItemIndex:
         return out
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> list[list[tuple[object, str]]]:
-    """The items, in lists that each stay within the bound; a pass over the documents for each list."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, edit_share: float, index_bytes: int) -> Iterator[ItemIndex]:
+    """An index for each pass over the documents, made when it is asked for: the driver has the items of one pass.
+
+    Rows equal in item and text are one item, whose key is the item and how often it comes, so that repeated rows
+    don't fill a pass."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").groupBy("item", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // index_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
-    return [[(r["item"], r["text"]) for r in items.where(part == i).collect()] for i in range(passes)]
+    for i in range(passes):
+        yield ItemIndex.build([((r["item"], r["times"]), r["text"]) for r in items.where(part == i).collect()], edit_share)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -147,13 +152,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     found = None
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    for rows in _chunks(benchmark, item_col, item_text_col, index_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex.build(rows, edit_share))
+    for made in _indexes(benchmark, item_col, item_text_col, edit_share, index_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
-                out = [(doc, *hit) for doc, text in zip(batch.column("id").to_pylist(), texts(batch, "text"), strict=True) for hit in index.find(item_words(text))]
+                out = [(doc, item, *hit) for doc, text in zip(batch.column("id").to_pylist(), texts(batch, "text"), strict=True) for (item, times), *hit in index.find(item_words(text)) for _ in range(times)]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = [batch.schema.field("id").type, None, pa.int64(), pa.int64(), pa.int64()]
                 if out:
@@ -165,9 +170,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows whose text holds no test item, with all their columns; one pass for each list of items."""
-    for rows in _chunks(benchmark, item_col, item_text_col, index_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex.build(rows, edit_share))
+    """The rows whose text holds no test item, with all their columns, of any names; one pass for each
+    `index_bytes` of items. Rows with null or empty texts stay, null or empty items match nothing; rows repeated
+    in the input are judged alike, and a very long text is scanned to its end. No items: all rows stay."""
+    for made in _indexes(benchmark, item_col, item_text_col, edit_share, index_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, sent=sent):
             for batch in batches:

@@ -175,6 +175,16 @@ def test_contamination_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in drop_contaminated(df, bench).collect()) == sorted(d for d, _ in docs if d not in dirty)
 
 
+def test_repeated_items_stay_repeated(spark):
+    items = [(1, "one two three four five six")] * 300 + [(1, "seven eight nine"), (2, "one two three four five six"), (None, "seven eight nine"), (3, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    df = spark.createDataFrame([(7, "so one two three four five six seven eight nine"), (8, "nothing"), (None, "seven eight nine")], "doc_id long, text string")
+    want = Counter({(7, 1, 0, 6): 300, (7, 1, 0, 3): 1, (7, 2, 0, 6): 1, (7, None, 0, 3): 1, (None, 1, 0, 3): 1, (None, None, 0, 3): 1})
+    for index_bytes in (1 << 20, 40):
+        assert Counter((r["doc_id"], r["item_id"], r["distance"], r["item_words"]) for r in find_contamination(df, bench, index_bytes=index_bytes).collect()) == want
+        assert [r["doc_id"] for r in drop_contaminated(df, bench, index_bytes=index_bytes).collect()] == [8]
+
+
 def test_no_items_or_documents(docs, empty, spark, crowded):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(docs, none).count() == 0 and drop_contaminated(docs, none).count() == docs.count()

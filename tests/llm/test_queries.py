@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ def test_query_columns(spark, name):
         assert df.count() == docs
 
 
+def test_shards_equal_the_law(spark):
+    rows = entry.queries()["op10_sharding"](spark, DATA).collect()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    wanted = sorted((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == wanted
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    slots = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(16)}
+    assert sum(map(len, slots.values())) == len(rows) and all(x == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     extra = spark.createDataFrame([(10_001, None, None, None, None), (10_002, "", "en", "s", 0), (10_003, "123 456", "en", "s", 7)], docs.schema)
