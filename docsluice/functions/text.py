@@ -94,3 +94,51 @@ def flatten_table(data: Column) -> Column:
 def covers(claim: Column, sentence: Column) -> Column:
     """Either contains the other; empty ones never (both normalised)."""
     return (claim != "") & (sentence != "") & (sentence.contains(claim) | claim.contains(sentence))
+
+
+# Frequent short words of the languages that are told apart.
+FREQUENT = {
+    "tr": "ve bir bu için ile de da olarak daha çok gibi olan her kadar sonra ne ama en var değil veya ancak göre ki",
+    "en": "the and of to in is that for it with as was on are be this by at from or not which have an they",
+    "de": "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus",
+    "fr": "le les et des la du une est dans que pour qui sur pas par plus au avec ce sont ne se cette ont aux",
+    "es": "el los y las la del que en una por con para es se no su lo como más al son pero sus ha",
+    "it": "il di che la è per un una del della non si con sono le da dei gli nel alla più anche come ma lo",
+}
+
+
+def detect_language(text: Column, least_chars: int = 20) -> Column:
+    """The language whose frequent words the text has most of (of equals the first by name); null if it has none of
+    any, and for texts of fewer characters."""
+    lower = words(F.regexp_replace(F.lower(text), r"[\p{P}\p{S}\d]+", " "))
+
+    def most(text_words: Column) -> Column:
+        def hits(these: str) -> Column:
+            return F.size(F.filter(text_words, lambda w: w.isin(*these.split())))
+
+        return F.array_max(F.array(*(F.struct(hits(these).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, these) in enumerate(sorted(FREQUENT.items())))))
+
+    best = F.element_at(F.transform(F.array(lower), most), 1)  # the words are made once
+    return F.when((F.length(F.trim(text)) >= least_chars) & (best["n"] > 0), best["lang"])
+
+
+@cache
+def _tokenizer(path: str):
+    import tokenizers
+
+    made = tokenizers.Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def subword_spans(tokenizer: str):
+    """A function of a text column: the tokens of a tokenizer file as (start, end) in characters. Workers load the
+    file once; a null text has none. `F.size` of it counts tokens."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(text: pd.Series) -> pd.Series:
+        whole = _tokenizer(tokenizer).encode_batch(["" if x is None else x for x in text], add_special_tokens=False)
+        return pd.Series([[{"start": a, "end": b} for a, b in e.offsets] for e in whole])
+
+    return spans

@@ -1,11 +1,14 @@
-"""Files as rows: listing, type by content, parsing of text, DOCX and XLSX (standard library only)."""
+"""Files as rows: listing, type by content, parsing of text, DOCX, XLSX and PDF (standard library only)."""
 
 from __future__ import annotations
 
 import io
 import re
+import signal
+import threading
+import time
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docsluice.functions.text import flatten_table
+from docsluice.functions.text import detect_language, flatten_table
+from docsluice.sources.pdf import parse_pdf
 
 HEAD = 8192
 
@@ -65,7 +69,7 @@ def decode(content: bytes) -> str:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_NONE = {"pages": [], "sections": [], "tables": [], "parse_warnings": []}
+_NONE = {"pages": [], "sections": [], "tables": [], "figures": [], "parse_warnings": []}
 
 
 def parse_txt(content: bytes) -> dict:
@@ -126,32 +130,111 @@ def parse_xlsx(content: bytes) -> dict:
     return _NONE | {"tables": tables}
 
 
-PARSERS = {"txt": parse_txt, "docx": parse_docx, "xlsx": parse_xlsx}
+PARSERS = {"txt": parse_txt, "docx": parse_docx, "xlsx": parse_xlsx, "pdf": parse_pdf}
+BACKENDS = ("auto", "primary", "fallback")
 PARSED = (
     "pages array<struct<page_no:int,text_blocks:array<string>>>, sections array<struct<title:string,level:int,page_start:int>>, "
-    "tables array<struct<index:int,data:array<array<string>>,flattened_text:string,page_no:int,sheet_name:string>>, parse_warnings array<string>"
+    "tables array<struct<index:int,data:array<array<string>>,flattened_text:string,page_no:int,sheet_name:string>>, "
+    "figures array<struct<index:int,page_no:int,caption:string>>, parse_warnings array<string>"
 )
+ATTEMPTS = "attempts array<struct<attempt:int,ocr:boolean,duration_ms:long,timed_out:boolean,error:string>>"
+#: Seconds that one attempt may take, and the share of pages with text below which OCR is tried.
+TIMEOUT, OCR_BELOW = 120.0, 0.50
 
 
-def parse_files(files: DataFrame, parsers: dict | None = None) -> DataFrame:
-    """files: file_id, file_type, content. Adds the parts of a parsed document; a type without a parser (PDF
-    needs one that the caller brings) or a file that breaks one has no pages and a warning."""
-    known = parsers or PARSERS
+def parsers_for(backend: str = "auto", primary: dict | None = None) -> dict:
+    """Parsers by type: `fallback` those of this module; `auto` the primary backend's where it has one; `primary`
+    the same, but a primary backend must be there."""
+    if backend not in BACKENDS or (backend == "primary" and not primary):
+        raise ValueError(f"no such backend: {backend}")
+    return PARSERS if backend == "fallback" else PARSERS | (primary or {})
+
+
+def in_time(parse: Callable[[bytes], dict], content: bytes, seconds: float) -> dict:
+    """What `parse` gives, or TimeoutError. In a worker's main thread a timer breaks the parser off; elsewhere it is
+    left behind in a thread of its own."""
+    if threading.current_thread() is threading.main_thread():
+
+        def late(*_):
+            raise TimeoutError(f"no result in {seconds} s")
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return parse(content)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+    out: dict = {}
+
+    def run() -> None:
+        try:
+            out["value"] = parse(content)
+        except Exception as e:
+            out["error"] = e
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        raise TimeoutError(f"no result in {seconds} s")
+    if "error" in out:
+        raise out["error"]
+    return out["value"]
+
+
+def _covered(parsed: dict) -> float:
+    return sum(any(b.strip() for b in p["text_blocks"]) for p in parsed["pages"]) / max(1, len(parsed["pages"]))
+
+
+def parse_file(content: bytes, kind: str | None, parsers: dict, ocr: Callable[[bytes], dict] | None = None, timeout: float = TIMEOUT, retries: int = 1) -> dict:
+    """The parts of a document and its `attempts`. A PDF of which less than `OCR_BELOW` of the pages have text is
+    tried again by `ocr`; the last attempt's result holds. A first attempt that took too long is the last."""
+    attempts: list[dict] = []
+
+    def attempt(parse: Callable[[bytes], dict] | None, by_ocr: bool) -> dict:
+        began, error, late, got = time.perf_counter(), None, False, _NONE
+        try:
+            if parse is None:
+                raise LookupError(f"no parser for {kind}")
+            got = _NONE | in_time(parse, content, timeout)
+        except TimeoutError as e:
+            error, late = str(e), True
+        except LookupError as e:
+            error = str(e) if parse is None else f"broken file: {e}"
+        except Exception as e:
+            error = f"broken file: {e}"
+        attempts.append({"attempt": len(attempts) + 1, "ocr": by_ocr, "duration_ms": int(1000 * (time.perf_counter() - began)), "timed_out": late, "error": error})
+        return got if error is None else _NONE | {"parse_warnings": [error]}
+
+    got = attempt(parsers.get(kind), False)
+    if ocr and kind == "pdf" and not attempts[0]["timed_out"] and attempts[0]["error"] is None and _covered(got) < OCR_BELOW:
+        for _ in range(retries):
+            got = attempt(ocr, True)
+    return got | {"attempts": attempts}
+
+
+def parse_files(files: DataFrame, parsers: dict | None = None, *, ocr: Callable[[bytes], dict] | None = None, timeout: float = TIMEOUT) -> DataFrame:
+    """files: file_id, file_type, content. Adds the parts of a parsed document, its language and the attempts made; a
+    type without a parser or a file that breaks one or takes too long has no pages and a warning."""
+    known = PARSERS if parsers is None else parsers
+    columns = ["file_id", "file_type", "pages", "sections", "tables", "figures", "parse_warnings", "attempts"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for _, r in batch.iterrows():
-                try:
-                    got = known[r["file_type"]](bytes(r["content"]))
-                except KeyError as e:
-                    got = _NONE | {"parse_warnings": [f"no parser for {e.args[0]}" if r["file_type"] not in known else f"broken file: {e}"]}
-                except Exception as e:
-                    got = _NONE | {"parse_warnings": [f"broken file: {e}"]}
-                rows.append({"file_id": r["file_id"], "file_type": r["file_type"], **got})
-            yield pd.DataFrame(rows, columns=["file_id", "file_type", "pages", "sections", "tables", "parse_warnings"])
-
-    return files.select("file_id", "file_type", "content").mapInPandas(run, f"file_id long, file_type string, {PARSED}")
+            rows = [{"file_id": i, "file_type": kind, **parse_file(bytes(content or b""), kind, known, ocr, timeout)} for i, kind, content in zip(batch["file_id"], batch["file_type"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    parsed = files.select("file_id", "file_type", "content").mapInPandas(run, f"file_id long, file_type string, {PARSED}, {ATTEMPTS}")
+    body = F.array_join(F.flatten(F.col("pages")["text_blocks"]), "\n")
+    return parsed.withColumn("language", detect_language(body))
+
+
+def attempt_metrics(parsed: DataFrame) -> DataFrame:
+    """A metrics row for each attempt at a file: step `parse`, duration, ok, detail."""
+    each = parsed.select("file_id", F.explode("attempts").alias("a"))
+    detail = F.to_json(F.struct("a.attempt", "a.ocr", "a.timed_out", "a.error"))
+    return each.select("file_id", F.lit("parse").alias("step"), F.col("a.duration_ms").cast("int").alias("duration_ms"), F.col("a.error").isNull().alias("ok"), detail.alias("detail"))
 
 
 def tables_of(parsed: DataFrame) -> DataFrame:

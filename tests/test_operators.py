@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import math
 import random
+import time
 import zipfile
+import zlib
 from datetime import datetime
 
 import pytest
@@ -13,10 +15,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsluice import agent, config
+from docsluice.functions.text import detect_language, subword_spans
 from docsluice.functions.vectors import cosine
 from docsluice.operators import chunk, clean, context, embed, evaluate, ground, ingest, inject, intake, quality, report, retrieve, store
 from docsluice.sources import files as src
 from docsluice.schema import GOLDEN, PARSED
+from docsluice.sources.pdf import parse_pdf
+from docsluice.trace import Tracer
 from docsluice.sources.golden import GoldenError, load_golden, read_golden
 
 FILES = "file_id long, file_name string, file_type string, doc_scope string, language string, doc_version int"
@@ -345,6 +350,86 @@ def test_files(spark, tmp_path):
     assert parsed[None]["parse_warnings"]
 
 
+def pdf_of(*objects: bytes, trailer: bytes = b"trailer << /Root 1 0 R >>") -> bytes:
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + trailer + b"\n%%EOF"
+
+
+def stream_of(data: bytes, entries: bytes = b"", packed: bool = True) -> bytes:
+    body = zlib.compress(data) if packed else data
+    return b"<< /Length %d %s %s >>\nstream\n%s\nendstream" % (len(body), b"/Filter /FlateDecode" if packed else b"", entries, body)
+
+
+def small_pdf() -> bytes:
+    """Two pages: a title, lines in two fonts, kerning, a form and an image; the second page is empty."""
+    content = b"BT /F1 20 Tf 72 720 Td (The Title) Tj 0 -30 Td /F1 10 Tf [(Hel) -20 (lo) -300 (w\\366rld \\(1\\))] TJ 0 -14 Td (second) Tj 60 0 Td (line here) Tj ET BT /F2 10 Tf 1 0 0 1 72 640 Tm <00010002> Tj ET q 1 0 0 1 0 -100 cm /X1 Do /Im Do Q"
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <011F> endbfchar 1 beginbfrange <0002> <0003> <0061> endbfrange"
+    return pdf_of(
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 9 0 R] /Count 2 /Resources << /Font << /F1 5 0 R /F2 6 0 R >> /XObject << /X1 8 0 R /Im 10 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents [4 0 R] >>", stream_of(content), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /Differences [246 /odieresis] >> >>",
+        b"<< /Type /Font /Subtype /Type0 /ToUnicode 7 0 R >>", stream_of(cmap), stream_of(b"BT /F1 10 Tf 72 700 Td (in a form) Tj ET", b"/Subtype /Form", packed=False),
+        b"<< /Type /Page /Parent 2 0 R >>", stream_of(b"\0", b"/Subtype /Image"),
+    )
+
+
+def test_pdf():
+    got = parse_pdf(small_pdf())
+    assert [p["text_blocks"] for p in got["pages"]] == [["The Title", "Hello wörld (1)", "second line here", "ğa", "in a form"], []]
+    assert got["sections"] == [{"title": "The Title", "level": 1, "page_start": 1}]
+    assert got["figures"] == [{"index": 0, "page_no": 1, "caption": None}] and got["tables"] == got["parse_warnings"] == []
+    inside = b"1 0 2 33 3 85 " + b"<< /Type /Catalog /Pages 2 0 R >> << /Type /Pages /Kids [3 0 R] /Count 1 >>".ljust(85) + b"<< /Type /Page /Contents 12 0 R /Resources << /Font << /F << /Type /Font /Subtype /Type1 >> >> >> >>"
+    packed = b"%PDF-1.5\n11 0 obj\n" + stream_of(inside, b"/Type /ObjStm /N 3 /First 14") + b"\nendobj\n12 0 obj\n" + stream_of(b"BT /F 9 Tf (one) Tj 12 TL (two) ' T* (three) Tj ET") + b"\nendobj\n"
+    assert parse_pdf(packed)["pages"][0]["text_blocks"] == ["one", "two", "three"]
+    with pytest.raises(ValueError, match="encrypted"):
+        parse_pdf(pdf_of(b"<< /Type /Catalog >>", trailer=b"trailer << /Root 1 0 R /Encrypt 5 0 R >>"))
+    assert parse_pdf(b"%PDF-1.4 nothing")["pages"] == []
+    broken = parse_pdf(small_pdf().replace(b"/FlateDecode", b"/JBIG2Decode"))
+    assert broken["pages"][0]["text_blocks"] == [] and "JBIG2Decode" in broken["parse_warnings"][0]
+
+
+def test_attempts(spark):
+    page = lambda *blocks: {"pages": [{"page_no": 1, "text_blocks": list(blocks)}]}
+
+    def slow(content):
+        time.sleep(30)
+
+    def odd(content):
+        return page("text") if content == b"text" else page() if content == b"scan" else slow(content) if content == b"slow" else page()[0]
+
+    files = spark.createDataFrame([(i, kind, bytearray(c)) for i, (kind, c) in enumerate([("pdf", b"text"), ("pdf", b"scan"), ("pdf", b"slow"), ("pdf", b"bad"), ("txt", b"   "), ("zip", b"x"), ("docx", b"PK")])] + [(9, None, None)], "file_id long, file_type string, content binary")
+    parsed = src.parse_files(files, src.parsers_for("auto", {"pdf": odd}), ocr=lambda content: page("the words that it is, read by and for this"), timeout=1.0)
+    got = {r["file_id"]: r for r in parsed.collect()}
+    tries = {i: [(a["ocr"], a["timed_out"], a["error"] is None) for a in r["attempts"]] for i, r in got.items()}
+    once, bad = [(False, False, True)], [(False, False, False)]
+    assert tries == {0: once, 1: [*once, (True, False, True)], 2: [(False, True, False)], 3: bad, 4: once, 5: bad, 6: bad, 9: bad}
+    assert got[1]["pages"][0]["text_blocks"][0].startswith("the words") and (got[1]["language"], got[0]["language"]) == ("en", None)
+    assert got[2]["pages"] == [] and "no result" in got[2]["parse_warnings"][0] and got[5]["parse_warnings"] == ["no parser for zip"]
+    rows = src.attempt_metrics(parsed).collect()
+    assert sum(r["ok"] for r in rows) == 4 and len(rows) == 9 and {json.loads(r["detail"])["attempt"] for r in rows if r["file_id"] == 1} == {1, 2}
+    assert src.parsers_for("fallback", {"pdf": odd}) == src.PARSERS and src.parsers_for("primary", {"pdf": odd})["pdf"] is odd
+    for wrong in ("primary", "other"):
+        with pytest.raises(ValueError):
+            src.parsers_for(wrong)
+
+
+def test_language_of_texts(spark):
+    said = {
+        "tr": "Bu belge için olarak daha çok bir şey gibi ve ile", "en": "This is the text that was written by and for the people", "de": "Das ist der Text, und er ist nicht von dem Mann",
+        "fr": "C'est le texte qui est dans la maison pour les gens", "es": "El texto que los hombres de la casa y las mujeres son", "it": "Il testo che è della casa con gli uomini e non di lui", None: "Kwiecień plecień przeplata trochę zimy",
+    }
+    df = spark.createDataFrame([*said.items(), (None, "the and of"), (None, None), (None, "   "), (None, "1234567890 1234567890 !!")], "want string, text string")
+    assert [r for r in df.withColumn("got", detect_language("text")).collect() if r["want"] != r["got"]] == []
+
+
+def test_subword_spans(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello there, wörld", "", None, "x " * 300]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", subword_spans(path)("text").alias("s")).collect()
+    assert [[tuple(s) for s in r["s"]] for r in got] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).offsets for t in texts]
+
+
 def record(**x):
     return {"id": "q1", "question": "Who?", "ideal_answer": "", "category": "single_fact", "difficulty": 1, "gold_evidence": [{"file_name": "a", "page": 1, "quote": "q"}], "doc_scope": "d", "answerable": True, "created_by": "", "notes": ""} | x
 
@@ -527,3 +612,21 @@ def test_health():
     every = {"model": "ok", "store": "ok", "embedder": "ok"}
     assert [agent.health(every | x) for x in ({}, {"embedder": "down"}, {"store": "down"})] == ["healthy", "degraded", "unhealthy"]
     assert agent.health({}) == "unhealthy"
+
+
+def test_traces_never_stop_the_work():
+    seen = []
+    t = Tracer(seen.extend, batch=2)
+    with pytest.raises(KeyError), t.span("outer", a=1, b=None):
+        with t.span("inner"):
+            t.event("found", n=3)
+            t.set(rows=5, none=None)
+        raise KeyError("x")
+    assert [(s["name"], s["parent"], s["ok"], s["attributes"]) for s in seen] == [("inner", "outer", True, {"rows": 5}), ("outer", None, False, {"a": 1})]
+    assert seen[0]["events"] == [{"name": "found", "attributes": {"n": 3}}] and seen[1]["error"] == "KeyError: 'x'" and seen[0]["duration_ms"] >= 0
+    failing = Tracer(lambda spans: 1 / 0)
+    with failing.span("work"):
+        pass
+    assert failing.flush() and not seen[2:]
+    with Tracer().span("nowhere") as s:
+        s["attributes"]["k"] = 1
