@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docsluice.functions.text import FREQUENT
 from docsluice.operators.inject import PATTERNS
 from docsluice.plans.queries import SCOPES
 from docsluice.plans.tables import ID_STEP, LEAST, LINES_A_PAGE, OVERLAP, WINDOW
@@ -116,13 +117,15 @@ c AS (
     UNION ALL SELECT answer_id, answer, coalesce(ss[1], ''), 4, '-7', '' FROM a WHERE answer_id % 3 = 2)"""
 
 GOLD = f"""gold AS (SELECT DISTINCT item_id AS id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains({norm("d.text")}, {norm("b.text")}) WHERE {norm("b.text")} <> '')"""
-RANKED = f"""{GOLD}, ranked AS (SELECT id, chunk_id, 1 + (id + chunk_id) % 12 AS rank FROM gold),
-per AS (SELECT id, count(*) AS g, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 20) AS h20, min(rank) AS first,
+#: Measures of `ranked` (id, chunk_id of the gold, its rank or null) for the questions `q` (id, category).
+MEASURED = """per AS (SELECT id, count(*) AS g, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 20) AS h20, min(rank) AS first,
     sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) END) AS d5, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS d10, sum(CASE WHEN rank <= 20 THEN 1 / log2(rank + 1) END) AS d20 FROM ranked GROUP BY id),
-measured AS (SELECT item_id AS id, 'c' || item_id % 3 AS category, coalesce(h5 / g, 0.0) AS recall_at_5, coalesce(h10 / g, 0.0) AS recall_at_10, coalesce(h20 / g, 0.0) AS recall_at_20, coalesce(1.0 / first, 0.0) AS mrr,
+measured AS (SELECT q.id, category, coalesce(h5 / g, 0.0) AS recall_at_5, coalesce(h10 / g, 0.0) AS recall_at_10, coalesce(h20 / g, 0.0) AS recall_at_20, coalesce(1.0 / first, 0.0) AS mrr,
     coalesce(d5 / list_sum(list_transform(range(1, least(g, 5) + 1), lambda i: 1 / log2(i + 1))), 0.0) AS ndcg_at_5, coalesce(d10 / list_sum(list_transform(range(1, least(g, 10) + 1), lambda i: 1 / log2(i + 1))), 0.0) AS ndcg_at_10,
     coalesce(d20 / list_sum(list_transform(range(1, least(g, 20) + 1), lambda i: 1 / log2(i + 1))), 0.0) AS ndcg_at_20
-    FROM benchmark LEFT JOIN per ON item_id = id)"""
+    FROM q LEFT JOIN per ON q.id = per.id)"""
+RANKED = f"""{GOLD}, ranked AS (SELECT id, chunk_id, 1 + (id + chunk_id) % 12 AS rank FROM gold),
+q AS (SELECT item_id AS id, 'c' || item_id % 3 AS category FROM benchmark), {MEASURED}"""
 
 EVIDENCE = "e AS (SELECT item_id AS id, text AS quote, 'doc_' || item_id * 7 % 100 AS file_name, 'src' || item_id % 20 AS doc_scope FROM benchmark)"
 
@@ -251,3 +254,16 @@ ORACLE_SQL["ingest_states"] = f"""WITH {FILES}, due AS (SELECT file_id, CAST(ret
     r AS (SELECT file_id, retry_count, CASE WHEN coverage IS NULL THEN 'parse: no result' WHEN coverage < 0.5 OR garbage_ratio > 0.2 THEN 'parse: coverage or junk beyond the limit'
         WHEN retention_ratio < 0.6 THEN 'clean: too little is left' END AS fail_reason FROM due LEFT JOIN parsed USING (file_id) LEFT JOIN cleaned USING (file_id))
     SELECT file_id, CASE WHEN fail_reason IS NULL THEN 'PROCESSING' ELSE 'FAILED' END AS status, fail_reason, retry_count FROM r"""
+
+ORACLE_SQL["eval_dense_run"] = f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT a.vec_id AS id, b.vec_id AS chunk_id, list_cosine_similarity(b.v, a.v) AS raw FROM v a, v b JOIN documents ON doc_id = b.vec_id WHERE a.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY raw DESC, chunk_id) AS rank FROM s),
+    gold AS (SELECT a.vec_id AS id, b.vec_id AS chunk_id FROM v a JOIN v b ON a.vec_id // 50 = b.vec_id // 50 AND a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    ranked AS (SELECT gold.*, r.rank FROM gold LEFT JOIN r ON gold.id = r.id AND gold.chunk_id = r.chunk_id AND r.rank <= 20),
+    q AS (SELECT vec_id AS id, 'l' || label AS category FROM v WHERE vec_id % 50 = 0), {MEASURED}
+    SELECT id, category, {", ".join(f"round({m}, 6) AS {m}" for m in ("recall_at_5", "recall_at_10", "recall_at_20", "mrr", "ndcg_at_5", "ndcg_at_10", "ndcg_at_20"))} FROM measured"""
+
+_HITS = " UNION ALL ".join(f"SELECT doc_id, text, '{lang}' AS lang, len(list_filter(w, lambda x: list_contains({these.split()!r}, x))) AS n FROM t" for lang, these in sorted(FREQUENT.items()))
+ORACLE_SQL["parse_language"] = f"""WITH t AS (SELECT doc_id, text, string_split_regex(regexp_replace(lower(text), '[\\p{{P}}\\p{{S}}\\d]+', ' ', 'g'), '\\s+') AS w FROM documents),
+    h AS ({_HITS}), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS place FROM h)
+    SELECT doc_id, CASE WHEN length(trim(text)) >= 20 AND n > 0 THEN lang END AS language FROM b WHERE place = 1"""

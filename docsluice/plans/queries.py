@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsluice.functions.text import normalize, sentences, word_count
+from docsluice.functions.text import detect_language, normalize, sentences, word_count
 from docsluice.operators import clean, context, embed, evaluate, ground, ingest, inject, intake, parse, quality, report, retrieve
 from docsluice.operators.chunk import chunk_metrics, metadata_fill
 from docsluice.plans import tables as t
@@ -369,6 +369,26 @@ def eval_aggregate(spark, d):
     return m.select("category", "n", "recall_at_5", "recall_at_10", "mrr", "ndcg_at_10")
 
 
+@query
+def eval_dense_run(spark, d):
+    """The dense retriever measured: every 50th vector asks; its gold are the others of its label among the 50 rows
+    from it on."""
+    chunks, vectors, files, _ = _search(spark, d)
+    e = t.table(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    pool = retrieve.rerank_pool(10)
+    found = retrieve.search_dense_batch(chunks, vectors, files, asked.select(F.col("id").alias("query_id"), "vector"), [f"src{i}" for i in range(20)], pool)
+    gold = asked.join(e, (F.floor(F.col("vec_id") / 50) * 50 == F.col("id")) & (asked["label"] == e["label"]) & (F.col("vec_id") != F.col("id"))).select("id", F.col("vec_id").alias("chunk_id"))
+    questions = asked.select("id", F.concat(F.lit("l"), F.col("label").cast("string")).alias("category"))
+    m = evaluate.query_metrics(questions, gold, found.select(F.col("query_id").alias("id"), "chunk_id", "rank"))
+    return m.select("id", "category", *(F.round(c, 6).alias(c) for c in m.columns[2:]))
+
+
+@query
+def parse_language(spark, d):
+    return t.table(spark, d, "documents").select("doc_id", detect_language("text").alias("language"))
+
+
 def _claims(spark, d):
     """Each answer with four citations: its first sentence with its first 20 characters as quote, a quote that
     is made up, an id that is none, and a chunk that isn't there."""
