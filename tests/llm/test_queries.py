@@ -34,6 +34,8 @@ def test_query_columns(spark, name):
         "op1": "doc_id n_bytes n_removed n_spans kept_sha256", "op2": "doc_id item_id distance", "op3": "doc_id section n_tokens", "op4": "doc_id n_shingles component_id",
         "op5": "doc_id held_out n_tokens n_known train_tokens base_score score", "op6": "doc_id n_tokens ids_sha256 decoded_sha256", "op7": "query_id rank vec_id score",
         "op8": "doc_id held_out lang_pred score", "op9": "doc_id start n_tokens ids_crc32", "op10": "doc_id size text_crc32 law shard slot grown_shard",
+        "op11": "doc_id n_lines n_dropped kept_sha256", "op12": "doc_id leaf subroot root proof_sha256 folded_root verified",
+        "op13": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
     }[name.split("_")[0]]
     assert set(wanted.split()) <= set(df.columns)
     docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
