@@ -30,7 +30,7 @@ def cover_density(query: list[str]):
         def one(these) -> float:
             last: dict[str, int] = {}
             score, start = 0.0, -1
-            for i, t in enumerate(these):
+            for i, t in enumerate(() if these is None else these):
                 if t in wanted:
                     last[t] = i
                     if len(last) == len(wanted) and (first := min(last.values())) > start:
@@ -56,7 +56,7 @@ def word_similarity(query: str):
     @F.pandas_udf("double")
     def similarity(tokens: pd.Series) -> pd.Series:
         def one(these) -> float:
-            grams = [g for w in these for g in trigrams(w)]
+            grams = [g for w in (() if these is None else these) for g in trigrams(w)]
             n, best = len(asked), 0
             if not n:
                 return 0.0

@@ -21,6 +21,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from docsluice.functions.lexical import cover_density, matches, word_similarity
 from docsluice.functions.text import fold_accents, lexemes
 from docsluice.functions.vectors import cosine
+from docsluice.operators.cells import Cells, top_by_cells, top_of_many
+from docsluice.operators.postings import Postings, top_by_trigrams, top_by_words
 
 DEFAULT_TOP_K, MAX_TOP_K = 10, 20
 VARIANTS = ("simple", "unaccent", "trgm")
@@ -80,8 +82,11 @@ def dense_scores(chunks: DataFrame, vectors: DataFrame, query: Sequence[float])
     return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id").withColumn("score", cosine(F.col("embedding"), asked)).drop("embedding")
 
 
-def search_dense(chunks: DataFrame, vectors: DataFrame, files: DataFrame, query: Sequence[float], scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, where: Column | None = None) -> DataFrame:
-    """chunk_id, chunk_text, score, rank, source; ties by chunk_id."""
+def search_dense(chunks: DataFrame, vectors: DataFrame, files: DataFrame, query: Sequence[float], scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, where: Column | None = None, index: Cells | None = None) -> DataFrame:
+    """chunk_id, chunk_text, score, rank, source; ties by chunk_id. With a stored `index` the same rows, from the cells that can have them."""
+    if index is not None:
+        near = top_by_cells(index, query, lambda hits: hits.join(candidates(chunks, files, scopes, where).select("chunk_id"), "chunk_id", "left_semi"), effective_top_k(top_k)) if allowed_scopes(scopes) else []
+        return _told(near, chunks, in_scope(files, scopes))
     found = _best(dense_scores(candidates(chunks, files, scopes, where), vectors, query), "score", effective_top_k(top_k))
     return _ranked(found, "score", "rank").select("chunk_id", "chunk_text", "score", "rank", _source())
 
@@ -113,11 +118,45 @@ def _folded(query: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", query) if not unicodedata.combining(c))
 
 
-def search_lexical(chunks: DataFrame, files: DataFrame, query: str, scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, variant: str = "simple", where: Column | None = None) -> DataFrame:
+def search_lexical(chunks: DataFrame, files: DataFrame, query: str, scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, variant: str = "simple", where: Column | None = None, index: Postings | None = None) -> DataFrame:
+    """As `search_dense`, by words or trigrams; with a stored `index` (of trigrams for `trgm`, else of words) only the
+    asked terms' postings are read, and of the texts only the k found; without one, all texts."""
+    if index is not None:
+        return _search_postings(index, chunks, files, query, scopes, effective_top_k(top_k), variant, where)
     found = _best(lexical_scores(candidates(chunks, files, scopes, where), query, variant), "score", effective_top_k(top_k))
     return _ranked(found, "score", "rank").select("chunk_id", "chunk_text", "score", "rank", _source())
 
 
+def _search_postings(index: Postings, chunks: DataFrame, files: DataFrame, query: str, scopes: Sequence[str] | None, k: int, variant: str, where: Column | None) -> DataFrame:
+    if variant not in VARIANTS:
+        raise ValueError(f"no such variant: {variant}")
+    if index.kind != ("trigrams" if variant == "trgm" else "words"):
+        raise ValueError(f"{variant} needs another index than one of {index.kind}")
+    allowed = in_scope(files, scopes)
+
+    def seen(hits: DataFrame) -> DataFrame:
+        if where is None:
+            return hits.join(allowed.select("file_id"), "file_id", "left_semi")
+        return hits.join(candidates(chunks, files, scopes, where).select("chunk_id"), "chunk_id", "left_semi")
+
+    if not allowed_scopes(scopes):
+        found = []
+    elif variant == "trgm":
+        found = top_by_trigrams(index, query, seen, k, LEAST_WORD_SIMILARITY)
+    elif variant == "unaccent":
+        found = top_by_words(index, _words(_folded(query)), seen, k, accents=False)
+    else:
+        found = top_by_words(index, _words(query), seen, k)
+    return _told(found, chunks, allowed)
+
+
+def _told(found: list[tuple[int, float]], chunks: DataFrame, allowed: DataFrame) -> DataFrame:
+    """At most MAX_TOP_K ids and scores, best first, as a search's rows: their texts are looked up by id."""
+    ranks = chunks.sparkSession.createDataFrame([(i, s, n) for n, (i, s) in enumerate(found, 1)], "chunk_id long, score double, rank int")
+    rows = chunks.where(F.col("chunk_id").isin([i for i, _ in found])).join(allowed, "file_id")
+    return rows.join(F.broadcast(ranks), "chunk_id").select("chunk_id", "chunk_text", "score", "rank", _source())
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, strategy: str = "rrf", rrf_k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0) -> DataFrame:
     """Full outer join of two ranked lists (chunk_id, score, rank): by reciprocal ranks, or by raw scores."""
     if strategy not in STRATEGIES:
@@ -135,11 +174,11 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int, strategy: str = "rrf", rrf
     return _ranked(_best(fused, "score", k), "score", "rank").select("chunk_id", "score", "rank", detail)
 
 
-def search_hybrid(chunks: DataFrame, vectors: DataFrame, files: DataFrame, vector: Sequence[float], text: str, scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, where: Column | None = None, variant: str = "simple", **fusion) -> DataFrame:
+def search_hybrid(chunks: DataFrame, vectors: DataFrame, files: DataFrame, vector: Sequence[float], text: str, scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, where: Column | None = None, variant: str = "simple", index: Postings | None = None, **fusion) -> DataFrame:
     """Both branches' top k, fused to the top k."""
     k = effective_top_k(top_k)
     dense = search_dense(chunks, vectors, files, vector, scopes, k, where)
-    sparse = search_lexical(chunks, files, text, scopes, k, variant, where)
+    sparse = search_lexical(chunks, files, text, scopes, k, variant, where, index)
     return fuse(dense, sparse, k, **fusion)
 
 
@@ -211,6 +250,12 @@ def search_dense_batch(chunks: DataFrame, vectors: DataFrame, files: DataFrame,
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def search_cells_batch(index: Cells, chunks: DataFrame, files: DataFrame, queries: DataFrame, scopes: Sequence[str] | None, top_k: int | None = DEFAULT_TOP_K, *, exact: bool = True, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`search_dense_batch` by a stored index: with `exact` the same rows, else what each query's nearest cells have."""
+    found = top_of_many(index, queries, candidates(chunks, files, scopes).select("chunk_id"), effective_top_k(top_k), _batch_best, exact=exact, scratch=scratch)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+
+
 def neighbours(chunks: DataFrame, files: DataFrame, anchors: DataFrame, scopes: Sequence[str] | None, window: int = 2) -> DataFrame:
     """For each anchor chunk_id, the chunks of its file at most `window` places away; both ends in scope."""
     seen = chunks.join(in_scope(files, scopes).select("file_id", "file_name"), "file_id")

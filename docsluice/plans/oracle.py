@@ -84,6 +84,34 @@ def lexical(scope: str, text: str, token: str) -> str:
     SELECT chunk_id, file_name, round(n * 0.1, 6) AS score, CAST(row_number() OVER (ORDER BY n DESC, chunk_id) AS INTEGER) AS rank FROM best"""
 
 
+TOKENS = "regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def several(scope: str, words_asked: list[str]) -> str:
+    """Cover density of several words: each occurrence ends a stretch that begins where the word seen longest ago is."""
+    m, own = len(words_asked), [f"max(p) FILTER (w = '{w}') OVER (PARTITION BY doc_id ORDER BY p)" for w in words_asked]
+    return f"""WITH {FILES}, t AS (SELECT doc_id, {TOKENS.format(text=norm("text"))} AS ws FROM documents WHERE source IN ({scope})),
+    o AS (SELECT * FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t) WHERE w IN ({", ".join(f"'{w}'" for w in words_asked)})),
+    l AS (SELECT doc_id, p, {", ".join(f"{x} AS l{i}" for i, x in enumerate(own))} FROM o),
+    c AS (SELECT doc_id, p, least({", ".join(f"l{i}" for i in range(m))}) AS low FROM l WHERE {" AND ".join(f"l{i} IS NOT NULL" for i in range(m))}),
+    n AS (SELECT *, lag(low) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM c),
+    s AS (SELECT doc_id AS chunk_id, round(sum(CAST(0.1 AS DOUBLE) * {m} / (p - low + 2 - {m})), 9) AS raw FROM n WHERE before IS NULL OR low > before GROUP BY 1),
+    best AS (SELECT chunk_id, file_name, raw FROM s JOIN files ON file_id = chunk_id ORDER BY raw DESC, chunk_id LIMIT 10)
+    SELECT chunk_id, file_name, round(raw, 6) AS score, CAST(row_number() OVER (ORDER BY raw DESC, chunk_id) AS INTEGER) AS rank FROM best"""
+
+
+def alike(scope: str, query: str, least: float) -> str:
+    """Trigram similarity: the most of the query's trigrams in any run of trigrams as long as the query's."""
+    grams = lambda w: f"list_transform(range(1, CAST(length({w}) AS BIGINT) + 2), lambda i: substring('  ' || {w} || ' ', i, 3))"
+    asked = f"(SELECT list_distinct(flatten(list_transform(string_split('{query}', ' '), lambda w: {grams('w')}))))"
+    return f"""WITH {FILES}, q AS (SELECT {asked} AS gs), t AS (SELECT doc_id, flatten(list_transform({TOKENS.format(text=norm("text"))}, lambda w: {grams("w")})) AS gs FROM documents WHERE source IN ({scope})),
+    o AS (SELECT doc_id, g, p FROM (SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) AS p FROM t) WHERE list_contains((SELECT gs FROM q), g)),
+    r AS (SELECT a.doc_id, a.p, count(DISTINCT b.g) AS n FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p - (SELECT len(gs) FROM q) + 1 AND a.p GROUP BY ALL),
+    s AS (SELECT doc_id AS chunk_id, max(n) / (SELECT len(gs) FROM q) AS raw FROM r GROUP BY 1),
+    best AS (SELECT chunk_id, file_name, raw FROM s JOIN files ON file_id = chunk_id WHERE raw >= {least} ORDER BY raw DESC, chunk_id LIMIT 10)
+    SELECT chunk_id, file_name, round(raw, 6) AS score, CAST(row_number() OVER (ORDER BY raw DESC, chunk_id) AS INTEGER) AS rank FROM best"""
+
+
 def hybrid(score: str, digits: int) -> str:
     return f"""WITH {FILES},
     d AS (SELECT *, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM (SELECT file_id AS chunk_id, {DENSE} AS s FROM files JOIN embeddings ON vec_id = file_id WHERE doc_scope IN ({IN_SCOPE}) ORDER BY s DESC, chunk_id LIMIT 10)),
@@ -166,6 +194,9 @@ ORACLE_SQL: dict[str, str] = {
     "filter_date_range": "SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY 1",
     "retrieval_sparse_simple": lexical(IN_SCOPE, norm("text"), "the"),
     "retrieval_sparse_unaccent": lexical("'src5', 'src6', 'src7'", f"strip_accents({norm('text')})", "a"),
+    "retrieval_sparse_several": several(IN_SCOPE, ["with", "that"]),
+    "retrieval_sparse_trgm": alike(IN_SCOPE, "nation retion", 0.2),
+    "lexical_index": f"WITH t AS (SELECT doc_id, unnest({TOKENS.format(text=norm('text'))}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS occurrences FROM t GROUP BY 1",
     "retrieval_hybrid_rrf": hybrid("coalesce(1.0 / (60 + d.r), 0.0) + coalesce(1.0 / (60 + l.r), 0.0)", 9),
     "retrieval_hybrid_weighted": hybrid("0.8 * coalesce(d.s, 0.0) + 0.2 * coalesce(l.s, 0.0)", 6),
     "retrieval_batch_multi_query": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
@@ -267,3 +298,6 @@ _HITS = " UNION ALL ".join(f"SELECT doc_id, text, '{lang}' AS lang, len(list_fil
 ORACLE_SQL["parse_language"] = f"""WITH t AS (SELECT doc_id, text, string_split_regex(regexp_replace(lower(text), '[\\p{{P}}\\p{{S}}\\d]+', ' ', 'g'), '\\s+') AS w FROM documents),
     h AS ({_HITS}), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS place FROM h)
     SELECT doc_id, CASE WHEN length(trim(text)) >= 20 AND n > 0 THEN lang END AS language FROM b WHERE place = 1"""
+
+ORACLE_SQL["retrieval_dense_indexed"] = ORACLE_SQL["retrieval_dense_topk"]
+ORACLE_SQL["retrieval_batch_indexed"] = ORACLE_SQL["retrieval_batch_multi_query"]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from docsluice.functions.text import detect_language, normalize, sentences, word_count
 from docsluice.operators import clean, context, embed, evaluate, ground, ingest, inject, intake, parse, quality, report, retrieve
 from docsluice.operators.chunk import chunk_metrics, metadata_fill
+from docsluice.operators.postings import term_counts
 from docsluice.plans import tables as t
 from docsluice.sources.golden import load_golden, read_golden
 from docsluice.streaming.intake import first_of_each, run_available
@@ -53,33 +52,40 @@ def filter_date_range(spark, d):
     return orders.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query
+def lexical_index(spark, d):
+    """Writes the stored index (the first of these queries does), and tells of every term how often it occurs."""
+    return term_counts(t.postings(spark, d))
+
+
+def _lexical(spark, d, query, scopes=SCOPES, variant="simple"):
+    index = t.postings(spark, d, "trigrams" if variant == "trgm" else "words")
+    return _plain(retrieve.search_lexical(t.whole_chunks(spark, d), t.files(spark, d), query, scopes, variant=variant, index=index))
+
+
 @query
 def retrieval_sparse_simple(spark, d):
-    chunks, _, files, _ = _search(spark, d)
-    return _plain(retrieve.search_lexical(chunks, files, "the", SCOPES))
+    return _lexical(spark, d, "the")
 
 
 @query
 def retrieval_sparse_unaccent(spark, d):
-    chunks, _, files, _ = _search(spark, d)
-    return _plain(retrieve.search_lexical(chunks, files, "à", ["src5", "src6", "src7"], variant="unaccent"))
+    return _lexical(spark, d, "à", ["src5", "src6", "src7"], "unaccent")
 
 
 @query
 def retrieval_sparse_several(spark, d):
-    chunks, _, files, _ = _search(spark, d)
-    return _plain(retrieve.search_lexical(chunks, files, "with that", SCOPES))
+    return _lexical(spark, d, "with that")
 
 
 @query
 def retrieval_sparse_trgm(spark, d):
-    chunks, _, files, _ = _search(spark, d)
-    return _plain(retrieve.search_lexical(chunks, files, "nation retion", SCOPES, variant="trgm"))
+    return _lexical(spark, d, "nation retion", variant="trgm")
 
 
 def _hybrid(spark, d, **fusion):
     chunks, vectors, files, q = _search(spark, d)
-    out = retrieve.search_hybrid(chunks, vectors, files, q, "the", SCOPES, **fusion)
+    out = retrieve.search_hybrid(chunks, vectors, files, q, "the", SCOPES, index=t.postings(spark, d), **fusion)
     return out.select("chunk_id", F.round("score", 9).alias("score"), "rank", "detail.dense_rank", "detail.sparse_rank")
 
 
@@ -101,6 +107,36 @@ def retrieval_batch_multi_query(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query
+def retrieval_dense_indexed(spark, d):
+    """`retrieval_dense_topk` by the stored cells."""
+    chunks, _, files, q = _search(spark, d)
+    return _plain(retrieve.search_dense(chunks, None, files, q, SCOPES, index=t.cells(spark, d)))
+
+
+def _asked(spark, d):
+    return t.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _batch_by_cells(spark, d, k, exact=True):
+    chunks, _, files, _ = _search(spark, d)
+    return retrieve.search_cells_batch(t.cells(spark, d), chunks, files, _asked(spark, d), [f"src{i}" for i in range(20)], k, exact=exact, scratch=t.written(spark))
+
+
+@query
+def retrieval_batch_indexed(spark, d):
+    """`retrieval_batch_multi_query` by the stored cells."""
+    return _batch_by_cells(spark, d, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def retrieval_index_recall(spark, d):
+    """Of each query's ten nearest, how many the nearest cells alone have."""
+    wanted = retrieve.search_dense_batch(*_search(spark, d)[:3], _asked(spark, d), [f"src{i}" for i in range(20)], 10).select("query_id", "chunk_id")
+    found = _batch_by_cells(spark, d, 10, exact=False).select("query_id", "chunk_id", F.lit(1).alias("there"))
+    return wanted.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("there").alias("found"))
+
+
 @query
 def lookup_neighbors(spark, d):
     chunks = t.chunks(spark, d)
@@ -484,7 +520,7 @@ def score_backfill(spark, d):
 @query
 def golden_load(spark, d):
     """The test items as a golden set: written as JSON lines, read, loaded twice; the second time nothing changes."""
-    root = _work(spark, "golden")
+    root = t.work_folder(spark, "golden")
     b = t.table(spark, d, "benchmark")
     e = F.array(F.struct(F.lit("a.txt").alias("file_name"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("sheet"), F.col("text").alias("quote")))
     rows = b.select(F.col("item_id").cast("string").alias("id"), F.concat_ws(" ", F.lit("q"), F.col("item_id").cast("string")).alias("question"), F.lit("").alias("ideal_answer"), F.lit("single_fact").alias("category"), F.lit(1).alias("difficulty"), e.alias("gold_evidence"), F.lit("default").alias("doc_scope"), F.lit(True).alias("answerable"), F.lit("").alias("created_by"), F.lit("").alias("notes"))
@@ -495,21 +531,10 @@ def golden_load(spark, d):
     return stored.select("id", "question", F.size("gold_evidence").alias("evidences"), F.lit(json.dumps(done)).alias("outcomes"))
 
 
-def _work(spark, name: str) -> str:
-    """A new folder that driver and executors share; only on one machine a temporary one stands in for it."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not shared and (told := context._jsc.sc().getCheckpointDir()).isDefined():
-        shared = told.get()
-    if not shared and "cluster" in context.master or not shared and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=name)
-
-
 @query
 def stream_intake(spark, d):
     """All documents through a file stream, each content once."""
-    root = _work(spark, "stream")
+    root = t.work_folder(spark, "stream")
     docs = t.table(spark, d, "documents")
     docs.write.mode("overwrite").parquet(f"{root}/in")
     stream = first_of_each(spark.readStream.schema(docs.schema).parquet(f"{root}/in"))

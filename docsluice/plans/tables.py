@@ -6,11 +6,16 @@ steps and timestamps, which the tables don't have, are arithmetic on the id, the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsluice.functions.text import normalize, word_count
+from docsluice.operators.cells import Cells, open_cells, write_cells
 from docsluice.operators.chunk import chunk_files, sliding_chunks
+from docsluice.operators.postings import Postings, open_postings, write_postings
 
 LINES_A_PAGE = 20
 WINDOW, OVERLAP, LEAST = 64, 16, 10
@@ -21,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; only on one machine a temporary one stands in for it."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and (told := context._jsc.sc().getCheckpointDir()).isDefined():
+        shared = told.get()
+    if not shared and "cluster" in context.master or not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=name)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
@@ -39,10 +55,46 @@ def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), normalize(F.col("text")).alias("chunk_text_norm"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_title"))
 
 
+#: Stored indexes that this session has written: their folders by application, table folder and kind.
+_STORED: dict[tuple, str] = {}
+
+
+def postings(spark: SparkSession, sf_dir: str, kind: str = "words") -> Postings:
+    """The stored index of all documents, written at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED:
+        path = f"{work_folder(spark, 'postings')}/{kind}"
+        write_postings(whole_chunks(spark, sf_dir), path, kind)
+        _STORED[key] = path
+    return open_postings(spark, _STORED[key])
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
+def cells(spark: SparkSession, sf_dir: str) -> Cells:
+    """The stored index of all vectors, written at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cells")
+    if key not in _STORED:
+        path = f"{work_folder(spark, 'cells')}/cells"
+        write_cells(vectors(spark, sf_dir), path)
+        _STORED[key] = path
+    return open_cells(spark, _STORED[key])
+
+
+def written(spark: SparkSession):
+    """A function that writes a table to the shared folder and reads it again."""
+    root = work_folder(spark, "steps")
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """One row of 64 numbers."""
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
