@@ -1,8 +1,9 @@
 """Chunking: windows of tokens over sections, packed paragraphs or whole texts.
 
 Tokens are runs without white space. Windows and their rebalancing are closed forms over arrays; packing and
-merging reset as they go and are folds over a file's own array (`aggregate`), so nothing leaves the JVM and
-each file is a row.
+merging reset as they go: folds over a file's own array (`aggregate`) that carry a few numbers and give each item the
+number of its group, after which groups are put together by a grouping. So nothing leaves the JVM, each file is a row, and
+a file of a million units takes seconds.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from docsluice.functions.text import normalize, word_count
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 512, 64, 30
 #: Tokens whose lengths are added up as one when offsets are worked out.
 OFFSET_STEP = 1024
+#: Items that a fold writes out as one: a fold copies what it has written at each item.
+FOLD_STEP = 512
 _I = "int"
 
 
@@ -115,17 +118,50 @@ def planned_groups(us: DataFrame, strategy: str, most: int) -> DataFrame:
     return each.select("file_id", "__z.seg_no", *(f"__z.u.{c}" for c in fields))
 
 
+def _groups(items: Column, state: Column, step) -> Column:
+    """The group of each item of an array, from 1. step: the state of the group so far, the item, and whether it is the
+    very first, to (does it begin a group, the state after it).
+
+    The fold writes the numbers of `FOLD_STEP` items to a list of their own, so for n items some n * FOLD_STEP are copied, not n * n."""
+
+    def within(acc: Column, x: Column) -> Column:
+        new, after = step(acc["state"], x, acc["seg"] == 0)
+        seg = acc["seg"] + new.cast(_I)
+        return F.struct(after.alias("state"), seg.alias("seg"), F.concat(acc["out"], F.array(seg)).alias("out"))
+
+    def over(these: Column) -> Column:
+        def part(acc: Column, k: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), acc["seg"].alias("seg"), F.array().cast("array<int>").alias("out"))
+            done = F.aggregate(F.slice(these, k * FOLD_STEP + 1, F.lit(FOLD_STEP)), begin, within)
+            return _bound(done, lambda d: F.struct(d["state"].alias("state"), d["seg"].alias("seg"), F.concat(acc["parts"], F.array(d["out"])).alias("parts")))
+
+        begin = F.struct(state.alias("state"), F.lit(0).alias("seg"), F.array().cast("array<array<int>>").alias("parts"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(these) - 1) / FOLD_STEP).cast(_I)), begin, part)["parts"])
+
+    return F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(_bound(items, over))
+
+
 def packed_groups(sizes: Column, most: int) -> Column:
     """sizes: tokens of a file's units. The group of each, from 1: units packed one after the other while their
     tokens add up to at most `most`."""
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("seg"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, n: Column) -> Column:
-        new = (s["seg"] == 0) | (s["sum"] + n > most)
-        seg = s["seg"] + new.cast(_I)
-        return F.struct(F.when(new, n).otherwise(s["sum"] + n).alias("sum"), seg.alias("seg"), F.concat(s["out"], F.array(seg)).alias("out"))
+    def step(held: Column, n: Column, first: Column) -> tuple[Column, Column]:
+        new = first | (held["sum"] + n > most)
+        return new, F.struct(F.when(new, n).otherwise(held["sum"] + n).alias("sum"))
+
+    return _groups(sizes, F.struct(F.lit(0).alias("sum")), step)
+
 
-    return F.aggregate(sizes, start, step)["out"]
+def merged_groups(items: Column, least: int, most: int) -> Column:
+    """items: is_table and token_count of a file's chunks. The group of each, from 1: a chunk shorter than `least`
+    joins the group before, if that isn't a table and tokens add up to at most `most`; tables never."""
+
+    def step(held: Column, c: Column, first: Column) -> tuple[Column, Column]:
+        sum_ = held["token_count"] + c["token_count"]
+        fits = ~first & ~c["is_table"] & ~held["is_table"] & (c["token_count"] < least) & (sum_ <= most)
+        return ~fits, F.struct(F.when(fits, False).otherwise(c["is_table"]).alias("is_table"), F.when(fits, sum_).otherwise(c["token_count"]).alias("token_count"))
+
+    return _groups(items, F.struct(F.lit(False).alias("is_table"), F.lit(0).alias("token_count")), step)
 
 
 def segments_of(grouped: DataFrame) -> DataFrame:
@@ -149,14 +185,11 @@ def merged_chunks(chunks: DataFrame, least: int, most: int) -> DataFrame:
     fields = ["is_table", "place", "chunk_text", "token_count", "page_number", "sheet_name", "section_title", "char_start", "char_end"]
     listed = chunks.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).cast(f"array<{kind}>").alias("__c"))
 
-    def step(done: Column, c: Column) -> Column:
-        prev = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & ~c["is_table"] & ~prev["is_table"] & (c["token_count"] < least) & (prev["token_count"] + c["token_count"] <= most)
-        both = prev.withField("chunk_text", F.concat_ws("\n", prev["chunk_text"], c["chunk_text"])).withField("token_count", prev["token_count"] + c["token_count"]).withField("char_end", F.coalesce(c["char_end"], prev["char_end"]))
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(c)))
-
-    out = listed.select("file_id", F.posexplode(F.aggregate("__c", F.array().cast(f"array<{kind}>"), step)).alias("chunk_index", "c"))
-    return out.select("file_id", "chunk_index", *(f"c.{x}" for x in fields if x != "place"))
+    seg = merged_groups(F.transform("__c", lambda c: F.struct(c["is_table"].alias("is_table"), c["token_count"].alias("token_count"))), least, most)
+    each = listed.select("file_id", F.explode(F.arrays_zip(F.col("__c").alias("c"), seg.alias("seg"))).alias("__z")).select("file_id", "__z.seg", "__z.c.*")
+    group = each.groupBy("file_id", "seg").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("g"))
+    merged = {"chunk_text": F.array_join(F.col("g")["chunk_text"], "\n"), "token_count": _added(F.col("g")["token_count"]), "char_end": F.try_element_at(F.array_compact(F.col("g")["char_end"]), F.lit(-1))}
+    return group.select("file_id", (F.col("seg") - 1).alias("chunk_index"), *(merged.get(x, F.col("g")[0][x]).alias(x) for x in fields if x != "place"))
 
 
 def chunk_files(blocks: DataFrame, sections: DataFrame | None = None, tables: DataFrame | None = None, *, strategy: str = "section", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:

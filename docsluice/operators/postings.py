@@ -1,8 +1,9 @@
 """A stored positional index: which chunks have a term, how often and where. Searches read the asked terms' folders only.
 
 One row is a block: a term's postings in one slice of the chunks, with the largest count (`best`) as a column of
-its own, so that blocks which can't reach the k-th score are skipped before their lists are read. Lists ascend, and
-Parquet's second format stores ascending numbers as bit-packed differences. Everything here is column functions.
+its own, so that blocks which can't reach the k-th score are skipped before their lists are read. Postings name chunks by
+their place in the slice, whose ids are one more row (in the folder `DIRECTORY`); lists ascend, and Parquet's second format stores
+ascending numbers as bit-packed differences. Searches are column functions.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ import json
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +23,11 @@ from docsluice.functions.lexical import trigrams
 from docsluice.functions.text import fold_accents, lexemes
 
 #: Chunks of a slice, text of a file, folders at most, blocks of the first look.
-SLICE_BITS, FILE_BYTES, MOST_BUCKETS, FIRST_BLOCKS = 12, 64 << 20, 1024, 64
+SLICE_CHUNKS, FILE_BYTES, MOST_BUCKETS, FIRST_BLOCKS = 4096, 64 << 20, 1024, 64
 KINDS = ("words", "trigrams")
-BLOCKS = "term string, folded string, slice long, n long, occurrences long, best int, chunk_ids array<long>, file_ids array<long>, counts array<int>, places array<array<int>>, bucket int"
+DIRECTORY = -1
+_LISTS = "rows array<smallint>, counts array<int>, places array<array<int>>, chunk_ids array<bigint>, file_ids array<bigint>"
+BLOCKS = f"term string, folded string, slice bigint, n bigint, occurrences bigint, best int, {_LISTS}, bucket int"
 
 
 class Postings(NamedTuple):
@@ -39,40 +46,72 @@ def _in_bucket(folded: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(folded), F.lit(buckets)).cast("int")
 
 
-def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_bits: int = SLICE_BITS, file_bytes: int = FILE_BYTES) -> Postings:
-    """Index chunks (chunk_id, file_id, chunk_text_norm) below `path`.
-
-    Terms are words (`lexemes`) or their trigrams; places count them from 0. A chunk's terms are put together within its
-    row, so one exchange is all: postings go to (bucket of the term, slice modulo the files of a bucket), which splits a term of any
-    frequency evenly, and blocks are grouped there. Null and empty texts have no postings. `best` is the largest count
-    of a block."""
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Consecutive parts of an array as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
+
+
+def _inverted(batch: pa.RecordBatch, slice_no: int, with_places: bool) -> pa.RecordBatch:
+    """The blocks of a slice, and its directory row: chunks (chunk_id, file_id, items) by ascending id."""
+    table = pa.Table.from_batches([batch]).sort_by("chunk_id").combine_chunks()
+    items = table["items"].combine_chunks()
+    lengths = pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = items.flatten().dictionary_encode()
+    codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(codes, kind="stable")  # within a term by row and place
+    codes, row = codes[order], row[order]
+    new_term = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    new_posting = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])
+    counts = np.diff(np.r_[new_posting, len(codes)])
+    first = np.searchsorted(new_posting, new_term)
+    ends, terms = np.r_[first[1:], len(new_posting)], len(new_term)
+    none = lambda kind: pa.nulls(1, kind)
+    lists = [_lists(row[new_posting].astype(np.int16), ends, pa.int16()), pa.nulls(terms, pa.list_(pa.int32())), pa.nulls(terms, pa.list_(pa.list_(pa.int32())))]
+    if with_places:
+        place = (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+        lists[1:] = [_lists(counts.astype(np.int32), ends, pa.int32()), _lists(_lists(place.astype(np.int32), np.cumsum(counts), pa.int32()), ends, pa.list_(pa.int32()))]
+    ids = [_lists(table[c].to_numpy(), np.array([len(table)]), pa.int64()) for c in ("chunk_id", "file_id")]
+    columns = [
+        (coded.dictionary.take(pa.array(codes[new_term])), pa.string()), (np.full(terms, slice_no), pa.int64()), (ends - first, pa.int64()), (np.add.reduceat(counts, first), pa.int64()), (np.maximum.reduceat(counts, first), pa.int32()),
+    ]
+    own = [pa.array(x, kind) if isinstance(x, np.ndarray) else x.cast(kind) for x, kind in columns] + lists + [pa.nulls(terms, x.type) for x in ids]
+    names = ["term", "slice", "n", "occurrences", "best", "rows", "counts", "places", "chunk_ids", "file_ids"]
+    directory = [none(pa.string()), pa.array([slice_no], pa.int64()), *(none(x.type) for x in own[2:8]), *ids]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(own, directory, strict=True)], names)
+
+
+def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_chunks: int = SLICE_CHUNKS, file_bytes: int = FILE_BYTES) -> Postings:
+    """Index chunks (chunk_id, file_id, chunk_text_norm) below `path`. They must come in the same order when a task is run
+    again: read from files, or written first.
+
+    Terms are words (`lexemes`), with their places from 0, or their trigrams, without (a chunk has nearly as many as
+    letters). A task inverts the chunks of one slice at a time, as arrays; one exchange is all, and its rows are whole blocks: they go
+    to (bucket of the term, slice modulo the files of a bucket), which splits a term of any frequency evenly. Null and empty texts have no postings. `best` is the largest
+    count of a block."""
     if kind not in KINDS:
         raise ValueError(f"no such kind: {kind}")
     spark = chunks.sparkSession
     size = chunks.agg(F.sum(F.octet_length("chunk_text" if "chunk_text" in chunks.columns else "chunk_text_norm"))).first()[0] or 0
-    files = max(1, -(-size * (1 if kind == "words" else 4) // file_bytes))
+    files = max(1, -(-size // file_bytes))
     buckets = max(16, min(MOST_BUCKETS, files))
     parts = -(-files // buckets)
     tokens = lexemes(F.coalesce("chunk_text_norm", F.lit("")))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), F.shiftright(F.monotonically_increasing_id(), slice_bits).alias("slice"), (tokens if kind == "words" else text_trigrams(tokens)).alias("items")).where(F.size("items") > 0)
-    # a row's terms, each with its places: sorted, and cut where the term changes
-    rows = rows.select("chunk_id", "file_id", "slice", F.sort_array(F.transform("items", lambda t, i: F.struct(t.alias("term"), i.alias("place")))).alias("placed"))
-    term = lambda i: F.col("placed")[i]["term"]
-    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("placed") - 1), lambda i: (i == 0) | (term(i) != term(F.greatest(i - 1, F.lit(0))))))
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("placed")))
-    runs = F.zip_with("starts", ends, lambda a, b: F.struct(term(a).alias("term"), F.transform(F.slice("placed", a + 1, b - a), lambda x: x["place"]).alias("places")))
-    rows = rows.select("chunk_id", "file_id", "slice", F.explode(runs).alias("run")).select("slice", "chunk_id", "file_id", "run.*")
-    rows = rows.withColumn("folded", fold_accents(F.col("term")))
-    rows = rows.withColumns({"bucket": _in_bucket(F.col("folded"), buckets), "part": F.pmod(F.col("slice"), F.lit(parts)).cast("int")})
-    posting = F.struct("chunk_id", "file_id", F.size("places").alias("count"), "places")
-    grouped = rows.repartition(buckets * parts, "bucket", "part").groupBy("bucket", "part", "folded", "term", "slice").agg(F.sort_array(F.collect_list(posting)).alias("p"))
-    counts = F.col("p")["count"]
-    blocks = grouped.select(
-        "term", "folded", "slice", F.size("p").cast("long").alias("n"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("occurrences"), F.array_max(counts).alias("best"),
-        F.col("p")["chunk_id"].alias("chunk_ids"), F.col("p")["file_id"].alias("file_ids"), counts.alias("counts"), F.col("p")["places"].alias("places"), "bucket",
-    )
-    writer = blocks.sortWithinPartitions("bucket", "folded", "term", F.desc("best"), "slice").write.partitionBy("bucket")
-    writer.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").option("compression", "zstd").parquet(f"{path}/blocks")
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), (tokens if kind == "words" else F.array_distinct(text_trigrams(tokens))).alias("items")).where(F.size("items") > 0)
+    with_places = kind == "words"
+
+    def invert(batches):
+        begin = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, len(batch), slice_chunks):
+                yield _inverted(batch.slice(at, slice_chunks), begin, with_places)
+                begin += 1
+
+    blocks = rows.mapInArrow(invert, f"term string, slice bigint, n bigint, occurrences bigint, best int, {_LISTS}")
+    blocks = blocks.withColumn("folded", fold_accents(F.col("term")))
+    blocks = blocks.withColumns({"bucket": F.when(F.col("term").isNull(), DIRECTORY).otherwise(_in_bucket(F.col("folded"), buckets)), "part": F.pmod(F.col("slice"), F.lit(parts)).cast("int")})
+    blocks = blocks.repartition(buckets * parts, "bucket", "part").sortWithinPartitions("bucket", "folded", "term", F.desc("best"), "slice").drop("part")
+    writer = blocks.write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
+    writer.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(json.dumps({"buckets": buckets, "kind": kind}),)], "value string").coalesce(1).write.text(f"{path}/meta")
     return open_postings(spark, path)
 
@@ -91,16 +130,19 @@ def blocks_of(index: Postings, terms: Sequence[str], accents: bool = True) -> Da
     return found.withColumn("asked", F.array_position(F.array(*map(F.lit, terms)), F.col(key)).cast("int") - 1)
 
 
-def postings_of(blocks: DataFrame, *lists: str) -> DataFrame:
-    """A row for each posting of the blocks: asked, chunk_id, file_id, and the lists named (counts, places)."""
-    names = ["chunk_ids", "file_ids", *lists]
-    rows = blocks.select("asked", F.explode(F.arrays_zip(*names)).alias("p"))
-    return rows.select("asked", *(F.col("p")[c].alias(c.removesuffix("s")) for c in names))
+def postings_of(index: Postings, blocks: DataFrame, *lists: str) -> DataFrame:
+    """A row for each posting of the blocks: asked, chunk_id, file_id, and the lists named (counts, places). The ids are looked up
+    in the slices' directory, whose rows are joined to blocks, not to postings."""
+    named = index.blocks.where(F.col("bucket") == DIRECTORY).select("slice", F.col("chunk_ids").alias("c"), F.col("file_ids").alias("f"))
+    met = blocks.select("asked", "slice", "rows", *lists).join(named, "slice")
+    of = lambda ids: F.transform("rows", lambda r: F.get(F.col(ids), r.cast("int")))
+    rows = met.select("asked", F.explode(F.arrays_zip(of("c").alias("chunk_id"), of("f").alias("file_id"), *lists)).alias("p"))
+    return rows.select("asked", "p.chunk_id", "p.file_id", *(F.col("p")[c].alias(c.removesuffix("s")) for c in lists))
 
 
 def term_counts(index: Postings) -> DataFrame:
     """term, chunks, occurrences: of all terms, from the blocks' own columns."""
-    return index.blocks.groupBy("term").agg(F.sum("n").alias("chunks"), F.sum("occurrences").alias("occurrences"))
+    return index.blocks.where(F.col("bucket") != DIRECTORY).groupBy("term").agg(F.sum("n").alias("chunks"), F.sum("occurrences").alias("occurrences"))
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -180,9 +222,9 @@ def top_by_words(index: Postings, words: Sequence[str], seen: Seen, k: int, acce
     def hits(where: Column, slices: DataFrame | None) -> DataFrame:
         near = blocks.where(where) if slices is None else blocks.join(slices.select("slice"), "slice", "left_semi")
         if m > 1:
-            rows = _in_order(postings_of(near, "places")).where(F.col("terms") == m)
+            rows = _in_order(postings_of(index, near, "places")).where(F.col("terms") == m)
             return rows.select("chunk_id", "file_id", cover_score(F.col("at"), m).alias("score"))
-        rows = postings_of(near, "counts")
+        rows = postings_of(index, near, "counts")
         if not accents:  # several terms fold to the word
             rows = rows.groupBy("chunk_id", "file_id").agg(F.sum("count").alias("count"))
         return rows.select("chunk_id", "file_id", (F.col("count") * 0.1).alias("score"))
@@ -190,24 +232,31 @@ def top_by_words(index: Postings, words: Sequence[str], seen: Seen, k: int, acce
     return _by_bounds(bounds, hits, seen, k)
 
 
-def top_by_trigrams(index: Postings, query: str, seen: Seen, k: int, least: float, first: int = 256) -> list[tuple[int, float]]:
+def top_by_trigrams(index: Postings, chunks: DataFrame, query: str, seen: Seen, k: int, least: float, first: int = 256) -> list[tuple[int, float]]:
     """The k chunks most like the query, as `word_similarity` has it, and at least `least`: (chunk_id, score).
 
-    A run can't have more of the query's trigrams than its chunk: chunks that the merged lists show in too few
-    lists go before any place is read, and so do those that can't reach the k-th of the `first` likeliest."""
+    The trigrams' lists are merged by counting: a run can't have more of the query's trigrams than its chunk, so chunks that are in too
+    few lists go before any text is read, and so do those that can't reach the k-th of the `first` likeliest. Only the texts of what is
+    left (chunks: chunk_id, chunk_text_norm) are cut into trigrams."""
     asked = sorted({g for w in query.split() for g in trigrams(w)})
     if not asked:
         return []
     n, blocks = len(asked), blocks_of(index, asked)
-    shared = postings_of(blocks).groupBy("chunk_id", "file_id").agg((F.count("*") / n).alias("most")).where(F.col("most") >= least)
-
-    def scored(chosen: DataFrame) -> DataFrame:
-        rows = postings_of(blocks, "places").join(chosen.select("chunk_id"), "chunk_id", "left_semi")
-        return _in_order(rows).select("chunk_id", "file_id", (most_in_a_run(F.col("at"), n, n) / n).alias("score")).where(F.col("score") >= least)
-
-    shared = seen(shared)
-    likely = _best(scored(F.broadcast(shared.orderBy(F.desc("most"), "chunk_id").limit(first))), lambda x: x, k)
-    able = shared.where(F.col("most") >= likely[-1][1]) if len(likely) == k else shared
-    return _best(scored(able), lambda x: x, k)
-
-
+    named = index.blocks.where(F.col("bucket") == DIRECTORY).select("slice", "chunk_ids", "file_ids")
+    able = blocks.select("slice", F.explode("rows").alias("row")).groupBy("slice", "row").agg((F.count("*") / n).alias("most")).where(F.col("most") >= least)
+    able = able.join(named, "slice").select(*(F.get(c, F.col("row").cast("int")).alias(c.removesuffix("s")) for c in ("chunk_ids", "file_ids")), "most")
+    able = seen(able).select("chunk_id", "most")
+    numbers = F.array(*map(F.lit, asked))
+
+    def scored(texts: DataFrame) -> DataFrame:
+        placed = F.transform(text_trigrams(lexemes(F.col("chunk_text_norm"))), lambda g, i: F.struct(i.alias("place"), (F.array_position(numbers, g) - 1).cast("int").alias("asked")))
+        rows = texts.select("chunk_id", F.filter(placed, lambda x: x["asked"] >= 0).alias("at"))
+        return rows.select("chunk_id", (most_in_a_run(F.col("at"), n, n) / n).alias("score")).where(F.col("score") >= least)
+
+    likely = able.orderBy(F.desc("most"), "chunk_id").limit(first + 1).collect()  # so many numbers at most
+    texts = chunks.select("chunk_id", "chunk_text_norm")
+    found = _best(scored(texts.where(F.col("chunk_id").isin([r["chunk_id"] for r in likely[:first]]))), lambda x: x, k)
+    floor = found[-1][1] if len(found) == k else least
+    if len(likely) <= first or likely[-1]["most"] < floor:
+        return found
+    return _best(scored(texts.join(able.where(F.col("most") >= floor), "chunk_id", "left_semi")), lambda x: x, k)

@@ -142,7 +142,7 @@ def _search_postings(index: Postings, chunks: DataFrame, files: DataFrame, query
     if not allowed_scopes(scopes):
         found = []
     elif variant == "trgm":
-        found = top_by_trigrams(index, query, seen, k, LEAST_WORD_SIMILARITY)
+        found = top_by_trigrams(index, chunks, query, seen, k, LEAST_WORD_SIMILARITY)
     elif variant == "unaccent":
         found = top_by_words(index, _words(_folded(query)), seen, k, accents=False)
     else:

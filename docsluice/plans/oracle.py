@@ -301,3 +301,46 @@ ORACLE_SQL["parse_language"] = f"""WITH t AS (SELECT doc_id, text, string_split_
 
 ORACLE_SQL["retrieval_dense_indexed"] = ORACLE_SQL["retrieval_dense_topk"]
 ORACLE_SQL["retrieval_batch_indexed"] = ORACLE_SQL["retrieval_batch_multi_query"]
+
+
+def _walk(name: str, rows: str, fits: str, held: str) -> str:
+    """Groups of the rows (file_id, i from 1, n) of a file, one after the other: `fits` says whether a row joins the group
+    so far, which holds `held`."""
+    return f"""{name} AS (
+        SELECT file_id, i, 1 AS seg, n AS held FROM {rows} WHERE i = 1
+        UNION ALL SELECT c.file_id, c.i, CASE WHEN {fits} THEN w.seg ELSE w.seg + 1 END, CASE WHEN {fits} THEN {held} ELSE c.n END FROM {name} w JOIN {rows} c ON c.file_id = w.file_id AND c.i = w.i + 1)"""
+
+
+_MERGE = _walk("merges", "pieces", f"c.n < {LEAST} AND w.held + c.n <= {WINDOW}", "w.held + c.n")
+ORACLE_SQL["chunk_min_merge"] = f"""WITH RECURSIVE {BLOCKS},
+    pieces AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY block_no) AS i, len({words("text")}) AS n FROM blocks WHERE trim(text) <> ''), {_MERGE}
+    SELECT file_id, CAST(seg - 1 AS INTEGER) AS chunk_index, CAST(sum(n) AS INTEGER) AS token_count, arg_min(page_no, i) AS page_number, md5(string_agg(text, chr(10) ORDER BY i)) AS text_md5
+    FROM pieces JOIN merges USING (file_id, i) GROUP BY file_id, seg"""
+
+
+def chunked(strategy: str) -> str:
+    """Sections where a line is a section's title, else packed paragraphs, else the whole; windows over each; short ones merged."""
+    key = f"CASE WHEN block_no % 7 = 1 AND length(text) BETWEEN 1 AND 60 THEN {norm('text')} END"
+    titles = f"titles AS (SELECT file_id, {key} AS key, arg_max(text, block_no) AS title FROM blocks WHERE {key} <> '' {'' if strategy == 'section' else 'AND false'} GROUP BY ALL)"
+    return f"""WITH RECURSIVE {BLOCKS}, {titles},
+    lined AS (SELECT b.*, title, row_number() OVER w AS i, coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start, len({words("text")}) AS n
+        FROM blocks b LEFT JOIN titles t ON t.file_id = b.file_id AND t.key = {norm("b.text")} WHERE b.text <> '' WINDOW w AS (PARTITION BY b.file_id ORDER BY page_no, block_no)),
+    units AS (SELECT *, char_start + length(text) AS char_end, last_value(title IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY i) AS section FROM lined),
+    {_walk("packs", "units", f"w.held + c.n <= {WINDOW}", "w.held + c.n")},
+    parted AS (SELECT units.*, packs.seg AS pack, CASE WHEN i = 1 OR section IS DISTINCT FROM lag(section) OVER (PARTITION BY file_id ORDER BY i) THEN 1 ELSE 0 END AS new, bool_or(section IS NOT NULL) OVER (PARTITION BY file_id) AS matched FROM units JOIN packs USING (file_id, i)),
+    placed AS (SELECT *, CASE WHEN matched THEN sum(new) OVER (PARTITION BY file_id ORDER BY i) ELSE pack END AS seg FROM parted),
+    segs AS (SELECT file_id, seg, min(char_start) AS seg_start, string_agg(text, chr(10) ORDER BY i) AS text FROM placed GROUP BY ALL),
+    tokens AS (SELECT *, regexp_extract_all(text, '\\s*\\S+') AS tk FROM segs),
+    counted AS (SELECT *, len(tk) AS n, unnest(range(CASE WHEN len(tk) <= {WINDOW} THEN 1 ELSE CAST(ceil((len(tk) - {WINDOW}) / {STEP}.0) AS INTEGER) + 1 END)) AS k FROM tokens WHERE len(tk) > 0),
+    cut AS (SELECT file_id, seg, seg_start, tk, k * {STEP} AS a, least(k * {STEP} + {WINDOW}, n) AS b FROM counted),
+    windows AS (SELECT file_id, seg, b - a AS n, array_to_string(tk[a + 1 : b], '') AS raw, seg_start + coalesce(list_sum(list_transform(tk[1 : a], lambda x: length(x))), 0) AS raw_start, seg_start + list_sum(list_transform(tk[1 : b], lambda x: length(x))) AS char_end FROM cut),
+    bare AS (SELECT *, regexp_replace(raw, '^\\s+', '') AS text, raw_start + length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS char_start FROM windows),
+    pieces AS (SELECT b.*, row_number() OVER (PARTITION BY file_id ORDER BY seg, char_start) AS i,
+        (SELECT arg_min(struct_pack(p := u.page_no, s := u.section), u.i) FROM placed u WHERE u.file_id = b.file_id AND u.seg = b.seg AND b.char_start BETWEEN u.char_start AND u.char_end) AS label FROM bare b),
+    {_MERGE}
+    SELECT file_id, CAST(m.seg - 1 AS INTEGER) AS chunk_index, CAST(sum(n) AS INTEGER) AS token_count, arg_min(label.p, i) AS page_number, max(label.s) FILTER (begins) AS section_title,
+        CAST(min(char_start) AS INTEGER) AS char_start, CAST(arg_max(char_end, i) AS INTEGER) AS char_end, md5(string_agg(text, chr(10) ORDER BY i)) AS text_md5
+    FROM (SELECT pieces.* EXCLUDE (seg), merges.seg, i = min(i) OVER (PARTITION BY file_id, merges.seg) AS begins FROM pieces JOIN merges USING (file_id, i)) m GROUP BY file_id, m.seg"""
+
+
+ORACLE_SQL["chunk_section"], ORACLE_SQL["chunk_paragraph"] = chunked("section"), chunked("paragraph")

@@ -22,7 +22,7 @@ def library(spark, tmp_path_factory):
     files = spark.createDataFrame([(i, f"f{i}", f"s{i % 4}", "de" if i % 3 else "en", 1) for i in range(100)], FILES)
     chunks = spark.createDataFrame([(3 * i, i % 100, t, t, 1, "A" if i % 2 else None) for i, t in texts.items()], CHUNKS).repartition(5)
     root = str(tmp_path_factory.mktemp("index"))
-    stored = {kind: postings.write_postings(chunks, f"{root}/{kind}", kind, slice_bits=3) for kind in postings.KINDS}
+    stored = {kind: postings.write_postings(chunks, f"{root}/{kind}", kind, slice_chunks=8) for kind in postings.KINDS}
     return chunks, files, stored
 
 
