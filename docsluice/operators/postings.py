@@ -24,6 +24,8 @@ from docsluice.functions.text import fold_accents, lexemes
 
 #: Chunks of a slice, text of a file, folders at most, blocks of the first look.
 SLICE_CHUNKS, FILE_BYTES, MOST_BUCKETS, FIRST_BLOCKS = 4096, 64 << 20, 1024, 64
+#: Flags that tell trigrams and chunks apart without sorting them, where that many are enough.
+MOST_FLAGS = 1 << 27
 KINDS = ("words", "trigrams")
 DIRECTORY = -1
 _LISTS = "rows array<smallint>, counts array<int>, places array<array<int>>, chunk_ids array<bigint>, file_ids array<bigint>"
@@ -51,33 +53,50 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
 
 
-def _inverted(batch: pa.RecordBatch, slice_no: int, with_places: bool) -> pa.RecordBatch:
-    """The blocks of a slice, and its directory row: chunks (chunk_id, file_id, items) by ascending id."""
+def _of_words(words: list[str], code: np.ndarray, row: np.ndarray, rows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct (word, row) pairs to the distinct (trigram, row) pairs: the trigrams, and both by trigram and row."""
+    number: dict[str, int] = {}
+    own = [[number.setdefault(g, len(number)) for g in dict.fromkeys(trigrams(w))] for w in words]
+    size = np.array([len(x) for x in own], np.int64)
+    flat, begin, each = np.fromiter((g for x in own for g in x), np.int64, int(size.sum())), np.cumsum(size) - size, size[code]
+    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[code], each)
+    key = flat[at] * rows + np.repeat(row, each)
+    if len(number) * rows <= MOST_FLAGS:
+        there = np.zeros(len(number) * rows, bool)
+        there[key] = True
+        key = np.flatnonzero(there)
+    else:
+        key = np.unique(key)
+    return list(number), key // rows, key % rows
+
+
+def _inverted(batch: pa.RecordBatch, slice_no: int, kind: str) -> pa.RecordBatch:
+    """The blocks of a slice, and its directory row: chunks (chunk_id, file_id, items: their words) by ascending id."""
     table = pa.Table.from_batches([batch]).sort_by("chunk_id").combine_chunks()
     items = table["items"].combine_chunks()
     lengths = pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = items.flatten().dictionary_encode()
-    codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
-    order = np.argsort(codes, kind="stable")  # within a term by row and place
-    codes, row = codes[order], row[order]
-    new_term = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    new_posting = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])
-    counts = np.diff(np.r_[new_posting, len(codes)])
-    first = np.searchsorted(new_posting, new_term)
-    ends, terms = np.r_[first[1:], len(new_posting)], len(new_term)
-    none = lambda kind: pa.nulls(1, kind)
-    lists = [_lists(row[new_posting].astype(np.int16), ends, pa.int16()), pa.nulls(terms, pa.list_(pa.int32())), pa.nulls(terms, pa.list_(pa.list_(pa.int32())))]
-    if with_places:
-        place = (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+    code, row, terms = coded.indices.to_numpy(), np.repeat(np.arange(len(lengths)), lengths), coded.dictionary
+    order = np.argsort(code, kind="stable")  # within a term by row and place
+    code, row = code[order], row[order]
+    begin = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])  # of each posting
+    counts = np.diff(np.r_[begin, len(code)])
+    place = (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+    code, row = code[begin], row[begin]
+    if kind == "trigrams":
+        words, code, row = _of_words(terms.to_pylist(), code, row, len(lengths))
+        terms, counts = pa.array(words, pa.string()), np.ones(len(code), np.int64)
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])  # of each term
+    ends, n = np.r_[first[1:], len(code)], len(first)
+    lists = [_lists(row.astype(np.int16), ends, pa.int16()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.list_(pa.int32())))]
+    if kind == "words":
         lists[1:] = [_lists(counts.astype(np.int32), ends, pa.int32()), _lists(_lists(place.astype(np.int32), np.cumsum(counts), pa.int32()), ends, pa.list_(pa.int32()))]
     ids = [_lists(table[c].to_numpy(), np.array([len(table)]), pa.int64()) for c in ("chunk_id", "file_id")]
-    columns = [
-        (coded.dictionary.take(pa.array(codes[new_term])), pa.string()), (np.full(terms, slice_no), pa.int64()), (ends - first, pa.int64()), (np.add.reduceat(counts, first), pa.int64()), (np.maximum.reduceat(counts, first), pa.int32()),
-    ]
-    own = [pa.array(x, kind) if isinstance(x, np.ndarray) else x.cast(kind) for x, kind in columns] + lists + [pa.nulls(terms, x.type) for x in ids]
+    numbers = [np.full(n, slice_no), ends - first, np.add.reduceat(counts, first), np.maximum.reduceat(counts, first).astype(np.int32)]
+    blocks = [terms.take(pa.array(code[first])).cast(pa.string()), *map(pa.array, numbers), *lists, *(pa.nulls(n, x.type) for x in ids)]
+    directory = [pa.nulls(1, pa.string()), pa.array([slice_no], pa.int64()), *(pa.nulls(1, x.type) for x in blocks[2:8]), *ids]
     names = ["term", "slice", "n", "occurrences", "best", "rows", "counts", "places", "chunk_ids", "file_ids"]
-    directory = [none(pa.string()), pa.array([slice_no], pa.int64()), *(none(x.type) for x in own[2:8]), *ids]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(own, directory, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(blocks, directory, strict=True)], names)
 
 
 def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_chunks: int = SLICE_CHUNKS, file_bytes: int = FILE_BYTES) -> Postings:
@@ -96,14 +115,13 @@ def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_c
     buckets = max(16, min(MOST_BUCKETS, files))
     parts = -(-files // buckets)
     tokens = lexemes(F.coalesce("chunk_text_norm", F.lit("")))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), (tokens if kind == "words" else F.array_distinct(text_trigrams(tokens))).alias("items")).where(F.size("items") > 0)
-    with_places = kind == "words"
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), tokens.alias("items")).where(F.size("items") > 0)
 
     def invert(batches):
         begin = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), slice_chunks):
-                yield _inverted(batch.slice(at, slice_chunks), begin, with_places)
+                yield _inverted(batch.slice(at, slice_chunks), begin, kind)
                 begin += 1
 
     blocks = rows.mapInArrow(invert, f"term string, slice bigint, n bigint, occurrences bigint, best int, {_LISTS}")
