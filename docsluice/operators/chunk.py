@@ -16,8 +16,8 @@ from docsluice.functions.text import normalize, word_count
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 512, 64, 30
 #: Tokens whose lengths are added up as one when offsets are worked out.
 OFFSET_STEP = 1024
-#: Items that a fold writes out as one: a fold copies what it has written at each item.
-FOLD_STEP = 512
+#: Items whose group starts a fold notes in one list.
+FOLD_STEP = 128
 _I = "int"
 
 
@@ -122,21 +122,24 @@ def _groups(items: Column, state: Column, step) -> Column:
     """The group of each item of an array, from 1. step: the state of the group so far, the item, and whether it is the
     very first, to (does it begin a group, the state after it).
 
-    The fold writes the numbers of `FOLD_STEP` items to a list of their own, so for n items some n * FOLD_STEP are copied, not n * n."""
+    The fold notes where groups begin, for `FOLD_STEP` items in a list of their own: noting copies the list, so n items take
+    some n * FOLD_STEP copies, not n * n."""
 
     def within(acc: Column, x: Column) -> Column:
-        new, after = step(acc["state"], x, acc["seg"] == 0)
-        seg = acc["seg"] + new.cast(_I)
-        return F.struct(after.alias("state"), seg.alias("seg"), F.concat(acc["out"], F.array(seg)).alias("out"))
+        new, after = step(acc["state"], x, acc["at"] == 0)
+        return F.struct(after.alias("state"), (acc["at"] + 1).alias("at"), F.when(new, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"))
 
     def over(these: Column) -> Column:
         def part(acc: Column, k: Column) -> Column:
-            begin = F.struct(acc["state"].alias("state"), acc["seg"].alias("seg"), F.array().cast("array<int>").alias("out"))
+            begin = F.struct(acc["state"].alias("state"), acc["at"].alias("at"), F.array().cast("array<int>").alias("out"))
             done = F.aggregate(F.slice(these, k * FOLD_STEP + 1, F.lit(FOLD_STEP)), begin, within)
-            return _bound(done, lambda d: F.struct(d["state"].alias("state"), d["seg"].alias("seg"), F.concat(acc["parts"], F.array(d["out"])).alias("parts")))
+            return _bound(done, lambda d: F.struct(d["state"].alias("state"), d["at"].alias("at"), F.concat(acc["parts"], F.array(d["out"])).alias("parts")))
 
-        begin = F.struct(state.alias("state"), F.lit(0).alias("seg"), F.array().cast("array<array<int>>").alias("parts"))
-        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(these) - 1) / FOLD_STEP).cast(_I)), begin, part)["parts"])
+        begin = F.struct(state.alias("state"), F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("parts"))
+        starts = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(these) - 1) / FOLD_STEP).cast(_I)), begin, part)["parts"])
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(these)))
+        numbered = lambda lengths: F.flatten(F.transform(lengths, lambda n, k: F.array_repeat(k + 1, n)))
+        return _bound(starts, lambda s: numbered(F.zip_with(s, ends(s), lambda a, b: b - a)))
 
     return F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(_bound(items, over))
 

@@ -48,6 +48,13 @@ class HashEmbedder:
         return out
 
 
+class Down:
+    """An embedder whose service is out, to see what an outage does."""
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float] | None]:
+        raise Unreachable("no connection")
+
+
 def embed_with_retries(embedder: Embedder, texts: list[str], retries: int = 2, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> list[list[float] | None]:
     """A batch, tried again with doubled waits; given up, it is halved down to single texts, which are None.
     `Unreachable` is raised at once."""

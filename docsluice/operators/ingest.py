@@ -1,12 +1,13 @@
 """Ingestion from end to end: what waits is parsed, cleaned, chunked, embedded and stored, file by file a state.
 
-A run is one batch. A file that fails a gate is FAILED with its reason and holds nobody up. When the embedder
-can't be reached nothing of the batch is published: its files wait as before, without a retry counted, and the
-run ends with `Unreachable`.
+A run works through lots of files, each of which is one version of the store. A file that fails a gate is FAILED with its
+reason and holds nobody up. When the embedder can't be reached nothing of that lot is published: its files wait as
+before, without a retry counted, and the run ends with `Unreachable`; the lots before stay.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,7 +18,8 @@ from docsluice.functions.vectors import is_bad
 from docsluice.operators import clean, intake, parse
 from docsluice.operators.chunk import MAX_TOKENS, MIN_TOKENS, OVERLAP, chunk_files
 from docsluice.operators.embed import Embedder, Unreachable, embed
-from docsluice.operators.store import chunk_id, replace_files
+from docsluice.operators.snapshots import Snapshots
+from docsluice.operators.store import chunk_id, metric_rows
 from docsluice.sources.files import tables_of
 
 #: Indexes of failed chunks that a file's embedding row lists.
@@ -61,22 +63,41 @@ def embed_results(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def run(
-    files: DataFrame, parsed: DataFrame, make: Callable[[], Embedder], root: str, *, dim: int, now: datetime | None = None, limit: int | None = None,
+    files: DataFrame, parsed: DataFrame, make: Callable[[], Embedder], root: str, *, dim: int, now: datetime | None = None, limit: int | None = None, lot: int | None = None,
     strategy: str = "section", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS,
 ) -> DataFrame:
-    """Process what is due and publish chunks, vectors, tables, embedding results and statuses below `root`; returns the table of files as published.
+    """Process what is due and publish chunks, vectors, tables, embedding results, metrics and statuses in the store below `root`; returns
+    the table of files as published.
 
-    parsed: documents of the files (`schema.PARSED` and file_type). Vectors that are null or broken are not
-    stored; their chunks are. What the embedder answered is written before anything is published, so that an
-    outage leaves the store as it was."""
+    files: as they are now; those that the store hasn't got are entered first. parsed: documents of the files (`schema.PARSED` and
+    file_type). lot: about so many files a version (all in one, if None). Vectors that are null or broken are not stored; their chunks are. What the
+    embedder answered is written before anything is published, so that an outage leaves the store as it was."""
     spark = files.sparkSession
+    store = Snapshots(spark, root)
+    if "files" not in store.tables():
+        store = store.commit({"files": files}, files)
+    else:
+        new = files.join(store.read("files").select("file_id"), "file_id", "left_anti")
+        store = store if new.isEmpty() else store.commit({"files": new}, new)
     these = due(files, now, limit)
+    lots = max(1, -(-these.count() // lot)) if lot else 1
+    step = f"{store.root}/steps/{uuid.uuid4().hex}"
+    these.withColumn("__lot", F.pmod(F.xxhash64("file_id"), F.lit(lots))).write.parquet(f"{step}/due")
+    for i in range(lots):
+        own = spark.read.parquet(f"{step}/due").where(F.col("__lot") == i).drop("__lot")
+        store = _publish(store, own, parsed, make, f"{step}/{i}", dim, strategy, most, overlap, least)
+    return store.read("files")
+
+
+def _publish(store: Snapshots, these: DataFrame, parsed: DataFrame, make: Callable[[], Embedder], step: str, dim: int, strategy: str, most: int, overlap: int, least: int) -> Snapshots:
+    """One lot, from its parsed documents to a version of the store. step: a folder of its own."""
+    spark = store.spark
     docs = parsed.join(these.select("file_id"), "file_id", "left_semi")
     blocks = clean.cleaned_blocks(blocks_of(docs))
     signatures = clean.boilerplate(blocks)
-    through = gated(these, parse.parse_flags(parse.parse_metrics(docs)), clean.clean_flags(clean.clean_metrics(blocks, signatures)))
-    through.select("file_id", "status", "fail_reason", "retry_count").write.mode("overwrite").parquet(f"{root}/gated")
-    through = spark.read.parquet(f"{root}/gated")  # all that follows asks for it
+    measured, cleaned = parse.parse_flags(parse.parse_metrics(docs)), clean.clean_flags(clean.clean_metrics(blocks, signatures))
+    gated(these, measured, cleaned).write.parquet(f"{step}/gated")
+    through = spark.read.parquet(f"{step}/gated")  # all that follows asks for it
     going = through.where("status = 'PROCESSING'").select("file_id")
     kept = clean.kept_blocks(blocks, signatures).join(going, "file_id", "left_semi").select("file_id", "page_no", "block_no", F.col("clean").alias("text"))
     docs = docs.join(going, "file_id", "left_semi")
@@ -85,18 +106,18 @@ def run(
     chunks = chunk_files(kept, sections, tables, strategy=strategy, most=most, overlap=overlap, least=least)
     embedded = embed(chunks.withColumn("chunk_id", chunk_id(F.col("file_id"), F.col("chunk_index"))), make)
     try:
-        embedded.write.mode("overwrite").parquet(f"{root}/embedded")
+        embedded.write.parquet(f"{step}/embedded")
     except Exception as e:
         if Unreachable.__name__ in str(e):
-            raise Unreachable("the embedder can't be reached; the files of this run wait as before") from e
+            raise Unreachable("the embedder can't be reached; the files of this lot wait as before") from e
         raise
-    stored = spark.read.parquet(f"{root}/embedded")
+    stored = spark.read.parquet(f"{step}/embedded")
     ended = through.withColumn("status", F.when(F.col("status") == "PROCESSING", "COMPLETED").otherwise(F.col("status")))
-    states = files.drop("status", "fail_reason", "retry_count").join(ended, "file_id")
-    others = files.join(through.select("file_id"), "file_id", "left_anti")
     vectors = stored.where(~is_bad(F.col("embedding"), dim)).select("file_id", "chunk_id", "embedding")
-    replace_files(spark, root, through.select("file_id"), {"chunks": stored.drop("embedding"), "vectors": vectors, "tables": tables, "embed_results": embed_results(stored, dim)}, others.unionByName(states, allowMissingColumns=True))
-    return spark.read.parquet(f"{root}/files")
+    results = embed_results(stored, dim)
+    steps = (metric_rows(measured, "parse", ["parse_score"], ok=~F.col("hard_fail")), metric_rows(cleaned, "clean", ["retention_ratio"], ok=~F.col("hard_fail")), metric_rows(results, "embed", ["expected", "failed"], ok=F.col("failed") == 0))
+    new = {"chunks": stored.drop("embedding"), "vectors": vectors, "tables": tables, "embed_results": results, "metrics": steps[0].union(steps[1]).union(steps[2]), "files": ended}
+    return store.commit(new, through)
 
 
 def reintake(failed: DataFrame, found: DataFrame, allowed: tuple[str, ...], max_mb: int = intake.MAX_FILE_MB) -> DataFrame:

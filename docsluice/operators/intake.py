@@ -12,6 +12,8 @@ from docsluice.schema import OUTCOMES
 MAX_FILE_MB = 100
 RETRY_LIMIT = 3
 STUCK_MINUTES = 30
+#: Arrival numbers that one window counts over.
+STRETCH = 100_000
 
 
 def stored_path(root: Column, checksum: Column, name: Column) -> Column:
@@ -19,6 +21,22 @@ def stored_path(root: Column, checksum: Column, name: Column) -> Column:
     return F.concat_ws("/", root, F.lit("raw"), F.substring(checksum, 1, 2), checksum, F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"))
 
 
+def running_count(df: DataFrame, key: str, order: str, counted: str, out: str, stretch: int = STRETCH) -> DataFrame:
+    """Adds to the rows where `counted` holds how many of the key there are up to them (null elsewhere), by ascending `order`, a whole number
+    that no two rows of a key share.
+
+    Rows are counted within stretches of `stretch` numbers, which bounds a window, and the counts of a key's stretches are added up
+    over one row a stretch: no task has to take all rows of a key."""
+    part = Window.partitionBy(key, "__stretch")
+    mine = df.where(counted).withColumn("__stretch", F.floor(F.col(order) / stretch))
+    sums = mine.groupBy(key, "__stretch").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(key).alias("__key"), F.col("__stretch").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    mine = mine.select(key, "__stretch", order, F.row_number().over(part.orderBy(order)).alias("__own"))
+    counts = mine.join(sums, mine[key].eqNullSafe(F.col("__key")) & (F.col("__stretch") == F.col("__of"))).select(F.col(key).alias("__key"), F.col(order).alias("__at"), (F.col("__before") + F.col("__own")).alias(out))
+    return df.join(counts, df[key].eqNullSafe(F.col("__key")) & (df[order] == F.col("__at")) & F.col(counted), "left").drop("__key", "__at")
+
+
 def intake(arrivals: DataFrame, known: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFrame:
     """arrivals: arrival_no, file_name, file_type (null: unsupported), checksum, file_size. known: file_name,
     checksum, doc_version. Adds outcome, doc_version, fail_reason.
@@ -26,16 +44,17 @@ def intake(arrivals: DataFrame, known: DataFrame, max_mb: int = MAX_FILE_MB) ->
     A content that is known, or came earlier in the batch, is SKIPPED whatever its name; an unsupported type
     is REJECTED; a new content under a name that is known is VERSIONED with the next version; one too large
     is FAILED (it has a version too). arrival_no is unique. The first of a content is a grouped minimum, so a
-    content that very many files share is added up before it is shuffled."""
+    content that very many files share is added up before it is shuffled; versions under one name are counted in stretches of
+    `STRETCH` arrival numbers, so a name that very many files share is many tasks."""
     seen = known.select("checksum").distinct().withColumn("__seen", F.lit(True))
     last = known.groupBy("file_name").agg(F.max("doc_version").alias("__last"))
     ok = F.col("file_type").isNotNull()
     first = arrivals.where(ok).groupBy("checksum").agg(F.min("arrival_no").alias("__first"))
     a = arrivals.join(seen, "checksum", "left").join(first, "checksum", "left").join(last, "file_name", "left")
     fresh = ok & F.col("__seen").isNull() & (F.col("arrival_no") == F.col("__first"))
-    version = (F.coalesce("__last", F.lit(0)) + F.sum(fresh.cast("int")).over(Window.partitionBy("file_name").orderBy("arrival_no"))).cast("int")
     large = F.col("file_size") > max_mb * 1024 * 1024
-    a = a.withColumn("__fresh", fresh).withColumn("doc_version", F.when(F.col("__fresh"), version))
+    a = running_count(a.withColumn("__fresh", fresh), "file_name", "arrival_no", "__fresh", "__nth")
+    a = a.withColumn("doc_version", F.when(F.col("__fresh"), (F.coalesce("__last", F.lit(0)) + F.col("__nth")).cast("int"))).drop("__nth")
     outcome = F.when(~ok, "REJECTED").when(~F.col("__fresh"), "SKIPPED").when(large, "FAILED").when(F.col("doc_version") > 1, "VERSIONED").otherwise("CREATED")
     return a.withColumn("outcome", outcome).withColumn("fail_reason", F.when(F.col("outcome") == "FAILED", f"larger than {max_mb} MB")).drop("__seen", "__last", "__first", "__fresh")
 

@@ -1,11 +1,12 @@
-"""Writing what is derived from files: per file all or nothing, the status last."""
+"""Writing what is derived from files: per file all or nothing, with its status."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from docsluice.operators.snapshots import Snapshots
+
 DERIVED = ("chunks", "vectors", "tables", "figures", "embed_results")
 
 
@@ -14,37 +15,14 @@ def chunk_id(file_id: Column, chunk_index: Column) -> Column:
     return F.xxhash64(file_id, chunk_index)
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)).cast("int"))
-
-
-def replace_files(spark: SparkSession, root: str, file_ids: DataFrame, new: dict[str, DataFrame], files: DataFrame) -> None:
-    """Replace all rows of the given files in the derived tables below `root`, then publish their status.
-
-    Only buckets that hold one of the files are rewritten (dynamic partition overwrite, which swaps a bucket
-    when its job has committed). If a table fails, the status table still shows the old state and a second
-    run puts everything right; readers go by COMPLETED files."""
-    ids = _bucketed(file_ids.select("file_id").distinct())
-    touched = [r["bucket"] for r in ids.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    for name in DERIVED:
-        if name not in new or not touched:
-            continue
-        path, fresh = f"{root}/{name}", _bucketed(new[name])
-        try:
-            old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(ids.select("file_id"), "file_id", "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = fresh.limit(0)
-        _overwrite(spark, old.unionByName(fresh, allowMissingColumns=True), path, "bucket")
-    files.write.mode("overwrite").parquet(f"{root}/files_next")
-    spark.read.parquet(f"{root}/files_next").write.mode("overwrite").parquet(f"{root}/files")
-
-
-def _overwrite(spark: SparkSession, df: DataFrame, path: str, by: str) -> None:
-    staged = f"{path}__staged"
-    df.write.mode("overwrite").partitionBy(by).parquet(staged)  # it reads what it replaces
-    spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def replace_files(spark: SparkSession, root: str, file_ids: DataFrame, new: dict[str, DataFrame], files: DataFrame) -> Snapshots:
+    """Replace all rows of the given files in the derived tables below `root`, and their rows of `files`, in one version:
+    who reads sees all of it or nothing. `files` may have more files than these only in the first version."""
+    store = Snapshots(spark, root)
+    if "files" not in store.tables():
+        store = store.commit({"files": files}, files)
+    states = files.join(file_ids.select("file_id").distinct(), "file_id", "left_semi")
+    return store.commit({**{name: df for name, df in new.items() if name in DERIVED}, "files": states}, file_ids)
 
 
 def without_files(table: DataFrame, file_ids: DataFrame) -> DataFrame:
@@ -58,8 +36,10 @@ def replace_findings(findings: DataFrame, new: DataFrame, file_ids: DataFrame, c
     return findings.join(gone.select("finding_id"), "finding_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def metric_rows(df: DataFrame, step: str, detail: list[str]) -> DataFrame:
-    return df.select("file_id", F.lit(step).alias("step"), F.to_json(F.struct(*detail)).alias("detail"))
+def metric_rows(df: DataFrame, step: str, detail: list[str], *, ok: Column | None = None, duration_ms: Column | None = None) -> DataFrame:
+    """Rows of the table of metrics: what a step measured, as JSON, whether it went well (by default it did), and how long it took."""
+    null = F.lit(None).cast("int")
+    return df.select("file_id", F.lit(step).alias("step"), (F.lit(True) if ok is None else ok).alias("ok"), (null if duration_ms is None else duration_ms.cast("int")).alias("duration_ms"), F.to_json(F.struct(*detail)).alias("detail"))
 
 
 def upsert_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -344,3 +344,9 @@ def chunked(strategy: str) -> str:
 
 
 ORACLE_SQL["chunk_section"], ORACLE_SQL["chunk_paragraph"] = chunked("section"), chunked("paragraph")
+
+ORACLE_SQL["ingest_run"] = f"""WITH {FILES}, {BLOCKS}, {SIGNATURES}, r AS ({ORACLE_SQL["ingest_states"]}),
+    w AS (SELECT n.file_id, sum(len({words("clean")})) AS n FROM normed n LEFT JOIN signatures s ON s.file_id = n.file_id AND s.norm = n.norm WHERE clean <> '' AND s.norm IS NULL GROUP BY 1)
+    SELECT f.file_id, CASE WHEN r.status = 'PROCESSING' THEN 'COMPLETED' ELSE coalesce(r.status, f.status) END AS status, r.fail_reason, coalesce(r.retry_count, f.retry_count) AS retry_count,
+        CAST(CASE WHEN r.status IS DISTINCT FROM 'PROCESSING' OR coalesce(n, 0) = 0 THEN 0 WHEN n <= {WINDOW} THEN 1 ELSE ceil((n - {WINDOW}) / {STEP}.0) + 1 END AS BIGINT) AS chunks
+    FROM files f LEFT JOIN r ON r.file_id = f.file_id LEFT JOIN w ON w.file_id = f.file_id"""

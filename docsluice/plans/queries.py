@@ -14,7 +14,8 @@ from docsluice.operators.chunk import chunk_metrics, metadata_fill
 from docsluice.operators.postings import term_counts
 from docsluice.plans import tables as t
 from docsluice.sources.golden import load_golden, read_golden
-from docsluice.streaming.intake import first_of_each, run_available
+from docsluice.operators.snapshots import Snapshots
+from docsluice.streaming.intake import file_stream, into_store, run_available
 
 SCOPES = ["src0", "src1", "src2", "src3", "src4"]
 QUERIES: dict = {}
@@ -533,10 +534,26 @@ def golden_load(spark, d):
 
 @query
 def stream_intake(spark, d):
-    """All documents through a file stream, each content once."""
+    """All documents through a file stream, each content once: held against what is stored, without state."""
     root = t.work_folder(spark, "stream")
     docs = t.table(spark, d, "documents")
     docs.write.mode("overwrite").parquet(f"{root}/in")
-    stream = first_of_each(spark.readStream.schema(docs.schema).parquet(f"{root}/in"))
-    run_available(stream, lambda df, i: df.select("doc_id", "checksum").write.mode("append").parquet(f"{root}/out"), f"{root}/state").awaitTermination()
-    return spark.read.schema("doc_id long, checksum string").parquet(f"{root}/out").select("checksum")
+    stream = file_stream(spark, f"{root}/in", docs.schema, per_batch=8)
+    run_available(stream, into_store(f"{root}/taken", ["doc_id"], "doc_id"), f"{root}/state").awaitTermination()
+    return spark.read.schema("checksum string").parquet(f"{root}/taken").select("checksum")
+
+
+@query
+def ingest_run(spark, d):
+    """What is due, from parsed documents to published chunks: first while the embedder is out, which publishes nothing, then in
+    three lots. Files with their state and number of chunks."""
+    root = f"{t.work_folder(spark, 'ingest')}/store"
+    files = t.files(spark, d).drop("checksum").withColumn("fail_reason", F.lit(None).cast("string"))
+    args = {"dim": 8, "now": datetime(2024, 1, 15), "strategy": "sliding", "most": t.WINDOW, "overlap": t.OVERLAP, "least": t.LEAST}
+    try:
+        ingest.run(files, t.parsed(spark, d), embed.Down, root, **args)
+    except embed.Unreachable:
+        assert Snapshots(spark, root).tables() == ["files"]
+    published = ingest.run(files, t.parsed(spark, d), lambda: embed.HashEmbedder(8), root, lot=max(1, files.count() // 8), **args)
+    chunks = Snapshots(spark, root).read("chunks").groupBy("file_id").agg(F.count("*").alias("chunks"))
+    return published.join(chunks, "file_id", "left").select("file_id", "status", "fail_reason", F.col("retry_count").cast("int").alias("retry_count"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))

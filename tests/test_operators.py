@@ -19,6 +19,7 @@ from docsluice.functions.text import detect_language, subword_spans
 from docsluice.functions.vectors import cosine
 from docsluice.operators import chunk, clean, context, embed, evaluate, ground, ingest, inject, intake, quality, report, retrieve, store
 from docsluice.sources import files as src
+from docsluice.operators.snapshots import Snapshots
 from docsluice.schema import GOLDEN, PARSED
 from docsluice.sources.pdf import parse_pdf
 from docsluice.trace import Tracer
@@ -327,7 +328,7 @@ def test_store_replaces_whole_files(spark, tmp_path):
     files = spark.createDataFrame([(1, "COMPLETED"), (2, "COMPLETED")], "file_id long, status string")
     store.replace_files(spark, root, files, {"chunks": make([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")])}, files)
     store.replace_files(spark, root, files.where("file_id = 1"), {"chunks": make([(1, 0, "new")])}, files)
-    assert sorted((r["file_id"], r["chunk_text"]) for r in spark.read.parquet(f"{root}/chunks").collect()) == [(1, "new"), (2, "c")]
+    assert sorted((r["file_id"], r["chunk_text"]) for r in Snapshots(spark, root).read("chunks").collect()) == [(1, "new"), (2, "c")]
 
 
 def test_files(spark, tmp_path):
@@ -552,9 +553,11 @@ def test_ingest_run(spark, tmp_path):
     got = {r["file_id"]: (r["status"], r["retry_count"], r["fail_reason"]) for r in out.collect()}
     assert got[1] == ("COMPLETED", 0, None) and got[3] == ("COMPLETED", 0, None)
     assert got[2][:2] == ("FAILED", 1) and got[2][2].startswith("parse: coverage") and got[4][2] == "parse: no result"
-    stored = spark.read.parquet(str(tmp_path / "s" / "chunks"))
+    store = Snapshots(spark, str(tmp_path / "s"))
+    stored = store.read("chunks")
     assert {r["file_id"] for r in stored.collect()} == {1} and stored.where("is_table").count() == 1
-    assert spark.read.parquet(str(tmp_path / "s" / "vectors")).count() == stored.count()
+    assert store.read("vectors").count() == stored.count()
+    assert {(r["file_id"], r["step"], r["ok"]) for r in store.read("metrics").collect()} == {(1, "parse", True), (2, "parse", False), (1, "clean", True), (2, "clean", False), (1, "embed", True)}
     again = ingest.run(out, parsed, lambda: embed.HashEmbedder(8), str(tmp_path / "s"), dim=8)
     assert {r["file_id"]: r["status"] for r in again.collect()} == {k: v[0] for k, v in got.items()}
 
@@ -567,7 +570,8 @@ def test_an_outage_publishes_nothing(spark, tmp_path):
     files, parsed = waiting(spark)
     with pytest.raises(embed.Unreachable):
         ingest.run(files, parsed, Down, str(tmp_path / "s"), dim=8)
-    assert not (tmp_path / "s" / "files").exists() and not (tmp_path / "s" / "chunks").exists()
+    left = Snapshots(spark, str(tmp_path / "s"))
+    assert left.tables() == ["files"] and {r["file_id"] for r in left.read("files").where("status = 'PENDING'").collect()} == {1, 2, 4}
 
 
 def test_embed_results(spark):
