@@ -106,6 +106,13 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def apart(name: str, *taken: str) -> str:
+    """An id column's name in a result: its own, with `_id` behind it where the result has another column of that name."""
+    while name in taken:
+        name += "_id"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import texts
+from docsluice.llm.common import apart, named, texts
 
 #: Edits allowed, as a share of an item's words.
 EDIT_SHARE = 0.2
@@ -133,7 +133,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, edit_share: flo
 
     Rows equal in item and text are one item, whose key is the item and how often it comes, so that repeated rows
     don't fill a pass."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").groupBy("item", "text").agg(F.count("*").alias("times"))
+    items = benchmark.select(named(item_col).alias("item"), named(text_col).alias("text")).where("text is not null").groupBy("item", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // index_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
@@ -148,9 +148,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
     Whole texts are scanned, case and ASCII punctuation aside. Null or empty texts and items match
     nothing; an item of fewer words than 1 / edit_share must occur as it is. Items equal in words are all
-    reported. The index of a pass is bounded by `index_bytes` of item text; more items take more passes.
+    reported, also where they stand at one place. The index of a pass is bounded by `index_bytes` of item text; more items
+    take more passes. Names may have dots; a document's or an item's id whose name the result has already gets `_id` behind it.
     """
     found = None
+    ours = ("distance", "item_words", "end_word")
+    id_out = apart(id_col, *ours)
+    item_out = apart(item_col, id_out, *ours)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     for made in _indexes(benchmark, item_col, item_text_col, edit_share, index_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(made)
@@ -164,21 +168,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                 if out:
                     yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("id", "item", "distance", "end_word", "item_words"), columns, kinds, strict=True)})
 
-        one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, item {item_type}, distance long, end_word long, item_words long")
+        one = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {id_type}, item {item_type}, distance long, end_word long, item_words long")
         found = one if found is None else found.unionByName(one)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "item_words", "end_word")
+    return found.select(F.col("id").alias(id_out), F.col("item").alias(item_out), "distance", "item_words", "end_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows whose text holds no test item, with all their columns, of any names; one pass for each
     `index_bytes` of items. Rows with null or empty texts stay, null or empty items match nothing; rows repeated
     in the input are judged alike, and a very long text is scanned to its end. No items: all rows stay."""
+    columns = docs.columns
+    text_at = columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # names may have dots
     for made in _indexes(benchmark, item_col, item_text_col, edit_share, index_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, sent=sent):
             for batch in batches:
-                yield batch.filter(pa.array([not sent.value.find(item_words(t)) for t in texts(batch, text_col)], pa.bool_()))
+                yield batch.filter(pa.array([not sent.value.find(item_words(t)) for t in texts(batch, f"c{text_at}")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*columns)

@@ -121,7 +121,7 @@ def fit_language_filter(docs: DataFrame, train: Column | None = None, *, id_col:
     """Learn from rows with a language (and `train`): about `fit_rows` of each language, chosen by a hash
     of the id, all if there are fewer. What comes to the driver is bounded: at most 1 / least_share n-grams of
     a size and language, 12 bytes each. Without a labelled row no language is learned, and every
-    prediction is `und`."""
+    prediction is `und`. Rows with a null id share one hash, and are taken or left together."""
     rows = docs.where(named(lang_col).isNotNull() & (F.lit(True) if train is None else train)).select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
     sizes_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes_by:
@@ -192,17 +192,21 @@ class _Scorer:
 def identify_language(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its score to every row; input columns of these names are replaced.
 
-    Only the text is looked at. A null text or one without a letter is `und` with score 0. One pass, no
+    Only the text is looked at, all of it. A null text or one without a letter is `und` with score 0; repeated rows are judged alike; other
+    columns are handed on, of any names. One pass, no
     shuffle; the filter (of a size bounded by the fit) is a broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(lang_out, score_out)
-    schema = docs.select("*", F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
+    columns = docs.columns
+    text_at = columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # names may have dots
+    schema = docs.select("*", F.lit("").alias("lang"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
         scorer = held(("language", sent.value.key), lambda: _Scorer(sent.value))
         for batch in batches:
-            langs, scores = scorer.predict(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
+            langs, scores = scorer.predict(batch.column(text_at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*columns, lang_out, score_out)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsluice.llm.common import held, named, texts
+from docsluice.llm.common import apart, held, named, texts
 
 
 class TokenLengths:
@@ -69,7 +69,8 @@ def count_tokens_by_line(docs: DataFrame, ranks_file: str, pattern: str, *, id_c
 
     A document is encoded once, whole; crossing tokens are allocated by `rule` (see `allocate`). So the
     counts of a document's sections add up to doc_tokens. A null or empty text has one section of no
-    characters and no tokens; repeated rows give repeated rows. One pass, no shuffle.
+    characters and no tokens; repeated rows give repeated rows. A very long text is encoded whole, a few numbers a
+    token; an id whose name the result has already gets `_id` behind it. One pass, no shuffle.
     """
     with open(ranks_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -93,4 +94,4 @@ def count_tokens_by_line(docs: DataFrame, ranks_file: str, pattern: str, *, id_c
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.concatenate(ids))), *(pa.array(x, of if i == 3 else pa.int64()) for i, x in enumerate(columns))], names=["id", "section", "start_char", "end_char", "n_tokens", "doc_tokens"])
 
     schema = f"id {id_type}, section long, start_char long, end_char long, n_tokens {kind}, doc_tokens long"
-    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", apart(id_col, "section", "start_char", "end_char", "n_tokens", "doc_tokens"))

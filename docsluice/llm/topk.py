@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsluice.llm.common import pieces
+from docsluice.llm.common import named, pieces
 
 BLOCK_ROWS = 64
 SHARD_ROWS = 20_000
@@ -93,14 +93,19 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     are all candidates, but never for a query of that id; equal query rows count once, and different
     vectors under one query id each get their own ranks. Fewer than k others give fewer rows.
 
+    An id that is no number is a null one. Scores that don't fit a long (components so large that their squares add up
+    to 2 ** 63) raise ValueError. Names may have dots; other columns are left out. A table without rows gives none.
+
     Rows are dealt to index shards by a hash, queries to chunks; each shard meets each chunk in one task
     of bounded size, and the shards' best k of a query are merged.
     """
-    value = F.col(vector_col)
-    usable = F.col(id_col).isNotNull() & value.isNotNull() & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, F.transform(value, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))).alias("v"), is_query.alias("asks")).where("v is not null")
+    value, number = named(vector_col), named(id_col).try_cast("long")
+    usable = number.isNotNull() & value.isNotNull() & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    rows = vectors.select(number.alias("id"), F.when(usable, F.transform(value, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))).alias("v"), is_query.alias("asks")).where("v is not null")
     count, asking, width, largest = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v")), F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0)))).first()
     shards, chunks, width = pieces(count, shard_rows), pieces(asking, query_rows), width or 0
+    if width * (largest or 0) ** 2 >= 1 << 63:
+        raise ValueError(f"scores of components up to {largest} in {width} dimensions don't fit a long")
     in_float = width * (largest or 0) ** 2 < 1 << 53
     spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     code = F.xxhash64("id", "v")
