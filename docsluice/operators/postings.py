@@ -38,12 +38,6 @@ class Postings(NamedTuple):
     kind: str
 
 
-def text_trigrams(tokens: Column) -> Column:
-    """Of each word, two blanks before it and one behind, all runs of three characters, in order."""
-    own = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3)))
-    return F.flatten(F.transform(tokens, own))
-
-
 def _in_bucket(folded: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(folded), F.lit(buckets)).cast("int")
 
@@ -188,16 +182,25 @@ def cover_score(at: Column, terms: int) -> Column:
     return F.round(F.aggregate(at, begin, step, lambda acc: acc["score"]), 9)
 
 
-def most_in_a_run(at: Column, terms: int, length: int) -> Column:
-    """The most different terms that any `length` places in a row have."""
+def most_in_a_run(text: Column, asked: Sequence[str], length: int) -> Column:
+    """The most different asked trigrams that any `length` trigrams in a row of a normalised text have.
+
+    The text is written as its words with three blanks between them and cut, by one pattern, before each word and each asked
+    trigram; so of the many trigrams only the asked ones are seen. A word has two places fewer than its blanks say."""
+    stream = F.concat(F.lit("  "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\W+", "   ")), F.lit(" "))
+    numbers, n = F.array(*map(F.lit, asked)), len(asked)
 
     def step(acc: Column, x: Column) -> Column:
-        last = _last(acc, x)
-        there = F.size(F.filter(last, lambda p: p > x["place"] - length))
-        return F.struct(last.alias("last"), F.greatest(acc["most"], there).alias("most"))
+        words = acc["words"] + F.when(x["gram"].startswith("  "), 1).otherwise(0)
+        at, own = acc["chars"] - 2 * words, F.coalesce(F.array_position(numbers, x["gram"]) - 1, F.lit(-1)).cast("int")
+        last = F.when(own < 0, acc["last"]).otherwise(F.transform(acc["last"], lambda v, i: F.when(i == own, at).otherwise(v)))
+        there = F.when(own < 0, 0).otherwise(F.size(F.filter(last, lambda p: p > at - length)))
+        return F.struct((acc["chars"] + F.char_length(x["part"])).alias("chars"), words.alias("words"), last.alias("last"), F.greatest(acc["most"], there).alias("most"))
 
-    begin = F.struct(F.array_repeat(F.lit(-(1 << 30)), terms).alias("last"), F.lit(0).alias("most"))
-    return F.aggregate(at, begin, step, lambda acc: acc["most"])
+    begin = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("words"), F.array_repeat(F.lit(-(1 << 30)), n).alias("last"), F.lit(0).alias("most"))
+    cut = "  \\S|" + "|".join(asked)
+    parts = F.arrays_zip(F.split(stream, f"(?={cut})", -1).alias("part"), F.regexp_extract_all(stream, F.lit(f"(?=({cut}))"), F.lit(1)).alias("gram"))
+    return F.aggregate(parts, begin, step, lambda acc: acc["most"])
 
 
 Seen = Callable[[DataFrame], DataFrame]
@@ -255,7 +258,7 @@ def top_by_trigrams(index: Postings, chunks: DataFrame, query: str, seen: Seen,
 
     The trigrams' lists are merged by counting: a run can't have more of the query's trigrams than its chunk, so chunks that are in too
     few lists go before any text is read, and so do those that can't reach the k-th of the `first` likeliest. Only the texts of what is
-    left (chunks: chunk_id, chunk_text_norm) are cut into trigrams."""
+    left (chunks: chunk_id, chunk_text_norm) are read, and in them only asked trigrams."""
     asked = sorted({g for w in query.split() for g in trigrams(w)})
     if not asked:
         return []
@@ -264,12 +267,9 @@ def top_by_trigrams(index: Postings, chunks: DataFrame, query: str, seen: Seen,
     able = blocks.select("slice", F.explode("rows").alias("row")).groupBy("slice", "row").agg((F.count("*") / n).alias("most")).where(F.col("most") >= least)
     able = able.join(named, "slice").select(*(F.get(c, F.col("row").cast("int")).alias(c.removesuffix("s")) for c in ("chunk_ids", "file_ids")), "most")
     able = seen(able).select("chunk_id", "most")
-    numbers = F.array(*map(F.lit, asked))
 
     def scored(texts: DataFrame) -> DataFrame:
-        placed = F.transform(text_trigrams(lexemes(F.col("chunk_text_norm"))), lambda g, i: F.struct(i.alias("place"), (F.array_position(numbers, g) - 1).cast("int").alias("asked")))
-        rows = texts.select("chunk_id", F.filter(placed, lambda x: x["asked"] >= 0).alias("at"))
-        return rows.select("chunk_id", (most_in_a_run(F.col("at"), n, n) / n).alias("score")).where(F.col("score") >= least)
+        return texts.select("chunk_id", (most_in_a_run(F.col("chunk_text_norm"), asked, n) / n).alias("score")).where(F.col("score") >= least)
 
     likely = able.orderBy(F.desc("most"), "chunk_id").limit(first + 1).collect()  # so many numbers at most
     texts = chunks.select("chunk_id", "chunk_text_norm")
