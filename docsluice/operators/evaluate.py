@@ -108,8 +108,8 @@ def aggregated(measured: DataFrame, by: str = "category") -> DataFrame:
     return measured.rollup(by).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in names))
 
 
-def golden_problems(golden: DataFrame) -> DataFrame:
-    """id and problem, for records that break a rule; and those that repeat an id or a normalised question."""
+def golden_rules(golden: DataFrame) -> DataFrame:
+    """The records that break a rule, a row for each rule broken, with its `problem`."""
     ev = F.coalesce("gold_evidence", F.array().cast(golden.schema["gold_evidence"].dataType))
     checks = {
         "evidence needs a page or a sheet, not both": F.exists(ev, lambda e: e["page"].isNull() == e["sheet"].isNull()),
@@ -118,7 +118,12 @@ def golden_problems(golden: DataFrame) -> DataFrame:
         "unknown category": ~F.col("category").isin("single_fact", "multi_hop", "synthesis", "table_based", "citation_sensitive", "unanswerable"),
         "difficulty is not 1 to 3": ~F.coalesce(F.col("difficulty").between(1, 3), F.lit(False)),
     }
-    own = golden.select("id", F.explode(F.array_compact(F.array(*(F.when(c, m) for m, c in checks.items())))).alias("problem"))
+    return golden.withColumn("problem", F.explode(F.array_compact(F.array(*(F.when(c, m) for m, c in checks.items())))))
+
+
+def golden_problems(golden: DataFrame) -> DataFrame:
+    """id and problem, for records that break a rule; and those that repeat an id or a normalised question."""
+    own = golden_rules(golden).select("id", "problem")
     twice = golden.groupBy("id").count().where("count > 1").select("id", F.lit("id occurs more than once").alias("problem"))
     asked = golden.groupBy(normalize(F.col("question")).alias("q")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).where("n > 1")
     return own.union(twice).union(asked.select(F.explode("ids").alias("id"), F.lit("question occurs more than once").alias("problem")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,33 +35,74 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
-# What a text must hold for a pattern that would else be tried from each of its characters.
-NEEDED = {15: "(?iu)davran"}
+#: What a text must hold, of each list one, before a pattern is tried: words of the pattern, in lower case, ı as i.
+NEEDED = (
+    (("ignore",),), (("disregard",),), (("forget",),), (("you",), ("are",), ("now",)), (("act",), ("as",)), (("pretend",),), (("system",), ("prompt",)), (("new",), ("instruction",)),
+    (("override",),), (("follow",),), (("talimat", "komut", "yönerge", "kural"),), (("bundan", "artik"),), (("rol",), ("değiştir",)), (("sistem",),), (("yeni",), ("talimat",)), (("davran",),), (("talimatlar",),),
+)
 
 
-def _if(text: Column, needed: str, found: Column) -> Column:
-    """`found`, looked for only where a cheap scan finds what it can't do without."""
-    return F.when(text.rlike(needed), found).otherwise(F.array().cast("array<string>"))
+def folded(text: Column) -> Column:
+    """Lower case for finding words: each letter that a pattern's i, k or s also matches is that letter."""
+    odd = F.contains(text, F.lit("ı")) | F.contains(text, F.lit("İ")) | F.contains(text, F.lit("ſ")) | F.contains(text, F.lit("\u212a"))
+    return F.when(odd, F.lower(F.translate(text, "ıİſ\u212a", "iisk"))).otherwise(F.lower(text))
 
 
-def pattern_evidence(text: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
-    """All matches, pattern by pattern, cut to 80 characters."""
-    each = [_found(text, f"(?iuU){p}") for p in patterns]
-    if patterns == PATTERNS:
-        each = [_if(text, NEEDED[i], x) if i in NEEDED else x for i, x in enumerate(each)]
+def _if(there: Column, found: Column, kind: str = "array<string>") -> Column:
+    """`found`, looked for only where a cheap scan finds what it can't do without."""
+    return F.when(there, found).otherwise(F.array().cast(kind))
+
+
+def _each(text: Column, low: Column, patterns: tuple[str, ...], use, kind: str = "array<string>") -> list[Column]:
+    """`use` of each pattern (in its case-insensitive form) where the text can match it. low: the text folded."""
+    out = []
+    for i, p in enumerate(patterns):
+        found = use(i, f"(?iuU){p}")
+        if patterns == PATTERNS:
+            there = F.lit(True)
+            for some in NEEDED[i]:
+                there = there & reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in some))
+            found = _if(there, found, kind)
+        out.append(found)
+    return out
+
+
+def pattern_evidence(text: Column, patterns: tuple[str, ...] = PATTERNS, low: Column | None = None) -> Column:
+    """All matches, pattern by pattern, cut to 80 characters. low: `folded(text)` as a column, if there is one."""
+    each = _each(text, folded(text) if low is None else low, patterns, lambda _, p: _found(text, p))
     return F.transform(F.flatten(F.array(*each)), lambda x: F.substring(x, 1, 80))
 
 
+def pattern_spans(text: Column, patterns: tuple[str, ...] = PATTERNS, low: Column | None = None) -> Column:
+    """All matches, pattern by pattern: (pattern, start, end), in characters from 0, the end behind the match.
+
+    A match begins behind what lies between the matches before, and these."""
+    kind = "array<struct<pattern:int,start:int,end:int>>"
+
+    def spans(i: int, pattern: str) -> Column:
+        pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), _found(text, pattern).alias("match"))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.char_length(x["gap"])
+            end = start + F.char_length(x["match"])
+            return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(i).alias("pattern"), start.alias("start"), end.alias("end")))).alias("out")))
+
+        return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+
+    return F.flatten(F.array(*_each(text, folded(text) if low is None else low, patterns, spans, kind)))
+
+
 def base64_runs(text: Column, least: int = 40) -> Column:
     """Long runs of the alphabet with a + or / or padded: hexadecimal digests have neither."""
     run = f"[A-Za-z0-9+/]{{{least},}}"
-    return _if(text, run, F.filter(_found(text, run + "={0,2}"), lambda x: x.rlike(r"[+/]|=$")))
+    return _if(text.rlike(run), F.filter(_found(text, run + "={0,2}"), lambda x: x.rlike(r"[+/]|=$")))
 
 
 def homoglyph_words(text: Column) -> Column:
     """Words of Latin letters together with Cyrillic or Greek ones."""
     other = r"[\p{IsCyrillic}\p{IsGreek}]"
-    return _if(text, other, F.filter(_found(text, r"(?U)\w+"), lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(other)))
+    return _if((F.octet_length(text) > F.char_length(text)) & text.rlike(other), F.filter(_found(text, r"(?U)\w+"), lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(other)))
 
 
 def scan(docs: DataFrame, text_col: str = "text", raw_col: str | None = None, *, patterns: tuple[str, ...] = PATTERNS, enabled: bool = True, hidden_least: int = 1, base64_least: int = 40, homoglyph_least: int = 2) -> DataFrame:
@@ -67,9 +110,10 @@ def scan(docs: DataFrame, text_col: str = "text", raw_col: str | None = None, *,
     removes them; the other rules in the cleaned text. A null text is empty."""
     text = F.coalesce(text_col, F.lit(""))
     raw = F.coalesce(raw_col or text_col, F.lit(""))
-    counted = docs.withColumns({
-        "pattern_count": F.size(pattern_evidence(text, patterns)), "hidden_count": F.regexp_count(raw, F.lit(HIDDEN)),
+    hidden = F.when(F.octet_length(raw) > F.char_length(raw), F.regexp_count(raw, F.lit(HIDDEN))).otherwise(0)
+    counted = docs.withColumn("__low", folded(text)).withColumns({
+        "pattern_count": F.size(pattern_evidence(text, patterns, F.col("__low"))), "hidden_count": hidden,
         "base64_count": F.size(base64_runs(text, base64_least)), "homoglyph_count": F.size(homoglyph_words(text)),
-    })
+    }).drop("__low")
     flag = (F.col("pattern_count") >= 1) | (F.col("base64_count") >= 1) | (F.col("hidden_count") >= hidden_least) | (F.col("homoglyph_count") >= homoglyph_least)
     return counted.withColumn("injection_flag", flag & F.lit(enabled))

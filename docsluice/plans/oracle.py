@@ -350,3 +350,23 @@ ORACLE_SQL["ingest_run"] = f"""WITH {FILES}, {BLOCKS}, {SIGNATURES}, r AS ({ORAC
     SELECT f.file_id, CASE WHEN r.status = 'PROCESSING' THEN 'COMPLETED' ELSE coalesce(r.status, f.status) END AS status, r.fail_reason, coalesce(r.retry_count, f.retry_count) AS retry_count,
         CAST(CASE WHEN r.status IS DISTINCT FROM 'PROCESSING' OR coalesce(n, 0) = 0 THEN 0 WHEN n <= {WINDOW} THEN 1 ELSE ceil((n - {WINDOW}) / {STEP}.0) + 1 END AS BIGINT) AS chunks
     FROM files f LEFT JOIN r ON r.file_id = f.file_id LEFT JOIN w ON w.file_id = f.file_id"""
+
+ORACLE_SQL["golden_load"] = """SELECT CAST(item_id AS VARCHAR) AS id, 'q ' || item_id AS question, 1 AS evidences, '["created", "unchanged"]' AS outcomes FROM benchmark"""
+ORACLE_SQL["golden_faults"] = """WITH r AS (SELECT item_id AS i, item_id // 100 AS part, item_id % 19 = 1 AS broken, CASE WHEN item_id % 13 = 5 THEN 'same' END AS same,
+        CAST(count(*) OVER w + count(*) FILTER (item_id % 5 = 0) OVER w AS BIGINT) AS line FROM benchmark WINDOW w AS (PARTITION BY item_id // 100 ORDER BY item_id)),
+    f AS (SELECT first_value(line) OVER (ORDER BY CAST(part AS VARCHAR), line) AS first, i, row_number() OVER (ORDER BY CAST(part AS VARCHAR), line) AS n FROM r WHERE NOT broken AND same IS NOT NULL),
+    p AS (SELECT part, line, 'no record' AS problem FROM r WHERE broken
+        UNION ALL SELECT part, line, 'unknown field extra' FROM r WHERE NOT broken AND i % 7 = 2
+        UNION ALL SELECT part, line, 'evidence needs a page or a sheet, not both' FROM r WHERE NOT broken AND i % 11 = 3
+        UNION ALL SELECT part, line, 'unknown category' FROM r WHERE NOT broken AND i % 17 = 4
+        UNION ALL SELECT part, line, 'id of line ' || first FROM r JOIN f USING (i) WHERE n > 1)
+    SELECT part, line, problem FROM p"""
+
+
+def _spans(i: int, pattern: str) -> str:
+    p = "(?i)" + pattern.replace("'", "''")
+    return f"""SELECT doc_id AS id, {i} AS pattern, unnest(list_transform(range(1, len(m) + 1), lambda k: coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))) AS start, unnest(list_transform(m, lambda x: length(x))) AS size
+        FROM (SELECT doc_id, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m FROM documents WHERE regexp_matches(text, '{p}'))"""
+
+
+ORACLE_SQL["injection_spans"] = f"WITH s AS ({' UNION ALL '.join(_spans(i, p) for i, p in enumerate((r'licen[cs]ed?\s+[a-z]+', r'[a-z0-9.]+@[a-z0-9]+\.[a-z]+', r'all\s+rights\s+reserved')))}) SELECT id, pattern, CAST(start AS INTEGER) AS start, CAST(start + size AS INTEGER) AS \"end\" FROM s"

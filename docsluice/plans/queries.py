@@ -13,6 +13,7 @@ from docsluice.operators import clean, context, embed, evaluate, ground, ingest,
 from docsluice.operators.chunk import chunk_metrics, metadata_fill
 from docsluice.operators.postings import term_counts
 from docsluice.plans import tables as t
+from docsluice.sources.golden import golden_faults as read_faults
 from docsluice.sources.golden import load_golden, read_golden
 from docsluice.operators.snapshots import Snapshots
 from docsluice.streaming.intake import file_stream, into_store, run_available
@@ -532,6 +533,29 @@ def golden_load(spark, d):
     return stored.select("id", "question", F.size("gold_evidence").alias("evidences"), F.lit(json.dumps(done)).alias("outcomes"))
 
 
+@query
+def golden_faults(spark, d):
+    """The test items as golden sets, a file for each hundred of them, some lines of which are broken: which, and how."""
+    root = t.work_folder(spark, "faults")
+    i, text = F.col("item_id"), F.col("text")
+    evidence = F.array(F.struct(F.lit("a.txt").alias("file_name"), F.when(i % 11 != 3, 1).alias("page"), F.lit(None).cast("string").alias("sheet"), text.alias("quote")))
+    fields = {"id": F.when(i % 13 == 5, F.lit("same")).otherwise(i.cast("string")), "question": F.concat_ws(" ", F.lit("q"), i.cast("string")), "ideal_answer": F.lit(""), "category": F.when(i % 17 == 4, "odd").otherwise("single_fact"), "difficulty": F.lit(1), "gold_evidence": evidence, "doc_scope": F.lit("default"), "answerable": F.lit(True), "extra": F.when(i % 7 == 2, "x")}
+    record = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+    line = F.when(i % 19 == 1, F.concat(F.lit("not json "), i.cast("string"))).otherwise(record)
+    rows = t.table(spark, d, "benchmark").select("item_id", F.floor(i / 100).alias("part"), F.when(i % 5 == 0, F.concat(F.lit("\n"), line)).otherwise(line).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "item_id").drop("item_id").write.partitionBy("part").text(f"{root}/in")
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+    return read_faults(spark, f"{root}/in").select(part.alias("part"), "line", "problem")
+
+
+@query
+def injection_spans(spark, d):
+    """Where in the documents patterns of the caller's match: licences, addresses, rights."""
+    patterns = (r"licen[cs]ed?\s+[a-z]+", r"[a-z0-9.]+@[a-z0-9]+\.[a-z]+", r"all\s+rights\s+reserved")
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("id", F.explode(inject.pattern_spans(F.col("text"), patterns)).alias("s")).select("id", "s.*")
+
+
 @query
 def stream_intake(spark, d):
     """All documents through a file stream, each content once: held against what is stored, without state."""

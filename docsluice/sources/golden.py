@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsluice.operators.evaluate import evidence_mismatches, golden_problems
+from docsluice.functions.text import normalize
+from docsluice.operators.evaluate import evidence_mismatches, golden_rules
 from docsluice.schema import GOLDEN
 
 
@@ -16,17 +17,61 @@ class GoldenError(ValueError):
     pass
 
 
+#: Faults that an error names; `golden_faults` has all.
+NAMED = 20
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of all lines of the text files at `path`, without reading a file in one task.
+
+    A split's lines are counted in their task; the counts of a file's splits, added up in order, are where each begins."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("file").alias("its_file"), F.col("split").alias("its_split"), (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    told = lines.join(splits, (F.col("file") == F.col("its_file")) & (F.col("split") == F.col("its_split")))
+    return told.select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    return lines.select("file", "line", "value", F.from_json("value", f"{GOLDEN}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
+
+
+def golden_faults(spark: SparkSession, path: str) -> DataFrame:
+    """file, line and problem of everything that is wrong with the records of JSON-lines files; blank lines are passed over.
+
+    A line that is no record, a field that records (or their evidence) don't have, a rule that is broken, an id or a question that an
+    earlier line has (files in the order of their names): each occurrence after the first, by grouped minima."""
+    parsed = _parsed(spark, path)
+    fields = parsed.schema["r"].dataType
+    known, of_evidence = (F.array(*(F.lit(n) for n in kind.names if n != "_bad")) for kind in (fields, fields["gold_evidence"].dataType.elementType))
+    record = F.col("r._bad").isNull() & F.col("r.id").isNotNull() & F.col("r.question").isNotNull()
+    evidence = F.from_json(F.get_json_object("value", "$.gold_evidence"), "array<map<string,string>>")
+    parts = F.array_distinct(F.flatten(F.transform(F.coalesce(evidence, F.array().cast("array<map<string,string>>")), F.map_keys)))
+    strange = F.concat(F.array_except(F.json_object_keys("value"), known), F.array_except(parts, of_evidence))
+    bad = parsed.where(~F.coalesce(record, F.lit(False))).select("file", "line", F.lit("no record").alias("problem"))
+    good = parsed.where(record)
+    fields = good.select("file", "line", F.explode(strange).alias("f")).select("file", "line", F.concat(F.lit("unknown field "), F.col("f")).alias("problem"))
+    rules = golden_rules(good.select("file", "line", "r.*")).select("file", "line", "problem")
+    place = F.struct("file", "line")
+
+    def again(key: Column, what: str) -> DataFrame:
+        keyed = good.select("file", "line", key.alias("key"))
+        first = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+        late = keyed.join(first, "key").where(place > F.col("first"))
+        return late.select("file", "line", F.concat(F.lit(f"{what} of line "), F.col("first.line").cast("string")).alias("problem"))
+
+    return bad.union(fields).union(rules).union(again(F.col("r.id"), "id")).union(again(normalize(F.col("r.question")), "question"))
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON-lines file; blank lines are passed over. A line that is no record, a rule that is
-    broken or a repeated id or question is an error that names the records."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    parsed = lines.select("value", F.from_json("value", f"{GOLDEN}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
-    if bad := parsed.where("r is null or r._bad is not null or r.id is null or r.question is null").select(F.substring("value", 1, 80)).limit(5).collect():
-        raise GoldenError(f"not records: {[b[0] for b in bad]}")
-    golden = parsed.select("r.*").drop("_bad")
-    if problems := golden_problems(golden).limit(20).collect():
-        raise GoldenError("; ".join(sorted(f"{p['id']}: {p['problem']}" for p in problems)))
-    return golden
+    """Records of JSON-lines files. What `golden_faults` finds is an error that names the first lines, and how many there are."""
+    faults = golden_faults(spark, path)
+    if first := faults.orderBy("file", "line", "problem").limit(NAMED).collect():
+        told = "; ".join(f"{f['file'].rsplit('/', 1)[-1]}:{f['line']}: {f['problem']}" for f in first)
+        raise GoldenError(told + (f" (and more: {faults.count()} in all)" if len(first) == NAMED else ""))
+    return _parsed(spark, path).select("r.*").drop("_bad")
 
 
 def set_hash(golden: DataFrame) -> str:
