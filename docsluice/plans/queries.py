@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from docsluice.operators import clean, context, embed, evaluate, ground, ingest,
 from docsluice.operators.chunk import chunk_metrics, metadata_fill
 from docsluice.operators.postings import term_counts
 from docsluice.plans import tables as t
+from docsluice.sources.charset import decoded, learn_pairs, repaired
 from docsluice.sources.golden import golden_faults as read_faults
 from docsluice.sources.golden import load_golden, read_golden
 from docsluice.operators.snapshots import Snapshots
@@ -556,6 +558,39 @@ def injection_spans(spark, d):
     return docs.select("id", F.explode(inject.pattern_spans(F.col("text"), patterns)).alias("s")).select("id", "s.*")
 
 
+def _pairs(spark, d):
+    """Character pairs of the documents whose number mod 4 isn't 2."""
+    return learn_pairs(t.table(spark, d, "documents").where("doc_id % 4 <> 2"))
+
+
+@query
+def charset_detect(spark, d):
+    """Every document's text in one of seven encodings, read by the learned pairs: whether it is what it was."""
+    names = ("utf-8", "cp1252", "mac-roman", "cp850", "iso8859-2", "cp437", "utf-16")
+    encode = F.pandas_udf(lambda text, i: pd.Series([None if x is None else _encoded(x, names[n % len(names)]) for x, n in zip(text, i, strict=True)]), "binary")
+    docs = t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = docs.withColumn("back", decoded(_pairs(spark, d))(encode("text", "doc_id")))
+    return told.select("doc_id", (F.col("doc_id") % 4 == 2).alias("held_out"), (F.col("back") == F.col("text")).alias("right"))
+
+
+def _encoded(text: str, name: str) -> bytes:
+    """In this encoding, or in UTF-8 where it lacks a character."""
+    try:
+        return text.encode(name)
+    except UnicodeEncodeError:
+        return text.encode()
+
+
+@query
+def encoding_repair(spark, d):
+    """Every document's text read in a wrong code page (two thirds of them), repaired: whether it is what it was."""
+    wrong = ("cp1252", "mac-roman", "latin-1", "cp850")
+    spoil = F.pandas_udf(lambda text, i: pd.Series([x if n % 3 == 0 else x.encode().decode(wrong[n % len(wrong)], "ignore") if wrong[n % len(wrong)] != "cp1252" else x.encode("mac-roman", "ignore").decode("cp850") for x, n in zip(text, i, strict=True)]), "string")
+    docs = t.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = docs.withColumn("back", repaired(_pairs(spark, d))(spoil("text", "doc_id")))
+    return told.select("doc_id", (F.col("doc_id") % 4 == 2).alias("held_out"), (F.col("doc_id") % 3 != 0).alias("spoilt"), (F.col("back") == F.col("text")).alias("right"))
+
+
 @query
 def stream_intake(spark, d):
     """All documents through a file stream, each content once: held against what is stored, without state."""

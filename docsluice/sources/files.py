@@ -72,8 +72,9 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _NONE = {"pages": [], "sections": [], "tables": [], "figures": [], "parse_warnings": []}
 
 
-def parse_txt(content: bytes) -> dict:
-    blocks = [b.strip() for b in decode(content).replace("\r\n", "\n").split("\n\n")]
+def parse_txt(content: bytes, read: Callable[[bytes], str] = decode) -> dict:
+    """Paragraphs of a text. read: bytes to text, such as a `charset.PairModel`'s `decode`."""
+    blocks = [b.strip() for b in read(content).replace("\r\n", "\n").split("\n\n")]
     return _NONE | {"pages": [{"page_no": 1, "text_blocks": [b for b in blocks if b]}]}
 
 
