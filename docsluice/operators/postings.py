@@ -24,9 +24,11 @@ from docsluice.functions.lexical import trigrams
 from docsluice.functions.text import fold_accents, lexemes
 
 #: Chunks of a slice, text of a file, folders at most, blocks of the first look.
-SLICE_CHUNKS, FILE_BYTES, MOST_BUCKETS, FIRST_BLOCKS = 4096, 64 << 20, 1024, 64
+SLICE_CHUNKS, FILE_BYTES, MOST_BUCKETS, FIRST_BLOCKS = 2048, 64 << 20, 1024, 64
 #: Flags that tell trigrams and chunks apart without sorting them, where that many are enough.
-MOST_FLAGS = 1 << 27
+MOST_FLAGS = 1 << 26
+#: Characters of texts that are compared with a query in one step.
+STEP_CHARS = 1 << 20
 KINDS = ("words", "trigrams")
 DIRECTORY = -1
 _LISTS = "rows array<smallint>, counts array<int>, places array<array<int>>, chunk_ids array<bigint>, file_ids array<bigint>"
@@ -53,21 +55,28 @@ def _of_words(words: list[str], code: np.ndarray, row: np.ndarray, rows: int) ->
     number: dict[str, int] = {}
     own = [[number.setdefault(g, len(number)) for g in dict.fromkeys(trigrams(w))] for w in words]
     size = np.array([len(x) for x in own], np.int64)
-    flat, begin, each = np.fromiter((g for x in own for g in x), np.int64, int(size.sum())), np.cumsum(size) - size, size[code]
-    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[code], each)
-    key = flat[at] * rows + np.repeat(row, each)
+    flat, begin, each = np.fromiter((g for x in own for g in x), np.int32, int(size.sum())), np.cumsum(size) - size, size[code]
+    # the numbers from each word's first trigram on: ones, but for the step to the next word's
+    step = np.ones(int(each.sum()), np.int32)
+    ends = np.cumsum(each)
+    step[0], step[ends[:-1]] = begin[code[0]], begin[code[1:]] - begin[code[:-1]] - each[:-1] + 1
+    gram, row = flat[np.cumsum(step, dtype=np.int32)], np.repeat(row.astype(np.int32), each)
+    del step
     if len(number) * rows <= MOST_FLAGS:
         there = np.zeros(len(number) * rows, bool)
-        there[key] = True
+        gram *= rows
+        gram += row
+        there[gram] = True
         key = np.flatnonzero(there)
     else:
-        key = np.unique(key)
+        key = np.unique(gram.astype(np.int64) * rows + row)
     return list(number), key // rows, key % rows
 
 
 def _inverted(batch: pa.RecordBatch, slice_no: int, kind: str) -> pa.RecordBatch:
     """The blocks of a slice, and its directory row: chunks (chunk_id, file_id, items: their words) by ascending id."""
-    table = pa.Table.from_batches([batch]).sort_by("chunk_id").combine_chunks()
+    table = pa.Table.from_batches([batch])
+    table = table.filter(pc.greater(pc.list_value_length(table["items"]), 0)).sort_by("chunk_id").combine_chunks()
     items = table["items"].combine_chunks()
     lengths = pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = items.flatten().dictionary_encode()
@@ -110,13 +119,15 @@ def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_c
     buckets = max(16, min(MOST_BUCKETS, files))
     parts = -(-files // buckets)
     tokens = lexemes(F.coalesce("chunk_text_norm", F.lit("")))
-    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), tokens.alias("items")).where(F.size("items") > 0)
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("file_id").cast("long").alias("file_id"), tokens.alias("items"))
 
     def invert(batches):
         begin = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), slice_chunks):
-                yield _inverted(batch.slice(at, slice_chunks), begin, kind)
+                part = batch.slice(at, slice_chunks)
+                if pc.any(pc.greater(pc.list_value_length(part.column("items")), 0)).as_py():
+                    yield _inverted(part, begin, kind)
                 begin += 1
 
     blocks = rows.mapInArrow(invert, f"term string, slice bigint, n bigint, occurrences bigint, best int, {_LISTS}")
@@ -190,31 +201,46 @@ def words_apart(text: Column) -> Column:
 
 
 def most_in_a_run(asked: Sequence[str], length: int):
-    """A function of `words_apart`: the most different asked trigrams that any `length` trigrams in a row of the text have. Arrays of code
-    points tell where the asked ones are; a fold of column functions over each text's trigrams took ten times as long."""
-    codes = np.array([[ord(c) for c in g] for g in asked], np.int64).reshape(-1, 3) @ np.array([1 << 42, 1 << 21, 1], np.int64)
-    order = np.argsort(codes)
-    known = codes[order]
+    """A function of `words_apart`: the most different asked trigrams that any `length` trigrams in a row of the text have. Over arrays of
+    code points; a fold of column functions over each text's trigrams took ten times as long."""
+    known = np.sort(np.array([[ord(c) for c in g] for g in asked], np.int64).reshape(-1, 3) @ np.array([1 << 42, 1 << 21, 1], np.int64))
+
+    def of(texts: list[str]) -> np.ndarray:
+        out, ends = np.zeros(len(texts), np.int32), np.cumsum([len(t) for t in texts])
+        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if len(c) < 3 or not len(known):
+            return out
+        gram = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+        own = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        hit = np.flatnonzero(known[own] == gram)
+        text = np.searchsorted(ends, hit, "right")
+        inside = hit + 2 < ends[text]  # not from one text to the next
+        hit, text = hit[inside], text[inside]
+        blank = c == 32
+        place, own = hit - 2 * np.cumsum(blank[:-2] & blank[1:-1] & ~blank[2:])[hit], own[hit]
+        # where the same trigram comes next in its text: it counts once in a run, as its last place
+        order = np.lexsort((np.arange(len(hit)), own, text))
+        again = np.full(len(hit), len(hit))
+        same = (text[order][1:] == text[order][:-1]) & (own[order][1:] == own[order][:-1])
+        again[order[:-1][same]] = order[1:][same]
+        there, i = np.zeros(len(hit), np.int32), np.arange(len(hit))
+        for back in range(min(length, len(hit))):  # a place has one trigram, so a run has no more
+            j = i[: len(i) - back]
+            there[back:] += (text[j] == text[back:]) & (place[j] > place[back:] - length) & (again[j] > i[back:])
+        np.maximum.at(out, text, there)
+        return out
 
     @F.pandas_udf("int")
     def most(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> int:
-            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            if len(c) < 3 or not len(known):
-                return 0
-            gram = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
-            at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            hit = np.flatnonzero(known[at] == gram)
-            blank = c == 32
-            words = np.cumsum(blank[:-2] & blank[1:-1] & ~blank[2:])
-            last, best = {}, 0
-            for place, g in zip((hit - 2 * words[hit]).tolist(), at[hit].tolist(), strict=True):
-                last[g] = place
-                if len(last) > best:
-                    best = max(best, sum(p > place - length for p in last.values()))
-            return best
-
-        return texts.map(one)
+        texts, out, at = texts.tolist(), [np.zeros(0, np.int32)], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= STEP_CHARS):
+                chars += len(texts[end])
+                end += 1
+            out.append(of(texts[at:end]))
+            at = end
+        return pd.Series(np.concatenate(out))
 
     return most
 
