@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docsluice.functions.text import clean_line, normalize, repair_encoding
 
 EDGE, LONGEST, FEWEST_PAGES = 2, 200, 3
+#: Signatures that a file's metrics list.
+SIGNATURES_LISTED = 20
 
 
 def cleaned_blocks(blocks: DataFrame, repair: bool = False) -> DataFrame:
@@ -59,6 +61,12 @@ def clean_metrics(blocks: DataFrame, signatures: DataFrame) -> DataFrame:
     )
 
 
+def with_signatures(metrics: DataFrame, signatures: DataFrame, most: int = SIGNATURES_LISTED) -> DataFrame:
+    """The metrics with `header_footer_signatures`: a file's signatures in order, `most` of them at most; none is an empty list."""
+    listed = signatures.groupBy("file_id").agg(F.slice(F.sort_array(F.collect_set("norm")), 1, most).alias("header_footer_signatures"))
+    return metrics.join(listed, "file_id", "left").withColumn("header_footer_signatures", F.coalesce("header_footer_signatures", F.array().cast("array<string>")))
+
+
 def clean_flags(metrics: DataFrame) -> DataFrame:
     """hard and soft, from the rounded retention."""
     r = F.col("retention_ratio")

@@ -370,3 +370,6 @@ def _spans(i: int, pattern: str) -> str:
 
 
 ORACLE_SQL["injection_spans"] = f"WITH s AS ({' UNION ALL '.join(_spans(i, p) for i, p in enumerate((r'licen[cs]ed?\s+[a-z]+', r'[a-z0-9.]+@[a-z0-9]+\.[a-z]+', r'all\s+rights\s+reserved')))}) SELECT id, pattern, CAST(start AS INTEGER) AS start, CAST(start + size AS INTEGER) AS \"end\" FROM s"
+
+ORACLE_SQL["clean_signatures"] = f"""WITH {BLOCKS}, {SIGNATURES}, l AS (SELECT file_id, list_sort(list(norm))[1:20] AS s FROM signatures GROUP BY 1)
+    SELECT d.doc_id AS file_id, CAST(coalesce(len(s), 0) AS INTEGER) AS signatures, md5(coalesce(array_to_string(s, '|'), '')) AS signatures_md5 FROM documents d LEFT JOIN l ON l.file_id = d.doc_id"""

@@ -232,6 +232,14 @@ def clean_metrics(spark, d):
     return clean.clean_metrics(b, clean.boilerplate(b)).select("file_id", "original_chars", "cleaned_chars", "removed_chars", "blank_blocks_removed", "header_footer_removed", "retention_ratio")
 
 
+@query
+def clean_signatures(spark, d):
+    b = clean.cleaned_blocks(t.blocks(spark, d))
+    files = t.files(spark, d).select("file_id")
+    listed = clean.with_signatures(files, clean.boilerplate(b))
+    return listed.select("file_id", F.size("header_footer_signatures").alias("signatures"), F.md5(F.array_join("header_footer_signatures", "|")).alias("signatures_md5"))
+
+
 @query
 def chunk_sliding(spark, d):
     return t.chunks(spark, d).select("file_id", "chunk_index", "token_count", F.md5("chunk_text").alias("text_md5"))
