@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,14 +60,24 @@ def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def postings(spark: SparkSession, sf_dir: str, kind: str = "words") -> Postings:
-    """The stored index of all documents, written at its first use in a session."""
+def _stored(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], object], read: Callable):
+    """An index, written at its first use in a session, and again if somebody has cleared the folder."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _STORED:
-        path = f"{work_folder(spark, 'postings')}/{kind}"
-        write_postings(whole_chunks(spark, sf_dir), path, kind)
-        _STORED[key] = path
-    return open_postings(spark, _STORED[key])
+    if key in _STORED:
+        try:
+            return read(spark, _STORED[key])
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    path = f"{work_folder(spark, kind)}/index"
+    write(path)
+    _STORED[key] = path
+    return read(spark, path)
+
+
+def postings(spark: SparkSession, sf_dir: str, kind: str = "words") -> Postings:
+    """The stored index of all documents' words or trigrams."""
+    return _stored(spark, sf_dir, kind, lambda path: write_postings(whole_chunks(spark, sf_dir), path, kind), open_postings)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +85,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> Cells:
-    """The stored index of all vectors, written at its first use in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, "cells")
-    if key not in _STORED:
-        path = f"{work_folder(spark, 'cells')}/cells"
-        write_cells(vectors(spark, sf_dir), path)
-        _STORED[key] = path
-    return open_cells(spark, _STORED[key])
+    """The stored index of all vectors."""
+    return _stored(spark, sf_dir, "cells", lambda path: write_cells(vectors(spark, sf_dir), path), open_cells)
 
 
 def written(spark: SparkSession):
