@@ -31,7 +31,7 @@ MOST_FLAGS = 1 << 26
 STEP_CHARS = 1 << 20
 KINDS = ("words", "trigrams")
 DIRECTORY = -1
-_LISTS = "rows array<smallint>, counts array<int>, places array<array<int>>, chunk_ids array<bigint>, file_ids array<bigint>"
+_LISTS = "rows array<smallint>, counts array<int>, place_rows array<smallint>, places array<int>, chunk_ids array<bigint>, file_ids array<bigint>"
 BLOCKS = f"term string, folded string, slice bigint, n bigint, occurrences bigint, best int, {_LISTS}, bucket int"
 
 
@@ -47,7 +47,7 @@ def _in_bucket(folded: Column, buckets: int) -> Column:
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """Consecutive parts of an array as lists."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind))
 
 
 def _of_words(words: list[str], code: np.ndarray, row: np.ndarray, rows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -85,21 +85,22 @@ def _inverted(batch: pa.RecordBatch, slice_no: int, kind: str) -> pa.RecordBatch
     code, row = code[order], row[order]
     begin = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])  # of each posting
     counts = np.diff(np.r_[begin, len(code)])
-    place = (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+    place_rows, place = row, (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
     code, row = code[begin], row[begin]
     if kind == "trigrams":
         words, code, row = _of_words(terms.to_pylist(), code, row, len(lengths))
         terms, counts = pa.array(words, pa.string()), np.ones(len(code), np.int64)
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])  # of each term
     ends, n = np.r_[first[1:], len(code)], len(first)
-    lists = [_lists(row.astype(np.int16), ends, pa.int16()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.list_(pa.int32())))]
+    lists = [_lists(row.astype(np.int16), ends, pa.int16()), *(pa.nulls(n, pa.list_(x)) for x in (pa.int32(), pa.int16(), pa.int32()))]
     if kind == "words":
-        lists[1:] = [_lists(counts.astype(np.int32), ends, pa.int32()), _lists(_lists(place.astype(np.int32), np.cumsum(counts), pa.int32()), ends, pa.list_(pa.int32()))]
+        last = np.cumsum(counts)[ends - 1]
+        lists[1:] = [_lists(counts.astype(np.int32), ends, pa.int32()), _lists(place_rows.astype(np.int16), last, pa.int16()), _lists(place.astype(np.int32), last, pa.int32())]
     ids = [_lists(table[c].to_numpy(), np.array([len(table)]), pa.int64()) for c in ("chunk_id", "file_id")]
     numbers = [np.full(n, slice_no), ends - first, np.add.reduceat(counts, first), np.maximum.reduceat(counts, first).astype(np.int32)]
     blocks = [terms.take(pa.array(code[first])).cast(pa.string()), *map(pa.array, numbers), *lists, *(pa.nulls(n, x.type) for x in ids)]
-    directory = [pa.nulls(1, pa.string()), pa.array([slice_no], pa.int64()), *(pa.nulls(1, x.type) for x in blocks[2:8]), *ids]
-    names = ["term", "slice", "n", "occurrences", "best", "rows", "counts", "places", "chunk_ids", "file_ids"]
+    directory = [pa.nulls(1, pa.string()), pa.array([slice_no], pa.int64()), *(pa.nulls(1, x.type) for x in blocks[2:9]), *ids]
+    names = ["term", "slice", "n", "occurrences", "best", "rows", "counts", "place_rows", "places", "chunk_ids", "file_ids"]
     return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(blocks, directory, strict=True)], names)
 
 
@@ -154,14 +155,29 @@ def blocks_of(index: Postings, terms: Sequence[str], accents: bool = True) -> Da
     return found.withColumn("asked", F.array_position(F.array(*map(F.lit, terms)), F.col(key)).cast("int") - 1)
 
 
-def postings_of(index: Postings, blocks: DataFrame, *lists: str) -> DataFrame:
-    """A row for each posting of the blocks: asked, chunk_id, file_id, and the lists named (counts, places). The ids are looked up
-    in the slices' directory, whose rows are joined to blocks, not to postings."""
-    named = index.blocks.where(F.col("bucket") == DIRECTORY).select("slice", F.col("chunk_ids").alias("c"), F.col("file_ids").alias("f"))
-    met = blocks.select("asked", "slice", "rows", *lists).join(named, "slice")
+def _directory(index: Postings) -> DataFrame:
+    return index.blocks.where(F.col("bucket") == DIRECTORY).select("slice", F.col("chunk_ids").alias("__c"), F.col("file_ids").alias("__f"))
+
+
+def _ids(rows: DataFrame, index: Postings) -> DataFrame:
+    """Rows of (slice, row, ...) with chunk_id and file_id instead."""
+    met = rows.join(_directory(index), "slice")
+    return met.select(F.get("__c", F.col("row").cast("int")).alias("chunk_id"), F.get("__f", F.col("row").cast("int")).alias("file_id"), *(c for c in rows.columns if c not in ("slice", "row")))
+
+
+def counted(index: Postings, blocks: DataFrame) -> DataFrame:
+    """A row for each posting of the blocks: asked, chunk_id, file_id, count. The directory's rows are joined to blocks, not to postings."""
+    met = blocks.select("asked", "slice", "rows", "counts").join(_directory(index), "slice")
     of = lambda ids: F.transform("rows", lambda r: F.get(F.col(ids), r.cast("int")))
-    rows = met.select("asked", F.explode(F.arrays_zip(of("c").alias("chunk_id"), of("f").alias("file_id"), *lists)).alias("p"))
-    return rows.select("asked", "p.chunk_id", "p.file_id", *(F.col("p")[c].alias(c.removesuffix("s")) for c in lists))
+    rows = met.select("asked", F.explode(F.arrays_zip(of("__c").alias("chunk_id"), of("__f").alias("file_id"), F.col("counts").alias("count"))).alias("p"))
+    return rows.select("asked", "p.*")
+
+
+def in_order(index: Postings, blocks: DataFrame, terms: int) -> DataFrame:
+    """A row for each chunk that has so many terms: chunk_id, file_id, and the terms' places in order (`at`: place, asked)."""
+    rows = blocks.select("asked", "slice", F.explode(F.arrays_zip("place_rows", "places")).alias("p")).select("slice", F.col("p.place_rows").alias("row"), F.struct(F.col("p.places").alias("place"), "asked").alias("x"))
+    met = rows.groupBy("slice", "row").agg(F.sort_array(F.collect_list("x")).alias("at")).where(F.size(F.array_distinct(F.col("at")["asked"])) == terms)
+    return _ids(met, index)
 
 
 def term_counts(index: Postings) -> DataFrame:
@@ -169,13 +185,6 @@ def term_counts(index: Postings) -> DataFrame:
     return index.blocks.where(F.col("bucket") != DIRECTORY).groupBy("term").agg(F.sum("n").alias("chunks"), F.sum("occurrences").alias("occurrences"))
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """A row for each chunk: its asked terms' places in order (`at`: place, asked), and how many terms it has."""
-    placed = F.transform("place", lambda p: F.struct(p.alias("place"), F.col("asked").alias("asked")))
-    rows = rows.select("chunk_id", "file_id", "asked", placed.alias("at"))
-    return rows.groupBy("chunk_id", "file_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"), F.count_distinct("asked").alias("terms"))
-
-
 def _last(acc: Column, x: Column) -> Column:
     return F.transform(acc["last"], lambda v, i: F.when(i == x["asked"], x["place"]).otherwise(v))
 
@@ -285,9 +294,8 @@ def top_by_words(index: Postings, words: Sequence[str], seen: Seen, k: int, acce
     def hits(where: Column, slices: DataFrame | None) -> DataFrame:
         near = blocks.where(where) if slices is None else blocks.join(slices.select("slice"), "slice", "left_semi")
         if m > 1:
-            rows = _in_order(postings_of(index, near, "places")).where(F.col("terms") == m)
-            return rows.select("chunk_id", "file_id", cover_score(F.col("at"), m).alias("score"))
-        rows = postings_of(index, near, "counts")
+            return in_order(index, near, m).select("chunk_id", "file_id", cover_score(F.col("at"), m).alias("score"))
+        rows = counted(index, near)
         if not accents:  # several terms fold to the word
             rows = rows.groupBy("chunk_id", "file_id").agg(F.sum("count").alias("count"))
         return rows.select("chunk_id", "file_id", (F.col("count") * 0.1).alias("score"))
@@ -305,10 +313,8 @@ def top_by_trigrams(index: Postings, chunks: DataFrame, query: str, seen: Seen,
     if not asked:
         return []
     n, blocks = len(asked), blocks_of(index, asked)
-    named = index.blocks.where(F.col("bucket") == DIRECTORY).select("slice", "chunk_ids", "file_ids")
     able = blocks.select("slice", F.explode("rows").alias("row")).groupBy("slice", "row").agg((F.count("*") / n).alias("most")).where(F.col("most") >= least)
-    able = able.join(named, "slice").select(*(F.get(c, F.col("row").cast("int")).alias(c.removesuffix("s")) for c in ("chunk_ids", "file_ids")), "most")
-    able = seen(able).select("chunk_id", "most")
+    able = seen(_ids(able, index)).select("chunk_id", "most")
 
     most = most_in_a_run(asked, n)
 
