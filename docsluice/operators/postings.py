@@ -97,10 +97,9 @@ def _inverted(batch: pa.RecordBatch, slice_no: int, kind: str) -> pa.RecordBatch
         last = np.cumsum(counts)[ends - 1]
         lists[1:] = [_lists(counts.astype(np.int32), ends, pa.int32()), _lists(place_rows.astype(np.int16), last, pa.int16()), _lists(place.astype(np.int32), last, pa.int32())]
     ids = [_lists(table[c].to_numpy(), np.array([len(table)]), pa.int64()) for c in ("chunk_id", "file_id")]
-    numbers = [np.full(n, slice_no), ends - first, np.add.reduceat(counts, first), np.maximum.reduceat(counts, first).astype(np.int32)]
-    blocks = [terms.take(pa.array(code[first])).cast(pa.string()), *map(pa.array, numbers), *lists, *(pa.nulls(n, x.type) for x in ids)]
-    directory = [pa.nulls(1, pa.string()), pa.array([slice_no], pa.int64()), *(pa.nulls(1, x.type) for x in blocks[2:9]), *ids]
-    names = ["term", "slice", "n", "occurrences", "best", "rows", "counts", "place_rows", "places", "chunk_ids", "file_ids"]
+    blocks = [terms.take(pa.array(code[first])).cast(pa.string()), pa.array(np.full(n, slice_no)), *lists, *(pa.nulls(n, x.type) for x in ids)]
+    directory = [pa.nulls(1, pa.string()), pa.array([slice_no], pa.int64()), *(pa.nulls(1, x.type) for x in blocks[2:6]), *ids]
+    names = ["term", "slice", "rows", "counts", "place_rows", "places", "chunk_ids", "file_ids"]
     return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(blocks, directory, strict=True)], names)
 
 
@@ -131,10 +130,15 @@ def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_c
                     yield _inverted(part, begin, kind)
                 begin += 1
 
-    blocks = rows.mapInArrow(invert, f"term string, slice bigint, n bigint, occurrences bigint, best int, {_LISTS}")
-    blocks = blocks.withColumn("folded", fold_accents(F.col("term")))
-    blocks = blocks.withColumns({"bucket": F.when(F.col("term").isNull(), DIRECTORY).otherwise(_in_bucket(F.col("folded"), buckets)), "part": F.pmod(F.col("slice"), F.lit(parts)).cast("int")})
-    blocks = blocks.repartition(buckets * parts, "bucket", "part").sortWithinPartitions("bucket", "folded", "term", F.desc("best"), "slice").drop("part")
+    blocks = rows.mapInArrow(invert, f"term string, slice bigint, {_LISTS}")
+    # most terms are rare, so a block is a short row: what follows from its lists is added behind the exchange
+    bucket = F.when(F.col("term").isNull(), DIRECTORY).otherwise(_in_bucket(fold_accents(F.col("term")), buckets))
+    blocks = blocks.repartition(buckets * parts, bucket, F.pmod(F.col("slice"), F.lit(parts)))
+    n = F.size("rows").cast("long")
+    blocks = blocks.select(
+        "term", fold_accents(F.col("term")).alias("folded"), "slice", n.alias("n"), F.coalesce(F.size("places").cast("long"), n).alias("occurrences"), F.when(F.col("rows").isNotNull(), F.coalesce(F.array_max("counts"), F.lit(1))).alias("best"),
+        "rows", "counts", "place_rows", "places", "chunk_ids", "file_ids", bucket.alias("bucket"),
+    ).sortWithinPartitions("bucket", "folded", "term", F.desc("best"), "slice")
     writer = blocks.write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
     writer.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(json.dumps({"buckets": buckets, "kind": kind}),)], "value string").coalesce(1).write.text(f"{path}/meta")
