@@ -25,6 +25,8 @@ from docsluice.functions.text import fold_accents, lexemes
 
 #: Chunks of a slice, text of a file, folders at most, blocks of the first look.
 SLICE_CHUNKS, FILE_BYTES, MOST_BUCKETS, FIRST_BLOCKS = 2048, 64 << 20, 1024, 64
+#: Occurrences of a block from which it is one of a frequent term, and the tasks at least (if there are so many) that share those of a bucket.
+HEAVY, LEAST_SPREAD = 2048, 16
 #: Flags that tell trigrams and chunks apart without sorting them, where that many are enough.
 MOST_FLAGS = 1 << 26
 #: Characters of texts that are compared with a query in one step.
@@ -45,6 +47,18 @@ def _in_bucket(folded: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(folded), F.lit(buckets)).cast("int")
 
 
+def _writer(bucket: Column, buckets: int, parts: int) -> Column:
+    """The number of the task, of buckets * parts, that writes a block. A bucket has `parts` tasks of its own, which no hash deals
+    to one another's; blocks of frequent terms, of which a bucket may have any amount, go to more of them by a hash of the
+    slice, and the directory's rows to all."""
+    tasks = buckets * parts
+    spread = max(min(tasks, LEAST_SPREAD), -int(-(tasks**0.5) // 1))
+    by_slice = lambda n: F.pmod(F.xxhash64("slice"), F.lit(n)).cast("int")
+    heavy = F.coalesce(F.size("places"), F.size("rows")) >= HEAVY
+    within = F.when(heavy, by_slice(spread)).otherwise(by_slice(parts))
+    return F.when(bucket == DIRECTORY, by_slice(tasks)).otherwise(F.pmod(bucket * parts + within, F.lit(tasks))).cast("int")
+
+
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """Consecutive parts of an array as lists."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind))
@@ -108,9 +122,8 @@ def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_c
     again: read from files, or written first.
 
     Terms are words (`lexemes`), with their places from 0, or their trigrams, without (a chunk has nearly as many as
-    letters). A task inverts the chunks of one slice at a time, as arrays; one exchange is all, and its rows are whole blocks: they go
-    to (bucket of the term, slice modulo the files of a bucket), which splits a term of any frequency evenly. Null and empty texts have no postings. `best` is the largest
-    count of a block."""
+    letters). A task inverts the chunks of one slice at a time, as arrays; one exchange is all, and its rows are whole blocks, dealt by
+    `_writer`. Null and empty texts have no postings. `best` is the largest count of a block."""
     if kind not in KINDS:
         raise ValueError(f"no such kind: {kind}")
     spark = chunks.sparkSession
@@ -133,7 +146,7 @@ def write_postings(chunks: DataFrame, path: str, kind: str = "words", *, slice_c
     blocks = rows.mapInArrow(invert, f"term string, slice bigint, {_LISTS}")
     # most terms are rare, so a block is a short row: what follows from its lists is added behind the exchange
     bucket = F.when(F.col("term").isNull(), DIRECTORY).otherwise(_in_bucket(fold_accents(F.col("term")), buckets))
-    blocks = blocks.repartition(buckets * parts, bucket, F.pmod(F.col("slice"), F.lit(parts)))
+    blocks = blocks.repartitionById(buckets * parts, _writer(bucket, buckets, parts))
     n = F.size("rows").cast("long")
     blocks = blocks.select(
         "term", fold_accents(F.col("term")).alias("folded"), "slice", n.alias("n"), F.coalesce(F.size("places").cast("long"), n).alias("occurrences"), F.when(F.col("rows").isNotNull(), F.coalesce(F.array_max("counts"), F.lit(1))).alias("best"),
