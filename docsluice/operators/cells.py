@@ -26,6 +26,8 @@ FIT_ROWS, MOST_CELLS, PART_ROWS = 64, 4096, 20_000
 #: Cells that an exact search reads first. The quick search's number is measured when the index is written: so many
 #: that `RECALL` of the `TRIED_BEST` nearest rows of at most `TRIED` sampled rows are in them.
 PROBES, RECALL, TRIED, TRIED_BEST = 4, 0.95, 128, 10
+#: Distances of rows to centres that a task works out in one step, and rows of (query, cell) that it hands on at once.
+STEP_DISTANCES, STEP_ROUTES = 1 << 20, 4096
 #: Distances are sums of rounded numbers.
 SLACK = 1e-5
 #: The cell of rows without a direction (near 0, null or non-finite numbers, another length): read by every search.
@@ -72,8 +74,7 @@ def write_cells(vectors: DataFrame, path: str, *, cells: int | None = None, fit_
             ok = u.is_valid().to_numpy(zero_copy_only=False)
             if ok.any():
                 x = u.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(ok.sum()), -1)
-                squares = (x * x).sum(1)[:, None] - 2 * x @ at.T + (at * at).sum(1)
-                best = squares.argmin(1)
+                best = _nearest(x, at)
                 cell[ok], far[ok] = best, np.sqrt(((x - at[best]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("embedding"), u, pa.array(cell), pa.array(far, mask=~ok)], ["chunk_id", "embedding", "u", "cell", "far"])
 
@@ -91,6 +92,12 @@ def write_cells(vectors: DataFrame, path: str, *, cells: int | None = None, fit_
     return open_cells(spark, path)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Each row's nearest centre, for as many rows at once as `STEP_DISTANCES` allows."""
+    sizes, step = (centres * centres).sum(1), max(1, STEP_DISTANCES // len(centres))
+    return np.concatenate([((y * y).sum(1)[:, None] - 2 * y @ centres.T + sizes).argmin(1) for y in (x[a : a + step] for a in range(0, len(x), step))])
+
+
 def _probes_for(recall: float, rows: DataFrame, tried: np.ndarray, centres: np.ndarray) -> int:
     """The least number of nearest cells that hold this share of the nearest rows of the tried ones, which a scan of
     all rows finds; each task keeps the best few of each."""
@@ -113,7 +120,7 @@ def _probes_for(recall: float, rows: DataFrame, tried: np.ndarray, centres: np.n
     found = rows.select("u", "cell").mapInArrow(best, "i long, s double, cell int")
     place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s")))
     found = found.withColumn("place", place).where(F.col("place").between(2, TRIED_BEST + 1)).select("i", "cell").collect()  # the first is the row itself
-    order = np.argsort(((centres[None] - tried[:, None]) ** 2).sum(2), axis=1, kind="stable")
+    order = [np.argsort(((centres - t) ** 2).sum(1), kind="stable") for t in tried]
     needed = np.sort([int(np.flatnonzero(order[r["i"]] == r["cell"])[0]) + 1 for r in found])
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
 
@@ -198,22 +205,33 @@ def top_of_many(index: Cells, queries: DataFrame, allowed: DataFrame | None, k:
 
         def route(batches):
             for batch in batches:
-                out: list[tuple] = []
                 floors = batch.column("floor").to_pylist() if again else [None] * len(batch)
-                for i, (v, floor) in enumerate(zip(batch.column("vector").to_pylist(), floors, strict=True)):
-                    q = np.array([np.nan if x is None else x for x in v or []], float)
+                sent, cells, held = [], [], 0
+
+                def handed():
+                    n = [len(c) for c in cells]
+                    all_cells, take = pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.repeat(sent, n))
+                    for a in range(0, len(take), STEP_ROUTES):  # a vector is repeated for each of its cells, so not for all at once
+                        t = take[a : a + STEP_ROUTES]
+                        yield pa.RecordBatch.from_arrays([batch.column("query_id").take(t), batch.column("vector").take(t), all_cells[a : a + STEP_ROUTES]], ["query_id", "vector", "cell"])
+
+                for i, (v, floor) in enumerate(zip(batch.column("vector"), floors, strict=True)):
+                    q = np.array([np.nan if x is None else x for x in v.as_py() or []], float)
                     size = float(np.sqrt((q * q).sum())) if len(q) else 0.0
                     if len(q) != dims or not np.isfinite(size) or size < 1e-6 or not len(at.cell):
-                        out += [] if again else [(i, c) for c in every]
-                        continue
-                    d = np.sqrt(((at.centre - q / size) ** 2).sum(1))
-                    near = np.argsort(d, kind="stable")[:probes]
-                    if not again:
-                        out += [(i, int(c)) for c in at.cell[near]] + [(i, ODD)] * at.odd
-                        continue
-                    out += [(i, int(at.cell[j])) for j in np.setdiff1d(able_cells(at, d, _reach(floor)), near)]
-                take = pa.array([i for i, _ in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("vector").take(take), pa.array([c for _, c in out], pa.int32())], ["query_id", "vector", "cell"])
+                        to = [] if again else every
+                    else:
+                        d = np.sqrt(((at.centre - q / size) ** 2).sum(1))
+                        near = np.argsort(d, kind="stable")[:probes]
+                        to = at.cell[np.setdiff1d(able_cells(at, d, _reach(floor)), near)] if again else [*at.cell[near], *[ODD] * at.odd]
+                    sent.append(i)
+                    cells.append(np.asarray(to, np.int64))
+                    held += len(to)
+                    if held >= STEP_ROUTES:
+                        yield from handed()
+                        sent, cells, held = [], [], 0
+                if sent:
+                    yield from handed()
 
         return asked.mapInArrow(route, "query_id long, vector array<double>, cell int")
 

@@ -30,6 +30,8 @@ STRATEGIES = ("rrf", "weighted")
 LEAST_WORD_SIMILARITY = 0.2
 #: Rows of an index shard, queries of a lot, and queries that are scored in one step.
 SHARD_ROWS, LOT_ROWS, STEP_QUERIES = 20_000, 2_000, 32
+#: More than two ways of adding up a cosine of plain numbers differ by.
+ROUGH = 1e-9
 
 
 def effective_top_k(top_k: int | None, default: int = DEFAULT_TOP_K, most: int = MAX_TOP_K) -> int:
@@ -206,20 +208,32 @@ def _batch_best(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     rows, sizes, norms = _vectors(index["embedding"], width)
     queries, query_sizes, query_norms = _vectors(asked["vector"], width)
     at, of, scores, known = [], [], [], []
+    # rows and queries whose components are plain numbers of one length are compared by a product of matrices first, which tells
+    # those that can be among the best; only they are added up in order
+    whole = (sizes == width) & np.isfinite(norms) & (norms >= 1e-6) & (norms < 1e150)
+    plain, rest = np.flatnonzero(whole), np.flatnonzero(~whole)
+    units = rows[plain] / norms[plain, None]
     for a in range(0, len(queries), STEP_QUERIES):
         q, q_sizes, q_norms = queries[a : a + STEP_QUERIES], query_sizes[a : a + STEP_QUERIES], query_norms[a : a + STEP_QUERIES]
-        dots = np.zeros((len(q), len(rows)))
-        for d in range(width):
-            dots += np.outer(q[:, d], rows[:, d])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            dots /= q_norms[:, None] * norms
-        short = ((q_norms < 1e-6) & (q_sizes >= 0))[:, None] | ((norms < 1e-6) & (sizes >= 0))
-        dots[short] = 0.0
-        sure = short | (q_sizes[:, None] == sizes) & (sizes >= 0)
-        for i, (score, ok) in enumerate(zip(dots, sure, strict=True)):
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            rough = (q / q_norms[:, None]) @ units.T
+        for i in range(len(q)):
+            able = None
+            if len(plain) > k and q_sizes[i] == width and 1e-6 <= q_norms[i] < 1e150:
+                floor = np.partition(rough[i], len(plain) - k)[len(plain) - k] - ROUGH
+                able = np.sort(np.concatenate((plain[rough[i] >= floor], rest)))
+            these, own, own_norms = (rows, sizes, norms) if able is None else (rows[able], sizes[able], norms[able])
+            score = np.zeros(len(these))
+            for d in range(width):
+                score += q[i, d] * these[:, d]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score /= q_norms[i] * own_norms
+            short = ((q_norms[i] < 1e-6) & (q_sizes[i] >= 0)) | ((own_norms < 1e-6) & (own >= 0))
+            score[short] = 0.0
+            ok = short | (q_sizes[i] == own) & (own >= 0)
             odd = np.isnan(score)
             best = np.lexsort((np.where(odd | ~ok, 0, -score), np.where(ok, ~odd, 2)))[:k]
-            at.append(best)
+            at.append(best if able is None else able[best])
             of.append(np.full(len(best), a + i))
             scores.append(score[best])
             known.append(ok[best])
