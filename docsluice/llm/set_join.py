@@ -290,7 +290,8 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_kept = f"id_{uuid.uuid4().hex}"  # no column of the input has this name
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(of_kept)).distinct()
     number = named(id_col).try_cast("long")
-    stay = docs.join(kept, number == F.col(of_kept), "left_semi")
+    # ids by the million must not meet in the driver, so they are never broadcast, however few they seem
+    stay = docs.join(kept.hint("merge"), number == F.col(of_kept), "left_semi")
     if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         stay = stay.dropDuplicates([id_col, text_col])
     return stay.union(docs.where(number.isNull()))
