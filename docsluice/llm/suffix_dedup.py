@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from docsluice.llm.blocks import ANSWER, DOWN, SENT, UP, Keyed, bucket_bits, by_block, mix, on_blocks, pack_ints, payloads_by, summed, table_of, unpack_ints, write_blocks
+from docsluice.llm.blocks import ANSWER, DOWN, SENT, UP, Keyed, bucket_bits, by_block, mix, on_blocks, pack_ints, payloads_by, sorted_order, summed, table_of, unpack_ints, write_blocks
 from docsluice.llm.common import Scratch, named, text_bytes
 
 GRAM = 64
@@ -51,17 +51,11 @@ def prefix_ranks(data: np.ndarray, most: int, keep: bool = True) -> list[tuple[i
     """Ranks of all suffixes by their first 8, 16, ... bytes, up to at least `most` bytes or until all differ;
     past the end counts as before everything. Without `keep` only the last ranks are returned."""
     n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    symbols = np.append(data.astype(np.uint64) + np.uint64(1), np.zeros(3, np.uint64))  # a zero byte and the end differ
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | padded[i : n + i].astype(np.uint64)
-    # a zero byte and the end differ
-    left = np.minimum(np.arange(n, 0, -1), 8)
-    order = np.lexsort((left, key))
-    new = np.ones(n, bool)
-    new[1:] = (np.diff(key[order]) != 0) | (np.diff(left[order]) != 0)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
+    for i in range(4):  # with a place in the order, these fit into 64 bits
+        key = key << np.uint64(9) | symbols[i : n + i]
+    rank = _paired(_ranked(key), 4)
     out, length = [(8, rank)], 8
     while length < most and n and rank.max() < n:
         rank = _paired(rank, length)
@@ -70,12 +64,21 @@ def prefix_ranks(data: np.ndarray, most: int, keep: bool = True) -> list[tuple[i
     return out
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Each key's rank among the distinct ones, from 1."""
+    order = sorted_order(keys)
+    ascending = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.append(True, ascending[1:] != ascending[:-1])[: len(keys)])
+    return rank
+
+
 def _paired(rank: np.ndarray, step: int) -> np.ndarray:
     """Ranks by twice the length: by the rank here, then by the rank `step` on."""
     n = len(rank)
-    after = np.zeros(n, np.int64)
-    after[: max(n - step, 0)] = rank[step:]
-    return np.unique(rank * (n + 1) + after, return_inverse=True)[1] + 1
+    pair = rank * (n + 1)
+    pair[: max(n - step, 0)] += rank[step:]
+    return _ranked(pair.view(np.uint64))
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -156,7 +159,7 @@ def factors_at(data: np.ndarray, starts: np.ndarray, room: np.ndarray, lengths:
     """Longest previous factors, and longest factors anywhere else, among `starts` (ascending) alone and rounded
     down to one of `lengths` (ascending) or 0. room: a factor at a start has so many bytes at most."""
     ranks = _ranks_at(data, lengths)
-    order = np.argsort(ranks[-1][starts], kind="stable")
+    order = sorted_order(ranks[-1][starts].view(np.uint64))
     places = starts[order].astype(np.int64)
     common = np.zeros(len(starts), np.int64)
     for length, rank in zip(lengths, ranks, strict=True):
@@ -419,12 +422,12 @@ class _Settling:
                 groups.setdefault(k, {}).setdefault((o, text, windows), []).append((first, grp, number, count))
         out: dict[int, list[tuple]] = {}
 
-        def tell(found: list, text: bytes, windows: int, factor: np.ndarray | None) -> None:
+        def tell(found: list, text: bytes, windows: int, runs_of: list[list]) -> None:
             many = sum(x[3] for x in found) > 1
             owner = min(found)
             for i, length in enumerate(self.lengths):
                 whole = [(0, min(windows - 1, len(text) - length))] if len(text) >= length else []
-                runs = [] if factor is None else _runs(factor >= length)
+                runs = runs_of[i]
                 for entry in found:
                     _, grp, number, _ = entry
                     if self.keep_first and entry is owner:
@@ -433,14 +436,14 @@ class _Settling:
                         told = [(0, whole if many else runs)]
                     out.setdefault(grp, []).extend((number, i, scope, a, b) for scope, them in told for a, b in them)
 
-        several = []
+        several, none = [], [[] for _ in self.lengths]
         for texts_of in groups.values():
             if len(texts_of) > 1:
                 several += texts_of.items()
             else:
                 (((_, text, windows), found),) = texts_of.items()
                 if sum(x[3] for x in found) > 1:
-                    tell(found, text, windows, None)
+                    tell(found, text, windows, none)
         for some in _parts(several, PIECE):
             some.sort(key=lambda x: (min(x[1]), x[0]))  # documents in order
             texts, counts = [x[1] for x, _ in some], np.array([x[2] for x, _ in some])
@@ -450,10 +453,10 @@ class _Settling:
                 sizes = np.array([len(t) + 1 for t in texts])
                 starts = _places(sizes, counts)
                 earlier, other = factors_at(np.frombuffer(_BREAK.join(texts) + _BREAK, np.uint8), starts, np.repeat(np.cumsum(sizes) - 1, counts) - starts, self.lengths)
-            at = 0
-            for ((_, text, _), found), n in zip(some, counts.tolist(), strict=True):
-                tell(found, text, n, (earlier if self.keep_first else other)[at : at + n])
-                at += n
+            factors, edges = earlier if self.keep_first else other, np.append(0, np.cumsum(counts))
+            runs_of = zip(*(_runs(factors >= length, edges) for length in self.lengths), strict=True)
+            for ((_, text, windows), found), runs in zip(some, runs_of, strict=True):
+                tell(found, text, windows, runs)
         inner = struct.pack("<q", bucket & (1 << self.keyed.inner_bits) - 1)
         return table_of(DOWN, [(part, grp, inner + b"".join(pack_ints(np.array(c, np.uint64)) for c in zip(*told, strict=True))) for grp, told in out.items() if told])
 
@@ -483,10 +486,17 @@ class _Settling:
         return table_of(ANSWER, [(block, b"".join(pack_ints(np.array(x, np.uint64)) for pair in runs for x in pair)) for block, runs in out.items()])
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and last place of each run of true ones."""
-    marks = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
-    return list(zip(np.flatnonzero(marks == 1).tolist(), (np.flatnonzero(marks == -1) - 1).tolist(), strict=True))
+def _runs(flags: np.ndarray, edges: np.ndarray) -> list[list[tuple[int, int]]]:
+    """First and last place of each run of true ones, in each part between the edges (none empty)."""
+    begin, end = flags.copy(), flags.copy()
+    begin[1:] &= ~flags[:-1]
+    end[:-1] &= ~flags[1:]
+    begin[edges[:-1]], end[edges[1:] - 1] = flags[edges[:-1]], flags[edges[1:] - 1]
+    first, last = np.flatnonzero(begin), np.flatnonzero(end)
+    part = np.searchsorted(edges, first, "right") - 1
+    runs = list(zip((first - edges[part]).tolist(), (last - edges[part]).tolist(), strict=True))
+    cuts = np.searchsorted(part, np.arange(len(edges))).tolist()
+    return [runs[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _parts(items: list, most: int) -> list[list]:
