@@ -61,7 +61,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(F.coalesce(text, F.lit(""))))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
 
 
 def lexemes(text: Column) -> Column:

@@ -46,22 +46,23 @@ def _added(lengths: Column) -> Column:
 def windows_of(segments: DataFrame, most: int, overlap: int, least: int) -> DataFrame:
     """segments: file_id, seg_no, seg_start, text and any labels. One row per window: text, tokens, offsets.
 
-    A segment stays one row: its tokens, each with the white space before it, are an array. An offset is the
-    length of all full steps of `OFFSET_STEP` tokens before it and of the tokens of its own step."""
+    A segment stays one row: its tokens, each with the white space before it, are an array. A window that is the whole
+    segment begins where that does; else its offset is the length of all full steps of `OFFSET_STEP` tokens before it and of
+    the tokens before it of its own step."""
 
-    def of_tokens(tokens: Column) -> Column:
+    def window(tokens: Column, a: Column, b: Column, at: Column) -> Column:
+        first = F.get(tokens, a)
+        gap = F.length(first) - F.length(F.regexp_replace(first, r"(?U)^\s+", ""))
+        text = F.array_join(F.slice(tokens, a + 1, b - a), "")
+        return F.struct(F.substring(text, gap + 1, F.length(text)).alias("chunk_text"), (b - a).cast(_I).alias("token_count"), (at + gap).alias("a"), (at + F.length(text)).alias("b"))
+
+    def several(tokens: Column) -> Column:
         def of_steps(lengths: Column, sums: Column) -> Column:
             def before(i: Column) -> Column:
                 full = F.floor(i / OFFSET_STEP).cast(_I)
                 return F.get(sums, full) + _added(F.slice(lengths, full * OFFSET_STEP + 1, i - full * OFFSET_STEP))
 
-            def window(w: Column) -> Column:
-                first = F.get(tokens, w["a"])
-                gap = F.length(first) - F.length(F.regexp_replace(first, r"(?U)^\s+", ""))
-                text = F.array_join(F.slice(tokens, w["a"] + 1, w["b"] - w["a"]), "")
-                return F.struct(F.substring(text, gap + 1, F.length(text)).alias("chunk_text"), (w["b"] - w["a"]).cast(_I).alias("token_count"), (before(w["a"]) + gap).alias("a"), before(w["b"]).alias("b"))
-
-            return F.transform(window_ranges(F.size(tokens), most, overlap, least), window)
+            return F.transform(window_ranges(F.size(tokens), most, overlap, least), lambda w: _bound(before(w["a"]), lambda at: window(tokens, w["a"], w["b"], at)))
 
         def summed(lengths: Column) -> Column:
             steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / OFFSET_STEP).cast(_I)), lambda g: _added(F.slice(lengths, g * OFFSET_STEP + 1, F.lit(OFFSET_STEP))))
@@ -70,6 +71,10 @@ def windows_of(segments: DataFrame, most: int, overlap: int, least: int) -> Data
 
         return _bound(F.transform(tokens, F.length), summed)
 
+    def of_tokens(tokens: Column) -> Column:
+        whole = window(tokens, F.lit(0), F.size(tokens), F.lit(0))
+        return F.when((F.size(tokens) > 0) & (F.size(tokens) <= most), F.array(whole)).otherwise(several(tokens))
+
     windows = _bound(F.regexp_extract_all("text", F.lit(r"((?U)\s*\S+)"), F.lit(1)), of_tokens)
     each = segments.withColumn("__w", F.explode(windows))
     return (
