@@ -26,8 +26,10 @@ FIT_ROWS, MOST_CELLS, PART_ROWS = 64, 4096, 20_000
 #: Cells that an exact search reads first. The quick search's number is measured when the index is written: so many
 #: that `RECALL` of the `TRIED_BEST` nearest rows of at most `TRIED` sampled rows are in them.
 PROBES, RECALL, TRIED, TRIED_BEST = 4, 0.95, 128, 10
-#: Distances of rows to centres that a task works out in one step, and rows of (query, cell) that it hands on at once.
+#: Distances of rows to centres that a task works out in one step, and rows of (query, bin) that it hands on at once.
 STEP_DISTANCES, STEP_ROUTES = 1 << 20, 4096
+#: Rows of a bin of cells at least (if there are as many), and queries of a lot, in searches of many queries.
+LEAST_BIN, LOT_QUERIES = 2000, 2000
 #: Distances are sums of rounded numbers.
 SLACK = 1e-5
 #: The cell of rows without a direction (near 0, null or non-finite numbers, another length): read by every search.
@@ -139,13 +141,29 @@ class _Centres(NamedTuple):
     high: np.ndarray
     centre: np.ndarray
     odd: bool
+    sizes: dict[int, int]
 
 
 def _centres(index: Cells) -> _Centres:
     rows = index.centres.collect()
     known = [r for r in rows if r["centre"] is not None]
     column = lambda c: np.array([r[c] for r in known], float)
-    return _Centres(np.array([r["cell"] for r in known], np.int64), column("low"), column("high"), column("centre").reshape(len(known), -1), len(known) < len(rows))
+    return _Centres(np.array([r["cell"] for r in known], np.int64), column("low"), column("high"), column("centre").reshape(len(known), -1), len(known) < len(rows), {r["cell"]: r["n"] for r in rows})
+
+
+def bins_of(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """Each cell's first bin and number of bins: small cells share a bin of at most so many rows, a larger one has several."""
+    out, bins, held = {}, 0, 0
+    for cell, n in sorted(sizes.items()):
+        if n > most:
+            bins += held > 0
+            out[cell], held = (bins, -(-n // most)), 0
+            bins += out[cell][1]
+        else:
+            if held + n > most:
+                bins, held = bins + 1, 0
+            out[cell], held = (bins, 1), held + n
+    return out
 
 
 def _reach(score: float | None) -> float:
@@ -191,29 +209,34 @@ def top_by_cells(index: Cells, query: Sequence[float], seen: Callable[[DataFrame
 def top_of_many(index: Cells, queries: DataFrame, allowed: DataFrame | None, k: int, score: Callable[[pa.Table, pa.Table, int], pa.Table], *, exact: bool = True, probes: int | None = None, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Any number of queries (query_id, vector): query_id, chunk_id, score, the k best of each.
 
-    Every query is sent to its nearest cells, in whose parts rows and queries meet in tasks of bounded size; rows are sent once
-    for each lot of a cell's queries, not for all of them. `exact`: then to the cells that its k-th score leaves able, ring by ring
-    outwards in one more round. allowed: chunk_ids that may be seen (all, if None). score: the best k of a table of rows for each of a table of queries.
-    scratch: writes a table and reads it again."""
+    Cells are put together in bins of bounded size. Every query is sent to the bins of its nearest cells, once to each, with those
+    cells' numbers, and meets their rows there in tasks of bounded size; rows are sent once for each lot of a bin's queries, not for
+    all of them. `exact`: then to the cells that its k-th score leaves able, in one more round, where only rows that can reach that
+    score are added up. allowed: chunk_ids that may be seen (all, if None). score: the best k of a table of rows (with their cell)
+    for each of a table of queries (with the cells they ask for, and a floor). scratch: writes a table and reads it again."""
     at, dims, probes = _centres(index), index.dims, probes or (PROBES if exact else index.probes)
+    spark = index.rows.sparkSession
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     rows = index.rows if allowed is None else index.rows.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     every = [int(c) for c in at.cell] + [ODD] * at.odd
+    bins = bins_of(at.sizes, min(PART_ROWS, max(LEAST_BIN, -(-sum(at.sizes.values()) // spark.sparkContext.defaultParallelism))))
+    places = spark.createDataFrame([(c, *b) for c, b in bins.items()], "cell int, first int, bins int")
+    lookup = np.zeros((max(bins, default=0) + 2, 2), np.int64)  # of cell c in row c + 1
+    for c, b in bins.items():
+        lookup[c + 1] = b
 
     def routed(asked: DataFrame, again: bool) -> DataFrame:
-        """query_id, vector, cell: where each query goes, at first and (with `floor`, its k-th score) again."""
+        """query_id, vector, floor, bin, cells: where each query goes, at first and (with `floor`, its k-th score) again."""
 
         def route(batches):
             for batch in batches:
                 floors = batch.column("floor").to_pylist() if again else [None] * len(batch)
-                sent, cells, held = [], [], 0
+                sent, to_bins, to_cells = [], [], []
 
                 def handed():
-                    n = [len(c) for c in cells]
-                    all_cells, take = pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.repeat(sent, n))
-                    for a in range(0, len(take), STEP_ROUTES):  # a vector is repeated for each of its cells, so not for all at once
-                        t = take[a : a + STEP_ROUTES]
-                        yield pa.RecordBatch.from_arrays([batch.column("query_id").take(t), batch.column("vector").take(t), all_cells[a : a + STEP_ROUTES]], ["query_id", "vector", "cell"])
+                    take = pa.array(sent, pa.int64())  # a vector is repeated for each of its bins, so not for all at once
+                    floor = pa.array([floors[i] for i in sent], pa.float64())
+                    return pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("vector").take(take), floor, pa.array(to_bins, pa.int32()), pa.array(to_cells, pa.list_(pa.int32()))], ["query_id", "vector", "floor", "bin", "cells"])
 
                 for i, (v, floor) in enumerate(zip(batch.column("vector"), floors, strict=True)):
                     q = np.array([np.nan if x is None else x for x in v.as_py() or []], float)
@@ -224,30 +247,36 @@ def top_of_many(index: Cells, queries: DataFrame, allowed: DataFrame | None, k:
                         d = np.sqrt(((at.centre - q / size) ** 2).sum(1))
                         near = np.argsort(d, kind="stable")[:probes]
                         to = at.cell[np.setdiff1d(able_cells(at, d, _reach(floor)), near)] if again else [*at.cell[near], *[ODD] * at.odd]
-                    sent.append(i)
-                    cells.append(np.asarray(to, np.int64))
-                    held += len(to)
-                    if held >= STEP_ROUTES:
-                        yield from handed()
-                        sent, cells, held = [], [], 0
+                    to = np.sort(np.asarray(to, np.int64))  # bins ascend with their cells
+                    first, n = lookup[to + 1].T
+                    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(to)])
+                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
+                        for bin in range(first[a], first[a] + n[a]):
+                            sent.append(i)
+                            to_bins.append(bin)
+                            to_cells.append(to[a:b])
+                            if len(sent) >= STEP_ROUTES:
+                                yield handed()
+                                sent.clear(), to_bins.clear(), to_cells.clear()
                 if sent:
-                    yield from handed()
+                    yield handed()
 
-        return asked.mapInArrow(route, "query_id long, vector array<double>, cell int")
+        return asked.mapInArrow(route, "query_id long, vector array<double>, floor double, bin int, cells array<int>")
 
     schema = StructType([StructField("query_id", LongType()), StructField("chunk_id", LongType()), StructField("score", DoubleType())])
     none = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]).empty_table()
 
     def met(sent: DataFrame) -> DataFrame:
-        """Each query's best k of each part of the cells it was sent to."""
+        """Each query's best k of each bin it was sent to."""
         sent = scratch(sent)
-        parts = rows.select("cell", "part").distinct().toDF("cell", "part")  # names of their own: it is joined to queries that meet these rows
-        lots = sent.groupBy("cell").agg(F.ceil(F.count("*") / 2000).cast("int").alias("lots"))
+        lots = sent.groupBy("bin").agg(F.ceil(F.count("*") / LOT_QUERIES).cast("int").alias("lots"))
         spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        of_rows = rows.select("chunk_id", "embedding", "cell", "part").join(F.broadcast(lots), "cell").select("chunk_id", "embedding", "cell", "part", spread(F.col("lots")).alias("lot"))
-        of_queries = sent.join(F.broadcast(lots), "cell").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).join(parts, "cell").select("query_id", "vector", "cell", "part", "lot")
-        of_queries = of_queries.toDF(*of_queries.columns)
-        return of_rows.groupBy("cell", "part", "lot").cogroup(of_queries.groupBy("cell", "part", "lot")).applyInArrow(lambda a, b: score(a, b, k) if len(a) and len(b) else none, schema)
+        of_rows = rows.select("chunk_id", "embedding", "cell").join(F.broadcast(places), "cell")
+        of_rows = of_rows.select("chunk_id", "embedding", "cell", (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("bins"))).cast("int").alias("bin"))
+        of_rows = of_rows.join(F.broadcast(lots), "bin").select("chunk_id", "embedding", "cell", "bin", spread(F.col("lots")).alias("lot"))
+        of_queries = sent.join(F.broadcast(lots), "bin").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).select("query_id", "vector", "floor", "cells", "bin", "lot")
+        of_queries = of_queries.toDF(*of_queries.columns)  # names of their own: they meet rows that they were counted with
+        return of_rows.groupBy("bin", "lot").cogroup(of_queries.groupBy("bin", "lot")).applyInArrow(lambda a, b: score(a, b, k) if len(a) and len(b) else none, schema)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -202,12 +202,19 @@ def _vectors(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarra
 
 def _batch_best(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """Each query's best k of an index shard: query_id, chunk_id, score, as `cosine` and Spark's order have it
-    (components are added in their order; NaN is the largest, null the least; ties by chunk_id)."""
+    (components are added in their order; NaN is the largest, null the least; ties by chunk_id). Where rows have a `cell`, a query
+    meets those of its `cells` only, and of them, if it has a `floor`, those that can score as much."""
     width = max([0, *(pc.max(pc.list_value_length(t[c])).as_py() or 0 for t, c in ((index, "embedding"), (asked, "vector")))])
     index = index.sort_by("chunk_id")
     rows, sizes, norms = _vectors(index["embedding"], width)
     queries, query_sizes, query_norms = _vectors(asked["vector"], width)
-    at, of, scores, known = [], [], [], []
+    floors, code, of_cells = np.full(len(queries), -np.inf), None, None
+    if "cell" in index.column_names:
+        kinds, code = np.unique(index["cell"].to_numpy(), return_inverse=True)
+        floor = asked["floor"].to_numpy().astype(float)  # NaN for none
+        floors = np.where(np.isnan(floor), -np.inf, floor)
+        of_cells = asked["cells"].combine_chunks()
+    at, of, scores, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
     # rows and queries whose components are plain numbers of one length are compared by a product of matrices first, which tells
     # those that can be among the best; only they are added up in order
     whole = (sizes == width) & np.isfinite(norms) & (norms >= 1e-6) & (norms < 1e150)
@@ -218,10 +225,17 @@ def _batch_best(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             rough = (q / q_norms[:, None]) @ units.T
         for i in range(len(q)):
-            able = None
-            if len(plain) > k and q_sizes[i] == width and 1e-6 <= q_norms[i] < 1e150:
-                floor = np.partition(rough[i], len(plain) - k)[len(plain) - k] - ROUGH
-                able = np.sort(np.concatenate((plain[rough[i] >= floor], rest)))
+            there = None if code is None else np.isin(kinds, of_cells[a + i].values.to_numpy())[code]
+            able = None if there is None else np.flatnonzero(there)
+            if q_sizes[i] == width and 1e-6 <= q_norms[i] < 1e150 and (len(plain) > k or there is not None):
+                hits = np.flatnonzero(rough[i] >= floors[a + i] - ROUGH)
+                hits = hits if there is None else hits[there[plain[hits]]]
+                if len(hits) > k:
+                    near = rough[i, hits]
+                    hits = hits[near >= np.partition(near, len(hits) - k)[len(hits) - k] - ROUGH]
+                able = np.sort(np.concatenate((plain[hits], rest if there is None else rest[there[rest]])))
+            if able is not None and not len(able):
+                continue
             these, own, own_norms = (rows, sizes, norms) if able is None else (rows[able], sizes[able], norms[able])
             score = np.zeros(len(these))
             for d in range(width):
